@@ -75,7 +75,7 @@ def main() -> None:
         try:
             reason = check(spark, con, sf_dir, name)
         except Exception as e:  # report and go on with the next query
-            reason = f"error {str(e)[:1500]}"
+            reason = f"error {str(e)[:600]}"
         bad += reason is not None
         kind = "" if name in ORACLES else " (rows only)"
         print(f"{'ok  ' if reason is None else 'FAIL'} {time.time() - t0:6.2f}s {name}{kind} {reason or ''}", flush=True)

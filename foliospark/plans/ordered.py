@@ -14,6 +14,7 @@ and task. ``sorted_positions`` covers sort keys without a usable bucket, such as
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,30 @@ def _before(spec: WindowSpec) -> WindowSpec:
     return spec.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _or_zero(coarse: Column | None) -> Column:
+    return F.lit(0).cast("long") if coarse is None else coarse
+
+
+def _offsets(
+    totals: DataFrame, part: Sequence[str], names: Sequence[str], descending: Sequence[bool] | None, two_levels: bool
+) -> DataFrame:
+    """Sum of all earlier buckets of the part, per bucket."""
+    order = _bucket_order(names, descending)
+    if two_levels:
+        summed = running_sum(
+            totals.withColumnsRenamed({n: f"{n}_" for n in names}),
+            part,
+            [F.col("_coarse")],
+            _bucket_order([f"{n}_" for n in names], descending),
+            F.col("_total"),
+            "_earlier",
+            inclusive=False,
+        ).withColumnRenamed("_earlier", "_offset")
+        return summed.withColumnsRenamed({f"{n}_": n for n in names}).drop("_total", "_coarse")
+    outer = _before(Window.partitionBy(*part).orderBy(*order))
+    return totals.withColumn("_offset", F.coalesce(F.sum("_total").over(outer), F.lit(0))).drop("_total", "_coarse")
+
+
 def running_sum(
     df: DataFrame,
     part: Sequence[str],
@@ -56,19 +81,20 @@ def running_sum(
     *,
     inclusive: bool = True,
     descending: Sequence[bool] | None = None,
+    coarse: Column | None = None,
 ) -> DataFrame:
-    """Running total of ``value`` in each part; ``order`` sorts inside a bucket, ``buckets`` sort as listed."""
+    """Running total of ``value`` in each part; ``order`` sorts inside a bucket, ``buckets`` sort as listed.
+
+    ``coarse`` is a bucket of buckets for parts whose bucket table may itself be long.
+    """
     df, names = _bucket_columns(df, buckets)
     keys = [*part, *names]
     inner = Window.partitionBy(*keys).orderBy(*order)
     frame = inner.rowsBetween(Window.unboundedPreceding, 0) if inclusive else _before(inner)
-    outer = _before(Window.partitionBy(*part).orderBy(*_bucket_order(names, descending)))
-    offsets = (
-        df.groupBy(*keys)
-        .agg(F.sum(value).alias("_total"))
-        .withColumn("_offset", F.coalesce(F.sum("_total").over(outer), F.lit(0)))
-        .drop("_total")
+    totals = df.withColumn("_coarse", _or_zero(coarse)).groupBy(*keys).agg(
+        F.sum(value).alias("_total"), F.min("_coarse").alias("_coarse")
     )
+    offsets = _offsets(totals, part, names, descending, coarse is not None)
     return (
         df.withColumn("_local", F.coalesce(F.sum(value).over(frame), F.lit(0)))
         .join(offsets, keys)
@@ -86,18 +112,16 @@ def number_rows(
     *,
     start: int = 0,
     descending: Sequence[bool] | None = None,
+    coarse: Column | None = None,
 ) -> DataFrame:
     """Consecutive integers per part from ``start``, the scalable form of ``row_number``."""
     df, names = _bucket_columns(df, buckets)
     keys = [*part, *names]
     inner = Window.partitionBy(*keys).orderBy(*order)
-    outer = _before(Window.partitionBy(*part).orderBy(*_bucket_order(names, descending)))
-    offsets = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_offset", F.coalesce(F.sum("_size").over(outer), F.lit(0)))
-        .drop("_size")
+    totals = df.withColumn("_coarse", _or_zero(coarse)).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_total"), F.min("_coarse").alias("_coarse")
     )
+    offsets = _offsets(totals, part, names, descending, coarse is not None)
     return (
         df.withColumn("_local", F.row_number().over(inner))
         .join(offsets, keys)
@@ -106,45 +130,85 @@ def number_rows(
     )
 
 
-def carry(
+class Nearest(NamedTuple):
+    """What ``carry_all`` looks up: the nearest non-null ``value`` before (or after) a row, stored as ``name``."""
+
+    value: Column
+    name: str
+    backwards: bool = False
+    inclusive: bool = False
+
+
+def carry_all(
     df: DataFrame,
     part: Sequence[str],
     bucket: Column,
     order: Sequence[str],
-    value: Column,
-    name: str,
+    wanted: Sequence[Nearest],
     *,
-    backwards: bool = False,
-    inclusive: bool = False,
+    coarse: Column | None = None,
 ) -> DataFrame:
-    """Nearest earlier (or later) non-null ``value`` per part.
+    """Nearest earlier or later non-null values per part, several at once over one bucket table.
 
     With a value that is never null this is ``lag``/``lead`` by one row; with nullable values it is
-    ``last``/``first`` with nulls ignored. ``order`` names columns that sort the rows of a bucket totally.
+    ``last``/``first`` with nulls ignored. ``order`` names columns that sort the rows of a bucket totally; ``coarse``
+    is a bucket of buckets for parts with very many of them.
     """
-    df = df.withColumn("_bucket0", bucket).withColumn("_value", value)
+    df = df.withColumn("_bucket0", bucket).withColumns({f"_value{i}": n.value for i, n in enumerate(wanted)})
     inner = Window.partitionBy(*part, "_bucket0").orderBy(*order)
-    outer = Window.partitionBy(*part).orderBy("_bucket0")
-    position = F.when(F.col("_value").isNotNull(), F.struct(*order))
-    if backwards:
-        frame = inner.rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
-        local = F.first("_value", ignorenulls=True).over(frame)
-        edge = F.min_by("_value", position)
-        beyond = F.first("_edge", ignorenulls=True).over(outer.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        frame = inner.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        local = F.last("_value", ignorenulls=True).over(frame)
-        edge = F.max_by("_value", position)
-        beyond = F.last("_edge", ignorenulls=True).over(_before(outer))
-    edges = (
-        df.groupBy(*part, "_bucket0").agg(edge.alias("_edge")).withColumn("_beyond", beyond).drop("_edge")
-    )
-    return (
-        df.withColumn("_local", local)
-        .join(edges, [*part, "_bucket0"])
-        .withColumn(name, F.coalesce("_local", "_beyond"))
-        .drop("_local", "_beyond", "_value", "_bucket0")
+    edges, locals_ = [], {}
+    for i, n in enumerate(wanted):
+        value = F.col(f"_value{i}")
+        place = F.when(value.isNotNull(), F.struct(*order))
+        if n.backwards:
+            frame = inner.rowsBetween(0 if n.inclusive else 1, Window.unboundedFollowing)
+            locals_[f"_local{i}"] = F.first(value, ignorenulls=True).over(frame)
+            edges.append(F.min_by(value, place).alias(f"_edge{i}"))
+        else:
+            frame = inner.rowsBetween(Window.unboundedPreceding, 0 if n.inclusive else -1)
+            locals_[f"_local{i}"] = F.last(value, ignorenulls=True).over(frame)
+            edges.append(F.max_by(value, place).alias(f"_edge{i}"))
+    table = df.withColumn("_coarse", _or_zero(coarse)).groupBy(*part, "_bucket0").agg(
+        *edges, F.min("_coarse").alias("_coarse")
     )
+    if coarse is None:
+        outer = Window.partitionBy(*part).orderBy("_bucket0")
+        for i, n in enumerate(wanted):
+            if n.backwards:
+                beyond = F.first(f"_edge{i}", ignorenulls=True).over(outer.rowsBetween(1, Window.unboundedFollowing))
+            else:
+                beyond = F.last(f"_edge{i}", ignorenulls=True).over(_before(outer))
+            table = table.withColumn(f"_beyond{i}", beyond)
+    else:
+        again = [Nearest(F.col(f"_edge{i}"), f"_outside{i}", n.backwards) for i, n in enumerate(wanted)]
+        table = carry_all(
+            table.withColumnRenamed("_bucket0", "_fine"),
+            part,
+            F.col("_coarse"),
+            ["_fine"],
+            again,
+        ).withColumnsRenamed({"_fine": "_bucket0"} | {f"_outside{i}": f"_beyond{i}" for i in range(len(wanted))})
+    table = table.select(*part, "_bucket0", *[f"_beyond{i}" for i in range(len(wanted))])
+    out = df.withColumns(locals_).join(table, [*part, "_bucket0"])
+    out = out.withColumns({n.name: F.coalesce(f"_local{i}", f"_beyond{i}") for i, n in enumerate(wanted)})
+    helpers = [f"_{kind}{i}" for kind in ("value", "local", "beyond") for i in range(len(wanted))]
+    return out.drop("_bucket0", *helpers)
+
+
+def carry(
+    df: DataFrame,
+    part: Sequence[str],
+    bucket: Column,
+    order: Sequence[str],
+    value: Column,
+    name: str,
+    *,
+    backwards: bool = False,
+    inclusive: bool = False,
+    coarse: Column | None = None,
+) -> DataFrame:
+    """``carry_all`` for one value."""
+    return carry_all(df, part, bucket, order, [Nearest(value, name, backwards, inclusive)], coarse=coarse)
 
 
 def sorted_positions(df: DataFrame, part: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
