@@ -273,7 +273,7 @@ def _(v: Views):
     ),
 )
 def _(v: Views):
-    found = T.detect_toc_pages(v.toc_pages, v.toc_lines)
+    found = stored(T.detect_toc_pages(v.toc_pages, v.toc_lines), "found-toc-pages")
     start = T.resolve_body_start(v.toc_pages, found)
     return T.parse_toc(found, v.toc_lines, v.toc_pages, start, chapters(v).drop("chapter_id"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.plans.ordered import number_rows, slot
+from foliospark.plans.session import stored
 
 CHARSET = ["x", "y", "z", "a", "b", "c", "d"]
 
@@ -97,12 +98,13 @@ class Views:
 
     @cached_property
     def toc_pages(self) -> DataFrame:
-        """Page table of the TOC books."""
-        return (
+        """Page table of the TOC books, written once because queries read it several times."""
+        rows = (
             self.toc_lines.groupBy("book_id", "page_ord")
             .agg(F.count(F.lit(1)).alias("n"))
             .selectExpr("book_id", "concat(book_id, '/', page_ord) page_id", "page_ord ord")
         )
+        return stored(rows, "toc-pages")
 
     @cached_property
     def dets(self) -> DataFrame:
