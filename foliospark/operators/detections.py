@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliospark.functions.geometry import LINE_PAD, box_center_in, box_iou
-from foliospark.plans.session import cut_lineage
+from foliospark.plans.session import cut_lineage, spread
 
 # Fixed values of the detector.
 SCORE_THRESHOLD = 0.3
@@ -109,7 +109,8 @@ def nms_lines(
 
 def _one_pass(distinct: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     return (
-        distinct.groupBy(*keys)
+        spread(distinct, *keys)
+        .groupBy(*keys)
         .agg(_ranked_boxes().alias("_boxes"))
         .select(*keys, F.explode(_greedy(F.col("_boxes"), threshold)).alias("_kept"))
         .select(*keys, "_kept.*")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.plans.ordered import number_rows, slot
-from foliospark.plans.session import stored
+from foliospark.plans.session import spread, stored
 
 GRID = 100  # fixed value: cells along the longer side
 WORD = 51  # bits per word; two words cover 0..101
@@ -62,24 +62,28 @@ def _widest_valley(profile: np.ndarray) -> tuple[int, int, float]:
 def _cut_regions(mesh: np.ndarray) -> list[tuple[int, int, int, int, list[int]]]:
     """Leaf regions of a painted grid in depth-first order."""
     leaves: list[tuple[int, int, int, int, list[int]]] = []
-    todo: list[tuple[int, int, int, int, list[int]]] = [(0, 0, mesh.shape[1], mesh.shape[0], [])]
+    todo = [(0, 0, mesh.shape[1], mesh.shape[0], [], False)]
     while todo:
-        x0, y0, x1, y1, path = todo.pop()
-        area = mesh[y0:y1, x0:x1]
-        xa, xb, xs = _widest_valley(area.sum(axis=0))
-        ya, yb, ys = _widest_valley(area.sum(axis=1))
+        x0, y0, x1, y1, path, blank = todo.pop()
+        across = None if blank else mesh[y0:y1, x0:x1].sum(axis=0)
+        painted = 0 if blank else int(across.sum())
+        if painted == 0 or painted == (x1 - x0) * (y1 - y0):  # even areas have no valley
+            leaves.append((x0, y0, x1, y1, path))
+            continue
+        xa, xb, xs = _widest_valley(across)
+        ya, yb, ys = _widest_valley(mesh[y0:y1, x0:x1].sum(axis=1))
         # The axis whose valley is nearer to empty is cut; on equal depth the longer valley, then left-right.
         left_right = ys < xs or (ys == xs and xb - xa >= yb - ya)
         if left_right:
-            stops = [x0, x0 + xa, x0 + xb, x1]
-            parts = [(a, y0, b, y1) for a, b in zip(stops, stops[1:]) if a < b]
+            stops, clear = [x0, x0 + xa, x0 + xb, x1], xs == 0
+            parts = [(a, y0, b, y1, clear and i == 1) for i, (a, b) in enumerate(zip(stops, stops[1:])) if a < b]
         else:
-            stops = [y0, y0 + ya, y0 + yb, y1]
-            parts = [(x0, a, x1, b) for a, b in zip(stops, stops[1:]) if a < b]
+            stops, clear = [y0, y0 + ya, y0 + yb, y1], ys == 0
+            parts = [(x0, a, x1, b, clear and i == 1) for i, (a, b) in enumerate(zip(stops, stops[1:])) if a < b]
         if len(parts) == 1:  # nothing was cut off
             leaves.append((x0, y0, x1, y1, path))
             continue
-        children = [(*part, [*path, 2 * i + int(left_right)]) for i, part in enumerate(parts)]
+        children = [(*part[:4], [*path, 2 * i + int(left_right)], part[4]) for i, part in enumerate(parts)]
         todo.extend(reversed(children))
     return leaves
 
@@ -141,6 +145,7 @@ def rank_boxes(boxes: DataFrame, keys: Sequence[str], item: str, name: str) -> D
         F.min("y").alias("_y0"),
         (F.max(right) - F.min("x")).alias("_pw"),
         (F.max(bottom) - F.min("y")).alias("_ph"),
+        F.count(F.lit(1)).alias("_n"),
     )
     portrait = F.col("_ph") >= F.col("_pw")
     flat = (F.col("_pw") == 0) | (F.col("_ph") == 0)
@@ -158,7 +163,10 @@ def rank_boxes(boxes: DataFrame, keys: Sequence[str], item: str, name: str) -> D
             "_h": F.when(flat, 2).otherwise(F.ceil("_gy") + 1).cast("int"),
         }
     )
-    scaled = boxes.join(frame, keys)
+    # A box alone in its group needs no cutting.
+    everything = boxes.join(frame, keys)
+    alone = everything.where(F.col("_n") == 1).select(*boxes.columns, F.lit(0).alias(name))
+    scaled = everything.where(F.col("_n") > 1)
 
     def along(low, size, origin, grid, extent, cells):
         ratio = lambda v: (v - F.col(origin)) * F.col(grid) / F.nullif(F.col(extent), F.lit(0.0))
@@ -195,7 +203,8 @@ def rank_boxes(boxes: DataFrame, keys: Sequence[str], item: str, name: str) -> D
         .agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high"), F.first("_w").alias("_w"), F.first("_h").alias("_h"))
     )
     trees = (
-        painted.groupBy(*keys)
+        spread(painted, *keys)
+        .groupBy(*keys)
         .agg(F.collect_list(F.struct("y", "low", "high")).alias("_rows"), F.first("_w").alias("_w"), F.first("_h").alias("_h"))
         .select(*keys, _leaves("_rows", "_w", "_h").alias("_tree"))
     )
@@ -229,7 +238,7 @@ def rank_boxes(boxes: DataFrame, keys: Sequence[str], item: str, name: str) -> D
     first = F.when(F.col("_vertical"), -F.col("_nx0")).otherwise(F.col("_ny0"))
     second = F.when(F.col("_vertical"), F.col("_ny0")).otherwise(F.col("_nx0"))
     numbered = number_rows(ready, keys, [F.col("_place"), first, second, slot(item)], [F.col(item)], name)
-    return numbered.select(*boxes.columns, name)
+    return numbered.select(*boxes.columns, name).unionByName(alone)
 
 
 def reading_order(lines: DataFrame, keys: Sequence[str]) -> DataFrame:

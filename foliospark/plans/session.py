@@ -64,3 +64,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_table(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffles by key into the configured number of partitions before CPU-heavy work on small rows.
+
+    Adaptive execution merges partitions by bytes, which would leave such work to very few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
