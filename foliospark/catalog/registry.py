@@ -25,6 +25,8 @@ def sql(views: str, body: str, extra: dict[str, str] | None = None) -> str:
 
     for view in views.split():
         add(view)
+    if not done:
+        return body.strip()
     ctes = ",\n".join(f"{name} as ({texts[name].strip()})" for name in done)
     body = body.strip()
     if body.startswith("with recursive"):
