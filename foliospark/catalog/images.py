@@ -164,8 +164,9 @@ def toy_reader(route: int, crop: np.ndarray) -> str:
 
 @query("recognize_pages")
 def _(v: Views):
-    # Images are repeated three times in both directions so that boxes reach the smallest accepted size.
-    big = v.page_images.selectExpr("book_id", "page_id", "img_w", "img_h * 4 img_h", "concat(rgba, rgba, rgba, rgba) rgba")
+    # The bytes are repeated so that boxes reach the smallest accepted size.
+    many = ", ".join(["rgba"] * 16)
+    big = v.page_images.selectExpr("book_id", "page_id", "img_w * 4 img_w", "img_h * 4 img_h", f"concat({many}) rgba")
     return recognize_pages(big, toy_detector, toy_reader)
 
 
@@ -207,9 +208,9 @@ def _(v: Views):
     )
     path = scratch_table(v.spark, "texts")
     write_book_text(book_text(v.pages, v.ocr_lines), books, path)
-    files = v.spark.read.option("wholetext", True).text(path).select("book_id", "file_name", "value", "_metadata.file_name")
+    files = v.spark.read.text(path, wholetext=True).select("book_id", "file_name", "value", "_metadata.file_name")
     return (
         files.toDF("book_id", "file_name", "text", "part")
         .groupBy("book_id", "file_name")
-        .agg(F.expr("listagg(text, '') within group (order by part)").alias("text"))
+        .agg(F.regexp_replace(F.expr("listagg(text, '') within group (order by part)"), r"\n\z", "").alias("text"))
     )

@@ -38,18 +38,17 @@ def write_book_text(texts: DataFrame, books: DataFrame, path: str) -> None:
     """One folder per book, named by its title, with the text parts in order.
 
     ``texts`` (book_id, part_no, text) from ``book_text``. Parts are range-partitioned by book and part, so a long
-    book is written by several tasks and its files, in name order, are the book's text. Parts after the first start
-    with the blank line that separates pages.
+    book is written by several tasks and its files, in name order, are the book's text, ended by a newline (the text
+    sink ends every record with one; a later part adds the second newline of the blank line between pages).
     """
     named = texts.join(
         books.select("book_id", text_file_name("title").alias("file_name")), "book_id"
-    ).withColumn("value", F.when(F.col("part_no") > 0, F.concat(F.lit("\n\n"), F.col("text"))).otherwise(F.col("text")))
+    ).withColumn("value", F.when(F.col("part_no") > 0, F.concat(F.lit("\n"), F.col("text"))).otherwise(F.col("text")))
     (
         named.repartitionByRange("book_id", "part_no")
         .sortWithinPartitions("book_id", "part_no")
         .select("book_id", "file_name", "value")
         .write.mode("overwrite")
         .partitionBy("book_id", "file_name")
-        .option("lineSep", "")
         .text(path)
     )
