@@ -261,7 +261,7 @@ def _(v: Views):
 @query(
     "parse_toc",
     sql(
-        "v_found v_toc_pages v_sig v_chapters",
+        "v_found v_toc_pages v_sig",
         f"""with sig as (select v_sig.* from v_sig join v_found on v_sig.book_id = v_found.book_id and page_ord = ord),
         ents as ({DUCK['v_book_entries'].replace('v_sig', 'sig')}),
         starts as (select p.book_id, count(*) n, coalesce(least(max(f.ord) + 1, count(*) - 1), 0) b
@@ -269,13 +269,14 @@ def _(v: Views):
         idx as (select *, row_number() over (partition by book_id order by page_ord, line_no) s,
           greatest(0, least(b + printed_page - 1, n - 1)) i from ents join starts using (book_id)),
         fresh as (select book_id, cast(row_number() over (partition by book_id order by i, s) - 1 as int) seq, title, concat(book_id, '/', i) page_id, level from idx)
-        select * from fresh union all select book_id, seq, title, page_id, level from v_chapters where book_id not in (select book_id from fresh)""",
+        select * from fresh union all select book_id, ord, concat('old ', ord), page_id, 1 from v_toc_pages where book_id not in (select book_id from fresh)""",
     ),
 )
 def _(v: Views):
     found = stored(T.detect_toc_pages(v.toc_pages, v.toc_lines), "found-toc-pages")
     start = T.resolve_body_start(v.toc_pages, found)
-    return T.parse_toc(found, v.toc_lines, v.toc_pages, start, chapters(v).drop("chapter_id"))
+    old = v.toc_pages.selectExpr("book_id", "ord seq", "concat('old ', ord) title", "page_id", "1 level")
+    return T.parse_toc(found, v.toc_lines, v.toc_pages, start, old)
 
 
 # Pages whose ordinal is 5 modulo 7 count as unknown in the two join queries below.

@@ -22,8 +22,9 @@ BLOCK_CLASS = 0
 IOU_THRESHOLD = 0.5
 BLOCK_COVERAGE = 0.7
 
-# Distinct boxes of one image that are suppressed in a single pass. Images with more go through rounds.
-BOXES_PER_PASS = 2000
+# Distinct boxes of one image that are suppressed in a single pass. Images with more go through rounds. At most 1,000,
+# the largest limit that Spark applies inside a window before its shuffle.
+BOXES_PER_PASS = 1000
 
 
 def detection_filter(dets: DataFrame, images: DataFrame, keys: Sequence[str]) -> DataFrame:

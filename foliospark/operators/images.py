@@ -127,19 +127,31 @@ def merge_spread_images(pairs: DataFrame, images: DataFrame) -> DataFrame:
 def image_pixels(images: DataFrame, keys: Sequence[str] = ("book_id", "page_id")) -> DataFrame:
     """One row per pixel (x, y, r, g, b), for the histogram and ink operators."""
     keys = list(keys)
-    rows_at_once = 64
+    pixels_at_once = 1 << 18
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 image = _pixels(r.rgba, r.img_w, r.img_h)
-                for top in range(0, r.img_h, rows_at_once):  # a few image lines at a time
-                    band = image[top : top + rows_at_once]
+                step = max(1, pixels_at_once // r.img_w)
+                for top in range(0, r.img_h, step):  # a large scan leaves in bands of image lines
+                    band = image[top : top + step]
                     y, x = np.divmod(np.arange(band.shape[0] * r.img_w, dtype=np.int32), r.img_w)
                     flat = band.reshape(-1, 4).astype(np.int32)
                     frame = {"x": x, "y": y + top, "r": flat[:, 0], "g": flat[:, 1], "b": flat[:, 2]}
                     yield pd.DataFrame({**{k: getattr(r, k) for k in keys}, **frame})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for band in bands(batches):  # small images leave together
+            held.append(band)
+            size += len(band)
+            if size >= pixels_at_once:
+                yield pd.concat(held, ignore_index=True)
+                held, size = [], 0
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
     return images.select(*keys, *IMAGE_NAMES).mapInPandas(
         run, _schema(images, keys, "x int, y int, r int, g int, b int")
     )

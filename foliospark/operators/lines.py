@@ -42,8 +42,10 @@ def build_paragraphs(lines: DataFrame) -> DataFrame:
 def page_text(lines: DataFrame) -> DataFrame:
     """Non-empty paragraphs of a recognised page joined by newlines; '' when there are none."""
     key = F.coalesce("block_id", "line_id")
+    # Joining texts does not shrink them, so the lines move once, by page, and both levels aggregate in place.
     paragraphs = (
-        lines.withColumn("paragraph_key", key)
+        lines.select(*PAGE, "line_no", "text", key.alias("paragraph_key"))
+        .repartition(*PAGE)
         .groupBy(*PAGE, "paragraph_key")
         .agg(
             F.min("line_no").alias("para_no"),
@@ -54,7 +56,7 @@ def page_text(lines: DataFrame) -> DataFrame:
     return (
         paragraphs.withColumn("text", kept)
         .groupBy(*PAGE)
-        .agg(F.coalesce(F.expr("listagg(text, '\\n') within group (order by para_no)"), F.lit("")).alias("text"))
+        .agg(F.coalesce(F.expr("listagg(text, '\n') within group (order by para_no)"), F.lit("")).alias("text"))
     )
 
 

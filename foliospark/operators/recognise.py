@@ -41,10 +41,11 @@ def detect(images: DataFrame, detect_fn: Callable[[np.ndarray], list[tuple]]) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for r in batch.itertuples(index=False):
                 found = detect_fn(_pixels(r.rgba, r.img_w, r.img_h))
-                rows = [(r.book_id, r.page_id, i, *box) for i, box in enumerate(found)]
-                yield pd.DataFrame(rows, columns=[*KEYS, *names])
+                rows.extend((r.book_id, r.page_id, i, *box) for i, box in enumerate(found))
+            yield pd.DataFrame(rows, columns=[*KEYS, *names])
 
     return images.select(*KEYS, "img_w", "img_h", "rgba").mapInPandas(run, DETECTED)
 
@@ -57,14 +58,14 @@ def read_boxes(images: DataFrame, boxes: DataFrame, read_fn: Callable[[int, np.n
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for r in batch.itertuples(index=False):
                 image = _pixels(r.rgba, r.img_w, r.img_h)
-                rows = []
                 for b in r.boxes:
                     x0, y0 = max(0, int(np.floor(b["x"]))), max(0, int(np.floor(b["y"])))
                     x1, y1 = int(np.ceil(b["x"] + b["w"])), int(np.ceil(b["y"] + b["h"]))
                     rows.append((r.book_id, r.page_id, b["piece_id"], read_fn(int(b["route"]), image[y0:y1, x0:x1])))
-                yield pd.DataFrame(rows, columns=[*KEYS, "piece_id", "text"])
+            yield pd.DataFrame(rows, columns=[*KEYS, "piece_id", "text"])
 
     pages = images.select(*KEYS, "img_w", "img_h", "rgba").join(lists, KEYS)
     return pages.mapInPandas(run, "book_id string, page_id long, piece_id string, text string")

@@ -108,10 +108,18 @@ class Views:
 
     @cached_property
     def dets(self) -> DataFrame:
-        return self.table("lineitem").selectExpr(
-            "cast(floor(l_orderkey/4) as bigint) page_id",
-            """cast(row_number() over (partition by floor(l_orderkey/4)
-               order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as int) det_no""",
+        columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+        rows = self.table("lineitem").select(*columns).withColumn("page_id", F.expr("cast(floor(l_orderkey/4) as bigint)"))
+        rows = number_rows(
+            rows,
+            ["page_id"],
+            [F.col("l_orderkey"), F.col("l_linenumber"), slot("l_partkey", 64)],
+            [F.col(c) for c in columns[:5]],
+            "det_no",
+        )
+        return rows.selectExpr(
+            "page_id",
+            "det_no",
             "cast(1 + l_partkey % 7 as int) label",
             "cast((l_partkey % 4)*60 as double) x1",
             "cast((l_suppkey % 5)*40 as double) y1",
