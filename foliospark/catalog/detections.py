@@ -143,7 +143,7 @@ def _(v: Views):
 
 @query("nms_lines", sql("v_kept", "select * from v_kept").replace("with ", "with recursive ", 1))
 def _(v: Views):
-    return kept_lines(v)
+    return kept_lines(v, stored(boxes(v), "boxes"))
 
 
 @query(

@@ -74,13 +74,6 @@ def _greedy(boxes: Column, threshold: float) -> Column:
     return F.aggregate(boxes, F.filter(boxes, lambda _: F.lit(False)), step)
 
 
-def _ranked_boxes() -> Column:
-    """Sorted array of the boxes of a group, best score first, detector order on ties."""
-    return F.array_sort(
-        F.collect_list(F.struct((-F.col("score")).alias("rank"), "det_no", "x", "y", "w", "h"))
-    )
-
-
 def nms_lines(
     lines: DataFrame, keys: Sequence[str], threshold: float = IOU_THRESHOLD, boxes_per_pass: int = BOXES_PER_PASS
 ) -> DataFrame:
@@ -88,34 +81,39 @@ def nms_lines(
 
     Exact copies of a box are reduced to the best one before the shuffle: whatever a copy would be compared with, it
     overlaps fully with the better one. An image is then one array of distinct boxes. Images with more than
-    ``boxes_per_pass`` distinct boxes are handled by ``_rounds``, so no task ever holds an unbounded image.
+    ``boxes_per_pass`` boxes are handled by ``_rounds``, so no task ever holds an unbounded image. Finding them is
+    one count per image, combined before its shuffle.
     """
     keys = list(keys)
-    best = F.min(F.struct((-F.col("score")).alias("rank"), "det_no")).alias("_best")
-    distinct = lines.groupBy(*keys, "x", "y", "w", "h").agg(best)
-    distinct = distinct.select(
-        *keys, "x", "y", "w", "h", (-F.col("_best.rank")).alias("score"), F.col("_best.det_no").alias("det_no")
-    )
-    sizes = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.where(F.col("_n") > boxes_per_pass).select(*keys)
     if large.isEmpty():
-        kept = _one_pass(distinct, keys, threshold)
-    else:
-        large = cut_lineage(large)
-        kept = _one_pass(distinct.join(large, keys, "left_anti"), keys, threshold).unionByName(
-            _rounds(distinct.join(large, keys, "left_semi"), keys, threshold, boxes_per_pass)
-        )
-    return lines.join(kept.select(*keys, "det_no"), [*keys, "det_no"], "left_semi")
+        return _one_pass(_distinct(lines, keys), keys, threshold).select(*lines.columns)
+    large = cut_lineage(large)
+    small_part = _one_pass(_distinct(lines.join(large, keys, "left_anti"), keys), keys, threshold)
+    large_part = _rounds(_distinct(lines.join(large, keys, "left_semi"), keys), keys, threshold, boxes_per_pass)
+    return small_part.unionByName(large_part).select(*lines.columns)
+
+
+def _distinct(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The best row of each distinct box of an image."""
+    box = ["x", "y", "w", "h"]
+    rest = [c for c in lines.columns if c not in {*keys, *box, "det_no"}]
+    best = F.min_by(F.struct("det_no", *rest), F.struct(-F.col("score"), F.col("det_no"))).alias("_best")
+    return lines.groupBy(*keys, *box).agg(best).select(*keys, *box, "_best.*")
 
 
 def _one_pass(distinct: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Suppression of whole images: best score first, detector order on ties."""
+    rest = [c for c in distinct.columns if c not in {*keys, "det_no", "x", "y", "w", "h"}]
+    row = F.struct((-F.col("score")).alias("_rank"), "det_no", "x", "y", "w", "h", *rest)
     return (
         spread(distinct, *keys)
         .groupBy(*keys)
-        .agg(_ranked_boxes().alias("_boxes"))
+        .agg(F.array_sort(F.collect_list(row)).alias("_boxes"))
         .select(*keys, F.explode(_greedy(F.col("_boxes"), threshold)).alias("_kept"))
         .select(*keys, "_kept.*")
-        .drop("rank")
+        .drop("_rank")
     )
 
 
