@@ -88,8 +88,8 @@ def drop_stale_responses_stream(
     opened = requests.select("request_id", F.col("ts").alias("opened_ts")).withWatermark("opened_ts", watermark)
     done = replies.where("kind = 'done'").withColumnRenamed("request_id", "reply_to").withWatermark("ts", watermark)
     within = F.expr(f"reply_to = request_id and ts >= opened_ts and ts <= opened_ts + interval {open_for}")
-    joined = opened.join(done, within)
-    return joined.dropDuplicatesWithinWatermark(["request_id"]).select("request_id", "reply_no", "value")
+    joined = opened.join(done, within).select("request_id", "reply_no", "value", "ts")
+    return joined.dropDuplicatesWithinWatermark(["request_id"]).drop("ts")
 
 
 def latest_page_result(results: DataFrame) -> DataFrame:
