@@ -13,6 +13,7 @@ from foliospark.plans.bindings import DUCK, NEEDS, Views
 from foliospark.plans.session import scratch_table
 from foliospark.sources.images import decode_with, filter_image_files
 from foliospark.sources.tables import load_book_tables, write_book_text, write_tables
+from foliospark.streaming.imports import stream_import_rows
 
 KEYS = ["book_id", "page_id"]
 FILE = "case doc_id % 5 when 0 then concat(source, '/a/', doc_id, '.JPG') when 1 then concat(source, '/', doc_id, '.png') when 2 then concat(doc_id, '.txt') when 3 then concat(doc_id, '.pdf.webp') else concat('png/', doc_id) end"
@@ -120,20 +121,39 @@ def _raw_decoder(content: bytes) -> tuple[int, int, bytes]:
     return w, h, rest
 
 
-@query(
-    "decode_images",
-    sql(
-        "v_images",
-        """select book_id, page_id, page_id % 6 <> 5 ok, case when page_id % 6 <> 5 then img_w end img_w, case when page_id % 6 <> 5 then img_h end img_h,
-        case when page_id % 6 <> 5 then md5(hx) end digest, case when page_id % 6 = 5 then 'ValueError: truncated image' end error from v_images""",
-    ),
-)
-def _(v: Views):
+DECODED = """select book_id, page_id, page_id % 6 <> 5 ok, case when page_id % 6 <> 5 then img_w end img_w, case when page_id % 6 <> 5 then img_h end img_h,
+ case when page_id % 6 <> 5 then md5(hx) end digest, case when page_id % 6 = 5 then 'ValueError: truncated image' end error from v_images"""
+
+
+def _raw_files(v: Views):
+    """Encoded files, every sixth of them cut short."""
     body = F.when(F.col("page_id") % 6 == 5, F.substring("rgba", 1, 7)).otherwise(F.col("rgba"))
     size = F.unhex(F.concat(F.lpad(F.hex("img_w"), 2, "0"), F.lpad(F.hex("img_h"), 2, "0")))
-    files = v.page_images.select(*KEYS, F.concat(size, body).alias("content"))
-    decoded = decode_with(files, _raw_decoder)
-    return decoded.select(*KEYS, "ok", "img_w", "img_h", F.md5(F.hex("rgba").cast("binary")).alias("digest"), "error")
+    return v.page_images.select(*KEYS, F.concat(size, body).alias("content"))
+
+
+def _decoded(rows):
+    return rows.select(*KEYS, "ok", "img_w", "img_h", F.md5(F.hex("rgba").cast("binary")).alias("digest"), "error")
+
+
+@query("decode_images", sql("v_images", DECODED))
+def _(v: Views):
+    return _decoded(decode_with(_raw_files(v), _raw_decoder))
+
+
+@query("stream_import", sql("v_images", DECODED))
+def _(v: Views):
+    """Streams the encoded files through the decoder and returns what was registered or reported."""
+    source, out, state = (scratch_table(v.spark, n) for n in ("import-in", "import-out", "import-state"))
+    files = _raw_files(v)
+    files.write.parquet(source)
+    stream = stream_import_rows(v.spark.readStream.schema(files.schema).parquet(source), _raw_decoder)
+    run = (
+        _decoded(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        .trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return v.spark.read.parquet(out)
 
 
 def _toy_encoder(pixels: np.ndarray, quality: float) -> bytes:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliospark.functions.geometry import LINE_PAD, box_center_in, box_iou
+from foliospark.plans.ordered import slot
 from foliospark.plans.session import cut_lineage, spread
 
 # Fixed values of the detector.
@@ -25,6 +26,7 @@ BLOCK_COVERAGE = 0.7
 # Distinct boxes of one image that are suppressed in a single pass. Images with more go through rounds. At most 1,000,
 # the largest limit that Spark applies inside a window before its shuffle.
 BOXES_PER_PASS = 1000
+BLOCKS_PER_ARRAY = 1000
 
 
 def detection_filter(dets: DataFrame, images: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -147,21 +149,42 @@ def _rounds(distinct: DataFrame, keys: list[str], threshold: float, boxes_per_pa
     return out
 
 
-def assign_lines_to_blocks(lines: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _first_block(lines: DataFrame, shapes: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``_hit``, the lowest number of a block that holds the line's centre.
+
+    ``shapes`` are grouped into one array per row; an image may have several rows when ``_chunk`` is among the keys.
+    """
+    arrays = shapes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("no", "x", "y", "w", "h"))).alias("_blocks"))
+    here = (F.col("x"), F.col("y"), F.col("w"), F.col("h"))
+    hits = F.filter("_blocks", lambda b: box_center_in(here, _box(b)))
+    image = [k for k in keys if k != "_chunk"]
+    hit = F.get(F.transform(hits, lambda b: b["no"]), F.lit(0))
+    return lines.join(arrays, image, "left").withColumn("_hit", hit).drop("_blocks", "_chunk")
+
+
+def assign_lines_to_blocks(
+    lines: DataFrame, blocks: DataFrame, keys: Sequence[str], blocks_per_array: int = BLOCKS_PER_ARRAY
+) -> DataFrame:
     """Adds ``block_no`` (first block that holds the line's centre) and ``block_id`` to suppressed lines.
 
     When fewer than 70 % of an image's lines lie in a block, blocks are not used for the image. Block ids count the
     blocks in the order in which lines, best score first, meet them.
 
-    The blocks of an image travel as one array of distinct boxes, so no line x block rows are produced.
+    The blocks of an image travel as one array of distinct boxes, so no line x block rows are produced. An image with
+    more than ``blocks_per_array`` blocks has several arrays, and each line takes the lowest hit of all of them.
     """
     keys = list(keys)
     shapes = blocks.groupBy(*keys, "x", "y", "w", "h").agg(F.min("det_no").alias("no"))
-    arrays = shapes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("no", "x", "y", "w", "h"))).alias("_blocks"))
-    here = (F.col("x"), F.col("y"), F.col("w"), F.col("h"))
-    hits = F.filter("_blocks", lambda b: box_center_in(here, _box(b)))
-    placed = lines.join(arrays, keys, "left").withColumn("_hit", F.get(F.transform(hits, lambda b: b["no"]), F.lit(0)))
-    placed = placed.drop("_blocks")
+    crowded = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > blocks_per_array)
+    if crowded.isEmpty():
+        placed = _first_block(lines, shapes, keys)
+    else:
+        crowded = cut_lineage(crowded.select(*keys))
+        plain = _first_block(lines.join(crowded, keys, "left_anti"), shapes, keys)
+        split = shapes.join(crowded, keys, "left_semi").withColumn("_chunk", slot("no", blocks_per_array))
+        many = _first_block(lines.join(crowded, keys, "left_semi"), split, [*keys, "_chunk"])
+        lowest = many.groupBy(*lines.columns).agg(F.min("_hit").alias("_hit"))
+        placed = plain.unionByName(lowest)
 
     first = F.min(F.struct((-F.col("score")).alias("rank"), "det_no"))
     per_block = placed.groupBy(*keys, "_hit").agg(F.count(F.lit(1)).alias("_n"), first.alias("_first"))

@@ -18,7 +18,10 @@ OUTPUT = "page_id long, last_seq long, late_seq long, lines string"
 
 
 def _advance(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Applies the batch to the page's lines; edits older than the last applied one are handed out as late."""
+    """Applies the batch to the page's lines; edits older than the last applied one are handed out as late.
+
+    The edits of one page in one micro-batch are sorted together, so limit the trigger size for very busy pages.
+    """
     page = PageLines()
     last = -(2**62)
     if state.exists:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from foliospark.sources.images import decoded_columns
+from foliospark.sources.images import decode_with, decoded_columns
 
 IMAGE_SCHEMA = T.StructType(
     [
@@ -36,3 +38,8 @@ def stream_import(spark: SparkSession, folder: str, max_files: int = 1000) -> Da
         .load(folder)
     )
     return decoded_columns(frames)
+
+
+def stream_import_rows(files: DataFrame, decode_fn: Callable[[bytes], tuple[int, int, bytes]]) -> DataFrame:
+    """The same for a stream of rows with a ``content`` column and a user decoder."""
+    return decode_with(files, decode_fn)
