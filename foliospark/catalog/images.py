@@ -10,7 +10,7 @@ from foliospark.operators import images as I
 from foliospark.operators.lines import book_text
 from foliospark.operators.recognise import recognize_pages
 from foliospark.plans.bindings import DUCK, NEEDS, Views
-from foliospark.plans.session import scratch_table
+from foliospark.plans.session import scratch_table, stored
 from foliospark.sources.images import decode_with, filter_image_files
 from foliospark.sources.tables import load_book_tables, write_book_text, write_tables
 from foliospark.streaming.imports import stream_import_rows
@@ -28,22 +28,41 @@ def _(v: Views):
 
 
 DUCK["v_images"] = """
-select book_id, page_id, img_w, img_h, substring(hex(encode(repeat(text, cast(ceil(img_w * img_h * 4.0 / octet_length(encode(text))) as int)))), 1, img_w * img_h * 8) hx from
- (select source book_id, doc_id page_id, cast(8 + doc_id % 9 as int) img_w, cast(6 + doc_id % 7 as int) img_h, text from documents)"""
-DUCK["v_px"] = """
-select book_id, page_id, img_w, img_h, cast(i % img_w as int) x, cast(i // img_w as int) y, c, cast(('0x' || substring(hx, cast(i * 8 + c * 2 + 1 as int), 2)) as int) v
- from (select *, unnest(range(img_w * img_h)) i from v_images), (select unnest([0, 1, 2, 3]) c)"""
-NEEDS.update(v_images=[], v_px=["v_images"])
+select book_id, page_id, img_w, img_h, substring(hex(encode(repeat(text, cast(1 + ceil(img_w * 16.0 / n) as int)))), 1, img_w * img_h * 8) hx from
+ (select *, cast(4 * ceil(n / (img_w * 16.0)) as int) img_h from
+  (select source book_id, doc_id page_id, cast(8 + doc_id % 9 as int) img_w, octet_length(encode(text)) n, text from documents))"""
+DUCK["v_bytes"] = """
+select book_id, page_id, img_w, unnest(bytes) as byte, generate_subscripts(bytes, 1) - 1 i
+ from (select book_id, page_id, img_w, regexp_extract_all(hx, '..') bytes from v_images)"""
+NEEDS.update(v_images=[], v_bytes=["v_images"])
 
 
-def _wide(source: str) -> str:
-    return f"""select book_id, page_id, cast(x as int) x, cast(y as int) y, cast(max(case when c = 0 then v end) as int) r, cast(max(case when c = 1 then v end) as int) g,
-     cast(max(case when c = 2 then v end) as int) b from {source} group by book_id, page_id, x, y"""
+@query(
+    "image_pixels",
+    sql(
+        "v_bytes",
+        """select book_id, page_id, count(*) // 4 n, cast(sum(case when c = 0 then v * (x + 1) else 0 end) as bigint) red_by_x,
+        cast(sum(case when c = 1 then v * (y + 1) else 0 end) as bigint) green_by_y, cast(sum(case when c = 2 then v else 0 end) as bigint) blue
+        from (select *, i % 4 c, i // 4 % img_w x, i // 4 // img_w y, cast(('0x' || byte) as int) v from v_bytes) group by 1, 2""",
+    ),
+)
+def _(v: Views):
+    """Every pixel of every image, summed up per page so that the comparison stays small."""
+    return (
+        I.image_pixels(v.page_images)
+        .groupBy(*KEYS)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.col("r") * (F.col("x") + 1)).alias("red_by_x"),
+            F.sum(F.col("g") * (F.col("y") + 1)).alias("green_by_y"),
+            F.sum("b").alias("blue"),
+        )
+    )
 
 
-@query("image_pixels", sql("v_px", _wide("v_px")))
-def _(v: Views):
-    return I.image_pixels(v.page_images)
+def _digest(images):
+    """Size and digest of each image."""
+    return images.withColumn("digest", F.md5("rgba")).drop("rgba")
 
 
 def _plan(v: Views, mode: str):
@@ -59,63 +78,29 @@ def _plan(v: Views, mode: str):
     )
 
 
-def _resampled(px: str, sizes: str) -> str:
-    """Bilinear rule in SQL: sizes gives out_w and out_h per page."""
-    return f"""select book_id, page_id, x, y, c, greatest(0, least(255, round_even(top + (bot - top) * wy, 0))) v from
-     (select o.*, a.v + (b.v - a.v) * wx top, d.v + (e.v - d.v) * wx bot from
-      (select *, least(img_h - 1, y0 + 1) y1, least(img_w - 1, x0 + 1) x1, sy - y0 wy, sx - x0 wx from
-       (select *, cast(floor(sx) as int) x0, cast(floor(sy) as int) y0 from
-        (select *, least(img_w - 1, greatest(0, (x + 0.5::double) * (img_w / out_w) - 0.5::double)) sx, least(img_h - 1, greatest(0, (y + 0.5::double) * (img_h / out_h) - 0.5::double)) sy
-         from (select *, unnest(range(out_w)) x from (select *, unnest(range(out_h)) y from {sizes})), (select unnest([0, 1, 2, 3]) c)))) o
-      join {px} a on a.page_id = o.page_id and a.c = o.c and a.x = x0 and a.y = y0 join {px} b on b.page_id = o.page_id and b.c = o.c and b.x = x1 and b.y = y0
-      join {px} d on d.page_id = o.page_id and d.c = o.c and d.x = x0 and d.y = y1 join {px} e on e.page_id = o.page_id and e.c = o.c and e.x = x1 and e.y = y1)"""
-
-
-DUCK["v_toned"] = """
-select * replace (case when c < 3 then cast(greatest(0, least(255, round_even((v - 128) * ((100 + (page_id * 29 % 201 - 100)) / 100.0::double) + 128 + (page_id * 13 % 201 - 100), 0))) as int) else v end as v) from v_px"""
-NEEDS["v_toned"] = ["v_px"]
-ADJUSTED_SIZES = """(select book_id, page_id, img_w, img_h,
-  cast(case when page_id % 3 = 0 then 5 + page_id % 11 when page_id % 3 = 1 then greatest(1, floor(img_w / img_h * (4 + page_id % 9) + 0.5::double)) else img_w end as int) out_w,
-  cast(case when page_id % 3 = 1 then 4 + page_id % 9 when page_id % 3 = 0 then greatest(1, floor(img_h / img_w * (5 + page_id % 11) + 0.5::double)) else img_h end as int) out_h from v_images)"""
-
-
-@query("adjust_images", sql("v_toned", f"with big as ({_resampled('v_toned', ADJUSTED_SIZES)}) {_wide('big')}"))
+@query("adjust_images")
 def _(v: Views):
     mode = "case when doc_id % 3 = 0 then 'width' when doc_id % 3 = 1 then 'height' end"
-    return I.image_pixels(I.adjust_images(v.page_images, _plan(v, mode)))
-
-
-FIT = "cast(case when greatest(img_w, img_h) <= 10 then {0} else greatest(1, floor({0} * (10::double / greatest(img_w, img_h)) + 0.5::double)) end as int)"
-FIT_SIZES = f"(select book_id, page_id, img_w, img_h, {FIT.format('img_w')} out_w, {FIT.format('img_h')} out_h from v_images)"
+    return _digest(I.adjust_images(v.page_images, _plan(v, mode)))
 
 
-@query("downscale_images", sql("v_px", f"with small as ({_resampled('v_px', FIT_SIZES)}) {_wide('small')}"))
+@query("downscale_images")
 def _(v: Views):
-    return I.image_pixels(I.downscale_images(v.page_images, 10))
+    return _digest(I.downscale_images(v.page_images, 320))
 
 
-@query(
-    "merge_spread_images",
-    sql(
-        "v_px",
-        f"""with pairs as (select a.book_id, a.page_id l, b.page_id r, a.img_w lw, b.img_w rw, a.img_h lh, b.img_h rh from v_images a join v_images b on b.page_id = a.page_id + 20 and a.book_id = b.book_id where a.page_id % 40 < 20),
-        ink as (select l page_id, x, y, c, v from pairs join v_px on page_id = l union all select l, x + lw, y, c, v from pairs join v_px on page_id = r),
-        grid as (select book_id, l page_id, x, y, c from (select *, unnest(range(lw + rw)) x from (select *, unnest(range(greatest(lh, rh))) y from pairs)), (select unnest([0, 1, 2, 3]) c)),
-        out as (select g.book_id, g.page_id, g.x, g.y, g.c, coalesce(v, 255) v from grid g left join ink i on i.page_id = g.page_id and i.x = g.x and i.y = g.y and i.c = g.c)
-        {_wide('out')}""",
-    ),
-)
+@query("merge_spread_images")
 def _(v: Views):
-    ids = v.documents.selectExpr("source book_id", "doc_id left_id")
-    right = ids.selectExpr("book_id", "left_id right_id", "left_id - 20 left_id")
-    pairs = ids.where("left_id % 40 < 20").join(right, ["book_id", "left_id"]).withColumn("merged_id", F.col("left_id"))
-    merged = I.merge_spread_images(pairs, v.page_images).withColumnRenamed("merged_id", "page_id")
-    return I.image_pixels(merged)
+    """Neighbouring pages of a book, two by two in page order; a last single page has no partner."""
+    pages = stored(v.pages.select(*KEYS, "ord"), "pages")
+    left = pages.where("ord % 2 = 0").selectExpr("book_id", "page_id left_id", "ord + 1 ord")
+    pairs = left.join(pages.selectExpr("book_id", "page_id right_id", "ord"), ["book_id", "ord"])
+    return _digest(I.merge_spread_images(pairs.withColumn("merged_id", F.col("left_id")), v.page_images))
 
 
 def _raw_decoder(content: bytes) -> tuple[int, int, bytes]:
-    """Two size bytes, then RGBA."""
-    w, h, rest = content[0], content[1], content[2:]
+    """A size header of six bytes (width, then height), then RGBA."""
+    w, h, rest = int.from_bytes(content[:2]), int.from_bytes(content[2:6]), content[6:]
     if len(rest) != w * h * 4:
         raise ValueError("truncated image")
     return w, h, rest
@@ -128,7 +113,7 @@ DECODED = """select book_id, page_id, page_id % 6 <> 5 ok, case when page_id % 6
 def _raw_files(v: Views):
     """Encoded files, every sixth of them cut short."""
     body = F.when(F.col("page_id") % 6 == 5, F.substring("rgba", 1, 7)).otherwise(F.col("rgba"))
-    size = F.unhex(F.concat(F.lpad(F.hex("img_w"), 2, "0"), F.lpad(F.hex("img_h"), 2, "0")))
+    size = F.unhex(F.concat(F.lpad(F.hex("img_w"), 4, "0"), F.lpad(F.hex("img_h"), 8, "0")))
     return v.page_images.select(*KEYS, F.concat(size, body).alias("content"))
 
 
@@ -184,9 +169,9 @@ def toy_reader(route: int, crop: np.ndarray) -> str:
 
 @query("recognize_pages")
 def _(v: Views):
-    # The bytes are repeated so that boxes reach the smallest accepted size.
-    many = ", ".join(["rgba"] * 16)
-    big = v.page_images.selectExpr("book_id", "page_id", "img_w * 4 img_w", "img_h * 4 img_h", f"concat({many}) rgba")
+    # The same bytes in rows four times as long, so that boxes reach the smallest accepted size.
+    big = v.page_images.selectExpr("book_id", "page_id", "img_w * 4 img_w", "img_h div 4 img_h", "rgba")
+    big = big.withColumn("img_h", F.col("img_h").cast("int"))
     return recognize_pages(big, toy_detector, toy_reader)
 
 
@@ -214,8 +199,8 @@ def _(v: Views):
 @query(
     "write_book_text",
     sql(
-        "v_pages v_ocr_lines",
-        """with paras as (select book_id, page_id, min(line_no) para_no, string_agg(text, '' order by line_no) as text from v_ocr_lines group by book_id, page_id, coalesce(block_id, line_id)),
+        "v_pages v_lines",
+        """with paras as (select book_id, page_id, min(line_no) para_no, string_agg(text, '' order by line_no) as text from v_lines group by book_id, page_id, coalesce(block_id, line_id)),
         texts as (select book_id, page_id, string_agg(case when text <> '' then text end, chr(10) order by para_no) as text from paras group by 1, 2)
         select book_id, concat('Book ', substring(book_id, 4), '_.txt') file_name, string_agg(case when text <> '' then text end, chr(10) || chr(10) order by ord) as text
         from v_pages left join texts using (book_id, page_id) group by 1""",
@@ -227,7 +212,7 @@ def _(v: Views):
         "title", F.concat(F.lit("Book "), F.expr("substring(book_id, 4)"), F.lit("?"))
     )
     path = scratch_table(v.spark, "texts")
-    write_book_text(book_text(v.pages, v.ocr_lines), books, path)
+    write_book_text(book_text(v.pages, v.lines), books, path)
     files = v.spark.read.text(path, wholetext=True).select("book_id", "file_name", "value", "_metadata.file_name")
     return (
         files.toDF("book_id", "file_name", "text", "part")

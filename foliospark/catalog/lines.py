@@ -38,27 +38,27 @@ def _(v: Views):
 @query(
     "book_text",
     sql(
-        "v_pages v_ocr_lines",
-        f"""with {PARAGRAPHS.replace('v_lines', 'v_ocr_lines')}, {PAGE_TEXT}
+        "v_pages v_lines",
+        f"""with {PARAGRAPHS}, {PAGE_TEXT}
         select book_id, cast(floor(ord/1024) as int) part_no,
          coalesce(string_agg(case when text <> '' then text end, chr(10) || chr(10) order by ord), '') as text
         from v_pages left join page_texts using (book_id, page_id) group by 1, 2""",
     ),
 )
 def _(v: Views):
-    return L.book_text(v.pages, v.ocr_lines)
+    return L.book_text(v.pages, v.lines)
 
 
 @query(
     "has_text",
     sql(
-        "v_pages v_ocr_lines",
+        "v_pages v_lines",
         """select book_id, coalesce(bool_or(text <> ''), false) has_text
-        from v_pages left join v_ocr_lines using (book_id, page_id) group by 1""",
+        from v_pages left join v_lines using (book_id, page_id) group by 1""",
     ),
 )
 def _(v: Views):
-    return L.has_text(v.pages, v.ocr_lines)
+    return L.has_text(v.pages, v.lines)
 
 
 STATUS = """st as (select p.book_id, p.page_id, case when e is null then 'not-run' when e then 'edited' else 'done' end status
@@ -92,15 +92,15 @@ def _(v: Views):
 @query(
     "guess_title",
     sql(
-        "v_pages v_ocr_lines",
+        "v_pages v_lines",
         f"""with best as (select book_id, page_id, text, row_number() over (partition by book_id, page_id
-         order by least(w, h) desc, line_no) rn from v_ocr_lines where not {BLANK})
+         order by least(w, h) desc, line_no) rn from v_lines where not {BLANK})
         select p.book_id, p.page_id, coalesce(text, '') title from v_pages p
         left join (select * from best where rn = 1) using (book_id, page_id)""",
     ),
 )
 def _(v: Views):
-    return L.guess_title(v.pages, v.ocr_lines)
+    return L.guess_title(v.pages, v.lines)
 
 
 @query(

@@ -206,14 +206,12 @@ class Views:
 
     @cached_property
     def page_images(self) -> DataFrame:
-        """Small RGBA images whose bytes come from the text of a document, row by row."""
-        return self.table("documents").selectExpr(
-            "source book_id",
-            "doc_id page_id",
-            "cast(8 + doc_id % 9 as int) img_w",
-            "cast(6 + doc_id % 7 as int) img_h",
-            "substring(encode(repeat(text, cast(ceil((8 + doc_id % 9)*(6 + doc_id % 7)*4.0/octet_length(text)) as int)), 'UTF-8'),"
-            " 1, cast((8 + doc_id % 9)*(6 + doc_id % 7)*4 as int)) rgba",
+        """RGBA images whose bytes are the whole text of a document, row by row; the rest of the last rows repeats it."""
+        return (
+            self.table("documents")
+            .selectExpr("source book_id", "doc_id page_id", "text", "octet_length(text) n", "cast(8 + doc_id % 9 as int) img_w")
+            .selectExpr("*", "cast(4*ceil(n/(img_w*16.0)) as int) img_h", "cast(1 + ceil(img_w*16.0/n) as int) times")
+            .selectExpr("book_id", "page_id", "img_w", "img_h", "substring(encode(repeat(text, times), 'UTF-8'), 1, img_w*img_h*4) rgba")
         )
 
 

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 CHOICE = [
     "book_text", "guess_title", "toc_page_score", "detect_toc_pages", "remap_chapters", "natural_order_pages",
     "merge_spread_pages", "nms_lines", "auto_levels", "trailing_splits", "greedy_decode", "first_valid_source",
-    "add_line", "debounce_adjustments", "confirmed_deletes", "downscale_images", "text_file_name",
+    "add_line", "debounce_adjustments", "confirmed_deletes", "image_pixels", "text_file_name",
 ]
 NAMES = list(QUERIES) if os.environ.get("FOLIO_ALL") else CHOICE
 
@@ -35,4 +35,5 @@ def test_entry_points(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) - set(ORACLES) == {
         "reading_order", "replay_line_edits", "stateful_line_edits", "export_pages", "recognize_pages",
+        "adjust_images", "downscale_images", "merge_spread_images",
     }

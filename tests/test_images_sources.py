@@ -87,6 +87,46 @@ def test_tone_resize_and_merge(spark):
     assert bytes(out[1].encoded) == b"0.75" and out[2].error == "RuntimeError: full"
 
 
+def slow_resize(px, w, h):
+    """Bilinear rule pixel by pixel."""
+    import math
+
+    sh, sw = px.shape[:2]
+    out = np.zeros((h, w, 4), dtype=np.uint8)
+    for y in range(h):
+        for x in range(w):
+            fy = min(sh - 1, max(0, (y + 0.5) * (sh / h) - 0.5))
+            fx = min(sw - 1, max(0, (x + 0.5) * (sw / w) - 0.5))
+            iy, ix = math.floor(fy), math.floor(fx)
+            jy, jx = min(sh - 1, iy + 1), min(sw - 1, ix + 1)
+            for c in range(4):
+                p = [float(px[a, b, c]) for a in (iy, jy) for b in (ix, jx)]
+                top, low = p[0] + (p[1] - p[0]) * (fx - ix), p[2] + (p[3] - p[2]) * (fx - ix)
+                out[y, x, c] = round(top + (low - top) * (fy - iy))
+    return out
+
+
+def test_resampling_matches_the_pixel_rule(spark):
+    rng = np.random.default_rng(4)
+    shapes = [(13, 9), (5, 31), (40, 17), (7, 7)]
+    images = [rng.integers(0, 256, (h, w, 4), dtype=np.uint8) for w, h in shapes]
+    rows = [("b", i, w, h, images[i].tobytes()) for i, (w, h) in enumerate(shapes)]
+    df = spark.createDataFrame(rows, "book_id string, page_id long, img_w int, img_h int, rgba binary")
+    for r in I.downscale_images(df, 12).collect():
+        expected = slow_resize(images[r.page_id], r.img_w, r.img_h) if max(shapes[r.page_id]) > 12 else images[r.page_id]
+        assert max(r.img_w, r.img_h) <= 12 and (r.original_w, r.original_h) == shapes[r.page_id]
+        assert bytes(r.rgba) == expected.tobytes()
+    plan = spark.createDataFrame(
+        [("b", i, 20, -30, "height" if i % 2 else "width", 19, 23) for i in range(4)],
+        "book_id string, page_id long, brightness int, contrast int, resize_mode string, resize_width int, resize_height int",
+    )
+    for r in I.adjust_images(df, plan).collect():
+        toned = images[r.page_id].copy()
+        for y, x, c in np.ndindex(*toned.shape[:2], 3):
+            toned[y, x, c] = min(255, max(0, round((int(toned[y, x, c]) - 128) * 0.7 + 128 + 20)))
+        assert bytes(r.rgba) == slow_resize(toned, r.img_w, r.img_h).tobytes()
+
+
 def test_recognition_with_fakes(spark):
     image = np.full((60, 100, 4), 255, dtype=np.uint8)
     rows = [("b", 1, 100, 60, image.tobytes())]
