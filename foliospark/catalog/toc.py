@@ -241,7 +241,8 @@ def _(v: Views):
     sql(
         "v_pages",
         """select book_id, cast(case when book_id like '%3' then min(case when ord = 2 then ord end)
-         else coalesce(least(max(case when page_id % 17 = 5 then ord end) + 1, count(*) - 1), 0) end as int) body_start
+         when max(case when page_id % 17 = 5 then ord end) is null then 0
+         else least(max(case when page_id % 17 = 5 then ord end) + 1, count(*) - 1) end as int) body_start
         from v_pages group by 1""",
     ),
 )
@@ -264,7 +265,7 @@ def _(v: Views):
         "v_found v_toc_pages v_sig",
         f"""with sig as (select v_sig.* from v_sig join v_found on v_sig.book_id = v_found.book_id and page_ord = ord),
         ents as ({DUCK['v_book_entries'].replace('v_sig', 'sig')}),
-        starts as (select p.book_id, count(*) n, coalesce(least(max(f.ord) + 1, count(*) - 1), 0) b
+        starts as (select p.book_id, count(*) n, case when max(f.ord) is null then 0 else least(max(f.ord) + 1, count(*) - 1) end b
           from v_toc_pages p left join v_found f using (book_id, page_id) group by 1),
         idx as (select *, row_number() over (partition by book_id order by page_ord, line_no) s,
           greatest(0, least(b + printed_page - 1, n - 1)) i from ents join starts using (book_id)),
