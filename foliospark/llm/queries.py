@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chat, mixing, quality, sharding, url_filters
+from foliospark.llm import chat, language_id, mixing, quality, sentencepiece_fst, sharding, token_counts, url_filters
 from foliospark.llm.words import whole_text, word_count
 from foliospark.plans.session import stored
 
+PIECES = "piece_bpe_32k.model"
+WORDS = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -64,3 +68,25 @@ def op6(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(whole_text()).alias("size"))
     return mixing.mix_sizes(stored(docs, "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_sentencepiece")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_fst.pieces(docs, public_tokenizers.path(PIECES))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), sentencepiece_fst.ids_digest(F.col("ids")).alias("ids_sha256"), (F.col("decoded") == whole_text()).alias("same_text")
+    )
+
+
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs, public_tokenizers.path(PIECES))
+    return language_id.identify(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_token_counts")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path(WORDS)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
