@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chat, language_id, mixing, quality, sentencepiece_fst, sharding, token_counts, url_filters
+from foliospark.llm import chat, language_id, mixing, quality, rp_forest, sentencepiece_fst, sharding, token_counts, url_filters
 from foliospark.llm.words import whole_text, word_count
 from foliospark.plans.session import stored
 
@@ -90,3 +90,8 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path(WORDS)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op4_embedding_near_dedup")
+def op4(spark, sf_dir):
+    return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
