@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chat, language_id, mixing, quality, rp_forest, sentencepiece_fst, sharding, token_counts, url_filters
+from foliospark.llm import chat, language_id, mixing, ngram_join, quality, rp_forest, sentencepiece_fst, sharding, token_counts, url_filters
 from foliospark.llm.words import whole_text, word_count
 from foliospark.plans.session import stored
 
@@ -95,3 +95,8 @@ def op9(spark, sf_dir):
 @query("op4_embedding_near_dedup")
 def op4(spark, sf_dir):
     return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_ngram_jaccard_join")
+def op7(spark, sf_dir):
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
