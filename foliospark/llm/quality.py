@@ -40,6 +40,7 @@ FLOORS = (0.7, 0.05, 0.6, 1.0, 1.0)
 #: makes the covariance of the nearest three quarters that of all, for five normal statistics
 SPREAD = 1.41
 BINS = 16
+SALTS = 16
 D = len(FLOORS)
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -131,8 +132,10 @@ def _start(points: DataFrame) -> DataFrame:
 
 
 def _beside(points: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Points with the estimate of their group; one row per group on the other side."""
-    return points.join(estimates, "g")
+    """Points with the estimate of their group. Estimates go to each of ``SALTS`` parts of their group, so a hot group
+    is spread over tasks, and what is summed after the join is reduced there first."""
+    salted = estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return points.join(salted, ["g", "salt"])
 
 
 def _with_distance(points: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -165,12 +168,28 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rows of ``docs`` (lang, source, text, ...) with the counts, ``base_failed``, ``distance2`` and ``kept``."""
     made = {*STATS, "base_failed", "distance2", "kept"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
-    return verdict(base_stats(docs, text).withColumn("base_failed", base_failed()))
+    rated = base_stats(docs, text).withColumn("base_failed", base_failed())
+    return verdict(rated, stored(rated.select("lang", "source", *STATS, "base_failed"), "quality-stats"))
 
 
-def verdict(rated: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept.
+
+    A filter would be moved below the statistics and evaluate them again at each place they are used in; a generator
+    stays above them.
+    """
+    once = F.explode(F.array_repeat(F.lit(1), F.col("kept").cast("int"))).alias("_once")
+    return judge(docs, text).select(*docs.columns, once).drop("_once")
+
+
+def verdict(rated: DataFrame, sample: DataFrame | None = None) -> DataFrame:
+    """Adds ``distance2`` and ``kept`` to rows with counts; ``sample`` has the counts of all rows, ``rated`` by default,
+    and is read once more."""
+    sample = rated if sample is None else sample
     points = stored(
-        rated.where(~F.col("base_failed")).select(_group("lang", "source").alias("own"), _group("lang").alias("wide"), *_scaled()),
+        sample.where(~F.col("base_failed")).select(_group("lang", "source").alias("own"), _group("lang").alias("wide"), *_scaled()).withColumn(
+            "salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+        ),
         "quality-points",
     )
     sizes = points.groupBy("own", "wide").agg(F.count(F.lit(1)).alias("n"))
@@ -178,14 +197,14 @@ def verdict(rated: DataFrame) -> DataFrame:
     used = F.when(F.col("n") >= MIN_GROUP, F.col("own")).when(F.col("_wide_n") >= MIN_GROUP, F.col("wide"))
     chosen = stored(sizes.select("own", used.alias("g")).where(F.col("g").isNotNull()), "quality-groups")
     # The language's estimate is made of all its texts, and only where one of its sources needs it.
-    needed = chosen.select("g").distinct()
+    needed = chosen.select("g").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     columns = [f"x{i}" for i in range(D)]
-    own = points.select(F.col("own").alias("g"), *columns).join(needed, "g", "left_semi")
-    wide = points.select(F.col("wide").alias("g"), *columns).join(needed, "g", "left_semi")
-    sample = own.unionByName(wide)
-    estimates = _start(sample)
+    own = points.select(F.col("own").alias("g"), "salt", *columns).join(needed, ["g", "salt"], "left_semi")
+    wide = points.select(F.col("wide").alias("g"), "salt", *columns).join(needed, ["g", "salt"], "left_semi")
+    both = own.unionByName(wide)
+    estimates = _start(both)
     for _ in range(STEPS):
-        estimates = _concentrate(sample, estimates)
+        estimates = _concentrate(both, estimates)
     estimates = stored(chosen.join(estimates, "g").drop("g").withColumnRenamed("own", "g"), "quality-estimates")
     low = [[F.col(f"l{i}{j}") for j in range(i + 1)] for i in range(D)]
     scaled = rated.withColumn("g", _group("lang", "source")).withColumns({f"x{i}": c for i, c in enumerate(_scaled())})
