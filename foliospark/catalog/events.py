@@ -16,24 +16,24 @@ HOUR = 3_600_000_000
     "debounce_adjustments",
     sql(
         "v_events",
-        """select page_id, seq, value from (select *, lead(ts) over (partition by page_id order by ts, seq) nxt from v_events where op = 'update')
+        """select book_id, page_id, seq, value from (select *, lead(ts) over (partition by book_id, page_id order by ts, seq) nxt from v_events where op = 'update')
         where nxt is null or nxt >= ts + interval 12 hours""",
     ),
 )
 def _(v: Views):
-    return E.debounce_adjustments(v.events.where("op = 'update'"), 12 * HOUR).select("page_id", "seq", "value")
+    return E.debounce_adjustments(v.events.where("op = 'update'"), 12 * HOUR).select("book_id", "page_id", "seq", "value")
 
 
 @query(
     "confirmed_deletes",
     sql(
         "v_events",
-        """select page_id, seq from v_events d where op = 'delete' and not exists (select 1 from v_events u where u.op = 'undo'
-        and u.page_id = d.page_id and u.ts between d.ts and d.ts + interval 24 hours)""",
+        """select book_id, page_id, seq from v_events d where op = 'delete' and not exists (select 1 from v_events u where u.op = 'undo'
+        and u.page_id = d.page_id and u.book_id = d.book_id and u.ts between d.ts and d.ts + interval 24 hours)""",
     ),
 )
 def _(v: Views):
-    return E.confirmed_deletes(v.events, 24 * HOUR).select("page_id", "seq")
+    return E.confirmed_deletes(v.events, 24 * HOUR).select("book_id", "page_id", "seq")
 
 
 @query(

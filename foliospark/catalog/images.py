@@ -95,7 +95,8 @@ def _(v: Views):
     pages = stored(v.pages.select(*KEYS, "ord"), "pages")
     left = pages.where("ord % 2 = 0").selectExpr("book_id", "page_id left_id", "ord + 1 ord")
     pairs = left.join(pages.selectExpr("book_id", "page_id right_id", "ord"), ["book_id", "ord"])
-    return _digest(I.merge_spread_images(pairs.withColumn("merged_id", F.col("left_id")), v.page_images))
+    plan = _plan(v, "case when doc_id % 3 = 0 then 'width' when doc_id % 3 = 1 then 'height' end")
+    return _digest(I.merge_spread_images(pairs.withColumn("merged_id", F.col("left_id")), v.page_images, plan))
 
 
 def _raw_decoder(content: bytes) -> tuple[int, int, bytes]:

@@ -61,20 +61,21 @@ def _(v: Views):
     return L.has_text(v.pages, v.lines)
 
 
-STATUS = """st as (select p.book_id, p.page_id, case when e is null then 'not-run' when e then 'edited' else 'done' end status
+STATUS = """st as (select p.book_id, p.page_id, case when e then 'edited' when (p.book_id, p.page_id) in (select (book_id, page_id) from v_results) then 'done'
+ else 'not-run' end status
  from v_pages p left join (select book_id, page_id, bool_or(edited) e from v_ocr_lines group by 1, 2) using (book_id, page_id))"""
 
 
 @query(
     "ocr_status",
     sql(
-        "v_pages v_ocr_lines",
+        "v_pages v_ocr_lines v_results",
         f"""with {STATUS} select book_id, count(*) n_pages, count(*) filter (status = 'not-run') n_not_run,
         count(*) filter (status = 'done') n_done, count(*) filter (status = 'edited') n_edited from st group by 1""",
     ),
 )
 def _(v: Views):
-    return L.ocr_status(v.pages, v.ocr_lines)
+    return L.ocr_status(v.pages, v.ocr_lines, v.results)
 
 
 @query(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from foliospark.catalog.registry import query, sql
 from foliospark.functions import geometry as G
 from foliospark.functions import text as X
+from foliospark.functions.text import DEFAULT_RESIZE_HEIGHT, DEFAULT_RESIZE_WIDTH
 from foliospark.operators import chapters as C
 from foliospark.operators import pages as P
 from foliospark.plans.bindings import DUCK, NEEDS, Views
@@ -259,8 +260,12 @@ def _(v: Views):
     "merge_spread_pages",
     sql(
         "v_pages",
-        """with pr as (select a.book_id, a.ord, a.page_id first_id, b.page_id second_id, a.width + b.width width, greatest(a.height, b.height) height
-          from v_pages a join v_pages b on a.book_id = b.book_id and b.ord = a.ord + 1 where a.ord % 6 = 2),
+        f"""with t as (select book_id, page_id, ord,
+          cast(case when resize_mode = 'width' then {DEFAULT_RESIZE_WIDTH} when resize_mode = 'height' then greatest(1, floor(width::double / height * {DEFAULT_RESIZE_HEIGHT} + 0.5::double)) else width end as int) width,
+          cast(case when resize_mode = 'height' then {DEFAULT_RESIZE_HEIGHT} when resize_mode = 'width' then greatest(1, floor(height::double / width * {DEFAULT_RESIZE_WIDTH} + 0.5::double)) else height end as int) height
+          from v_pages),
+        pr as (select a.book_id, a.ord, a.page_id first_id, b.page_id second_id, a.width + b.width width, greatest(a.height, b.height) height
+          from t a join t b on a.book_id = b.book_id and b.ord = a.ord + 1 where a.ord % 6 = 2),
         u as (select book_id, page_id, ord, width, height, brightness, contrast from v_pages
           where (book_id, page_id) not in (select (book_id, first_id) from pr) and (book_id, page_id) not in (select (book_id, second_id) from pr)
          union all select book_id, -1 - first_id, ord, width, height, 0, 0 from pr)
@@ -355,6 +360,7 @@ def _(v: Views):
         (F.floor(F.avg("r")) - 100).cast("int").alias("auto_brightness"),
         (F.floor(F.avg("g")) - 120).cast("int").alias("auto_contrast"),
     )
+    levels = levels.join(v.pages.select(*PAGE), "page_id")
     return P.merge_auto_adjustment(v.pages, levels).select(*PAGE, "brightness", "contrast", "quality")
 
 
@@ -366,9 +372,10 @@ GONE = "page_id % 10 = 6"
     "upsert_ocr",
     sql(
         "v_pages v_ocr_lines",
-        f"""with new as ({NEW_LINES}), acc as (select * from new where not ({GONE}) and (book_id, page_id) not in (select distinct (book_id, page_id) from v_ocr_lines where edited))
-        select book_id, page_id, line_no, line_id, text, edited from v_ocr_lines where (book_id, page_id) not in (select distinct (book_id, page_id) from acc)
-        union all select * from acc""",
+        f"""with new as ({NEW_LINES}), acc as (select book_id, page_id from v_pages where (page_id % 3 = 0 or page_id % 7 = 5) and not ({GONE})
+          and (book_id, page_id) not in (select distinct (book_id, page_id) from v_ocr_lines where edited))
+        select book_id, page_id, line_no, line_id, text, edited from v_ocr_lines where (book_id, page_id) not in (select (book_id, page_id) from acc)
+        union all select * from new where (book_id, page_id) in (select (book_id, page_id) from acc)""",
     ),
 )
 def _(v: Views):
@@ -377,7 +384,9 @@ def _(v: Views):
         "book_id", "page_id", "line_no", F.concat("line_id", F.lit("-r2")).alias("line_id"),
         F.concat("text", F.lit("!")).alias("text"), F.lit(False).alias("edited"),
     )
-    return P.upsert_ocr(v.ocr_lines.select(*columns), new, v.pages.where(f"not ({GONE})"))
+    # every page of the first kind has new lines, those of the second kind came out blank
+    results = v.pages.where("page_id % 3 = 0 or page_id % 7 = 5")
+    return P.upsert_ocr(v.ocr_lines.select(*columns), new, v.pages.where(f"not ({GONE})"), results=results)
 
 
 @query(
@@ -394,10 +403,10 @@ def _(v: Views):
 
 @query(
     "ocr_targets_new_only",
-    sql("v_pages v_ocr_lines", f"select book_id, page_id, 'run' decision from v_pages where not ({GONE}) and page_id not in (select page_id from v_ocr_lines)"),
+    sql("v_pages v_results", f"select book_id, page_id, 'run' decision from v_pages where not ({GONE}) and (book_id, page_id) not in (select (book_id, page_id) from v_results)"),
 )
 def _(v: Views):
-    return P.ocr_targets(v.pages.select(*PAGE), v.pages.where(f"not ({GONE})"), v.ocr_lines)
+    return P.ocr_targets(v.pages.select(*PAGE), v.pages.where(f"not ({GONE})"), v.ocr_lines, results=v.results)
 
 
 @query("delete_pages", sql("v_lines", f"select book_id, page_id, line_no from v_lines where not ({GONE})"))
@@ -457,15 +466,16 @@ def _(v: Views):
 @query(
     "book_state",
     sql(
-        "v_pages v_ocr_lines",
+        "v_pages v_ocr_lines v_results",
         """select b.book_id, concat('Title of ', b.book_id) title, n_pages, coalesce(n_recognised, 0) n_recognised, coalesce(n_edited, 0) n_edited,
          cast(coalesce(n_lines, 0) as bigint) n_lines, coalesce(n_chapters, 0) n_chapters
         from (select book_id, count(*) n_pages from v_pages group by 1) b
         left join (select book_id, count(*) n_recognised, count(*) filter (e) n_edited, sum(c) n_lines
-          from (select book_id, page_id, bool_or(edited) e, count(*) c from v_ocr_lines group by 1, 2) group by 1) using (book_id)
+          from v_results left join (select book_id, page_id, bool_or(edited) e, count(*) c from v_ocr_lines group by 1, 2) using (book_id, page_id)
+          group by 1) using (book_id)
         left join (select book_id, count(*) n_chapters from v_pages where page_id % 6 = 0 group by 1) using (book_id)""",
     ),
 )
 def _(v: Views):
     books = v.pages.select("book_id").distinct().withColumn("title", F.concat(F.lit("Title of "), F.col("book_id")))
-    return P.book_state(books, v.pages, v.ocr_lines, v.pages.where("page_id % 6 = 0"))
+    return P.book_state(books, v.pages, v.ocr_lines, v.pages.where("page_id % 6 = 0"), v.results)

@@ -70,6 +70,7 @@ def _(v: Views):
 )
 def _(v: Views):
     levels = I.auto_levels(v.pixels, KEY).selectExpr("page_id", "brightness auto_brightness", "contrast auto_contrast")
+    levels = levels.join(v.pages.select("book_id", "page_id"), "page_id")
     return P.merge_auto_adjustment(v.pages, levels).select("book_id", "page_id", "brightness", "contrast", "quality")
 
 

@@ -227,13 +227,13 @@ def _(v: Views):
 @query(
     "unscanned_pages",
     sql(
-        "v_pages v_ocr_lines",
+        "v_pages v_results",
         """select book_id, page_id, ord from v_pages join (select book_id, count(*) n from v_pages group by 1) using (book_id)
-        where ord < least(ceil(n * 0.3::double), 40) and page_id not in (select page_id from v_ocr_lines)""",
+        where ord < least(ceil(n * 0.3::double), 40) and (book_id, page_id) not in (select (book_id, page_id) from v_results)""",
     ),
 )
 def _(v: Views):
-    return T.unscanned_pages(v.pages, v.ocr_lines).select("book_id", "page_id", "ord")
+    return T.unscanned_pages(v.pages, v.results).select("book_id", "page_id", "ord")
 
 
 @query(

@@ -5,6 +5,7 @@ Boxes of one image share ``keys`` (for example book_id and page_id). ``det_no``
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliospark.functions.geometry import LINE_PAD, box_center_in, box_iou
-from foliospark.plans.ordered import slot
-from foliospark.plans.session import cut_lineage, spread
+from foliospark.plans.session import cut_lineage
 
 # Fixed values of the detector.
 SCORE_THRESHOLD = 0.3
@@ -23,11 +23,6 @@ BLOCK_CLASS = 0
 IOU_THRESHOLD = 0.5
 BLOCK_COVERAGE = 0.7
 
-# Distinct boxes of one image that are suppressed in a single pass. Images with more go through rounds. At most 1,000,
-# the largest limit that Spark applies inside a window before its shuffle.
-BOXES_PER_PASS = 1000
-BLOCKS_PER_ARRAY = 1000
-
 
 def detection_filter(dets: DataFrame, images: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Detector output to boxes in image pixels.
@@ -66,35 +61,68 @@ def _box(prefix: Column) -> tuple[Column, ...]:
     return prefix["x"], prefix["y"], prefix["w"], prefix["h"]
 
 
-def _greedy(boxes: Column, threshold: float) -> Column:
-    """Boxes kept by walking an ordered array: one is kept when it overlaps no kept box by more than the threshold."""
+def _level(side: Column) -> Column:
+    """Exponent of the smallest power of two that is not below a box side."""
+    return F.ceil(F.log2(F.greatest(side, F.lit(1e-6)))).cast("int")
+
+
+def _cell(at: Column, level: Column) -> Column:
+    return F.floor(at / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _cells(boxes: DataFrame, level: Column) -> DataFrame:
+    """A row for each cell of the grid of ``level`` that a box touches: at most two by two when no side is longer."""
+    along = lambda at, size: F.sequence(_cell(F.col(at), F.col("_level")), _cell(F.col(at) + F.col(size), F.col("_level")))
+    placed = boxes.withColumn("_level", level)
+    return placed.withColumn("_cx", F.explode(along("x", "w"))).withColumn("_cy", F.explode(along("y", "h")))
 
-    def step(kept: Column, box: Column) -> Column:
-        free = F.forall(kept, lambda k: box_iou(_box(k), _box(box)) <= F.lit(threshold))
-        return F.when(free, F.concat(kept, F.array(box))).otherwise(kept)
 
-    return F.aggregate(boxes, F.filter(boxes, lambda _: F.lit(False)), step)
+def _overlaps(boxes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Pairs (a, b) of box numbers of an image whose overlap exceeds the threshold, the better box first.
+
+    Boxes meet by an equal key, the cell of a grid as coarse as the larger box. Boxes that overlap by more than the
+    threshold differ in size by less than its inverse, so the smaller one enters a few levels only. A pair is taken in
+    the cell in which the intersection begins.
+    """
+    side = _level(F.greatest("w", "h"))
+    levels = math.ceil(-math.log2(threshold)) + 1
+    sized = boxes.where("w > 0 and h > 0").select(*keys, "det_no", "score", "x", "y", "w", "h", side.alias("_own"))
+    up = sized.withColumn("_up", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    grid = [*keys, "_level", "_cx", "_cy"]
+    inner = _cells(up, F.col("_own") + F.col("_up")).drop("_up")
+    outer = _cells(sized, F.col("_own"))
+    names = ["det_no", "score", "x", "y", "w", "h", "_own"]
+    one, two = ({n: f"{n}{i}" for n in names} for i in (1, 2))
+    both = inner.withColumnsRenamed(one).join(outer.withColumnsRenamed(two), grid)
+    box = lambda i: tuple(F.col(f"{c}{i}") for c in "xywh")
+    begins = (_cell(F.greatest("x1", "x2"), F.col("_level")) == F.col("_cx")) & (_cell(F.greatest("y1", "y2"), F.col("_level")) == F.col("_cy"))
+    once = (F.col("_own1") < F.col("_own2")) | ((F.col("_own1") == F.col("_own2")) & (F.col("det_no1") < F.col("det_no2")))
+    rank = lambda i: F.struct(-F.col(f"score{i}"), F.col(f"det_no{i}"))
+    better = rank(1) < rank(2)
+    return both.where(once & begins & (box_iou(box(1), box(2)) > F.lit(threshold))).select(
+        *keys, F.when(better, F.col("det_no1")).otherwise(F.col("det_no2")).alias("_a"), F.when(better, F.col("det_no2")).otherwise(F.col("det_no1")).alias("_b")
+    )
 
 
-def nms_lines(
-    lines: DataFrame, keys: Sequence[str], threshold: float = IOU_THRESHOLD, boxes_per_pass: int = BOXES_PER_PASS
-) -> DataFrame:
+def nms_lines(lines: DataFrame, keys: Sequence[str], threshold: float = IOU_THRESHOLD) -> DataFrame:
     """Greedy non-maximum suppression per image; returns the kept rows of ``lines``.
 
     Exact copies of a box are reduced to the best one before the shuffle: whatever a copy would be compared with, it
-    overlaps fully with the better one. An image is then one array of distinct boxes. Images with more than
-    ``boxes_per_pass`` boxes are handled by ``_rounds``, so no task ever holds an unbounded image. Finding them is
-    one count per image, combined before its shuffle.
+    overlaps fully with the better one. Overlapping pairs are then found once, on a grid. In each round the boxes that
+    no better undecided box overlaps are kept, and what they overlap goes. Rounds follow the longest chain of
+    overlapping boxes, whatever an image's number of boxes, and no task holds an image.
     """
     keys = list(keys)
-    sizes = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > boxes_per_pass).select(*keys)
-    if large.isEmpty():
-        return _one_pass(_distinct(lines, keys), keys, threshold).select(*lines.columns)
-    large = cut_lineage(large)
-    small_part = _one_pass(_distinct(lines.join(large, keys, "left_anti"), keys), keys, threshold)
-    large_part = _rounds(_distinct(lines.join(large, keys, "left_semi"), keys), keys, threshold, boxes_per_pass)
-    return small_part.unionByName(large_part).select(*lines.columns)
+    boxes = cut_lineage(_distinct(lines, keys))
+    live = cut_lineage(_overlaps(boxes, keys, threshold))
+    removed = live.select(*keys, F.col("_b").alias("det_no")).where("false")
+    while not live.isEmpty():
+        worse = live.select(*keys, F.col("_b").alias("_a")).distinct()
+        best = live.select(*keys, "_a").distinct().join(worse, [*keys, "_a"], "left_anti")
+        gone = cut_lineage(live.join(best, [*keys, "_a"], "left_semi").select(*keys, "_b").distinct())
+        removed = removed.unionByName(gone.withColumnRenamed("_b", "det_no"))
+        live = cut_lineage(live.join(gone, [*keys, "_b"], "left_anti").join(gone.withColumnRenamed("_b", "_a"), [*keys, "_a"], "left_anti"))
+    return boxes.join(removed, [*keys, "det_no"], "left_anti").select(*lines.columns)
 
 
 def _distinct(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,86 +133,30 @@ def _distinct(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.groupBy(*keys, *box).agg(best).select(*keys, *box, "_best.*")
 
 
-def _one_pass(distinct: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Suppression of whole images: best score first, detector order on ties."""
-    rest = [c for c in distinct.columns if c not in {*keys, "det_no", "x", "y", "w", "h"}]
-    row = F.struct((-F.col("score")).alias("_rank"), "det_no", "x", "y", "w", "h", *rest)
-    return (
-        spread(distinct, *keys)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(row)).alias("_boxes"))
-        .select(*keys, F.explode(_greedy(F.col("_boxes"), threshold)).alias("_kept"))
-        .select(*keys, "_kept.*")
-        .drop("_rank")
-    )
-
-
-def _rounds(distinct: DataFrame, keys: list[str], threshold: float, boxes_per_pass: int) -> DataFrame:
-    """Suppression for images with very many distinct boxes.
-
-    A round takes the best boxes of each image (a limit inside the window keeps the shuffle to that many rows per
-    task), decides them finally, and removes all other boxes that overlap a kept one. Every round decides at least
-    ``boxes_per_pass`` boxes of an image or ends it.
-    """
-    best_first = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "det_no")
-    remaining = cut_lineage(distinct)
-    kept_parts: list[DataFrame] = []
-    while not remaining.isEmpty():
-        top = cut_lineage(
-            remaining.withColumn("_rn", F.row_number().over(best_first)).where(F.col("_rn") <= boxes_per_pass).drop("_rn")
-        )
-        kept = cut_lineage(_one_pass(top, keys, threshold))
-        kept_parts.append(kept)
-        walls = kept.groupBy(*keys).agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("_walls"))
-        here = (F.col("x"), F.col("y"), F.col("w"), F.col("h"))
-        remaining = cut_lineage(
-            remaining.join(top.select(*keys, "det_no"), [*keys, "det_no"], "left_anti")
-            .join(walls, keys)
-            .where(F.forall("_walls", lambda k: box_iou(_box(k), here) <= F.lit(threshold)))
-            .drop("_walls")
-        )
-    out = kept_parts[0]
-    for part in kept_parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _first_block(lines: DataFrame, shapes: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``_hit``, the lowest number of a block that holds the line's centre.
-
-    ``shapes`` are grouped into one array per row; an image may have several rows when ``_chunk`` is among the keys.
-    """
-    arrays = shapes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("no", "x", "y", "w", "h"))).alias("_blocks"))
-    here = (F.col("x"), F.col("y"), F.col("w"), F.col("h"))
-    hits = F.filter("_blocks", lambda b: box_center_in(here, _box(b)))
-    image = [k for k in keys if k != "_chunk"]
-    hit = F.get(F.transform(hits, lambda b: b["no"]), F.lit(0))
-    return lines.join(arrays, image, "left").withColumn("_hit", hit).drop("_blocks", "_chunk")
-
-
-def assign_lines_to_blocks(
-    lines: DataFrame, blocks: DataFrame, keys: Sequence[str], blocks_per_array: int = BLOCKS_PER_ARRAY
-) -> DataFrame:
+def assign_lines_to_blocks(lines: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds ``block_no`` (first block that holds the line's centre) and ``block_id`` to suppressed lines.
 
     When fewer than 70 % of an image's lines lie in a block, blocks are not used for the image. Block ids count the
     blocks in the order in which lines, best score first, meet them.
 
-    The blocks of an image travel as one array of distinct boxes, so no line x block rows are produced. An image with
-    more than ``blocks_per_array`` blocks has several arrays, and each line takes the lowest hit of all of them.
+    A block stands in at most four cells of a grid as coarse as itself, and a line's centre in one cell of each grid
+    that its image's blocks use, so lines meet the blocks around them by an equal key.
     """
     keys = list(keys)
     shapes = blocks.groupBy(*keys, "x", "y", "w", "h").agg(F.min("det_no").alias("no"))
-    crowded = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > blocks_per_array)
-    if crowded.isEmpty():
-        placed = _first_block(lines, shapes, keys)
-    else:
-        crowded = cut_lineage(crowded.select(*keys))
-        plain = _first_block(lines.join(crowded, keys, "left_anti"), shapes, keys)
-        split = shapes.join(crowded, keys, "left_semi").withColumn("_chunk", slot("no", blocks_per_array))
-        many = _first_block(lines.join(crowded, keys, "left_semi"), split, [*keys, "_chunk"])
-        lowest = many.groupBy(*lines.columns).agg(F.min("_hit").alias("_hit"))
-        placed = plain.unionByName(lowest)
+    cells = _cells(shapes, _level(F.greatest("w", "h")))
+    levels = shapes.select(*keys, _level(F.greatest("w", "h")).alias("_level")).distinct()
+    here = (F.col("x"), F.col("y"), F.col("w"), F.col("h"))
+    at = lines.select(*keys, "det_no", *here).join(levels, keys)
+    at = at.withColumn("_cx", _cell(F.col("x") + F.col("w") / 2, F.col("_level"))).withColumn("_cy", _cell(F.col("y") + F.col("h") / 2, F.col("_level")))
+    around = cells.select(*keys, "_level", "_cx", "_cy", "no", F.struct("x", "y", "w", "h").alias("_block"))
+    hits = (
+        at.join(around, [*keys, "_level", "_cx", "_cy"])
+        .where(box_center_in(here, _box(F.col("_block"))))
+        .groupBy(*keys, "det_no")
+        .agg(F.min("no").alias("_hit"))
+    )
+    placed = lines.join(hits, [*keys, "det_no"], "left")
 
     first = F.min(F.struct((-F.col("score")).alias("rank"), "det_no"))
     per_block = placed.groupBy(*keys, "_hit").agg(F.count(F.lit(1)).alias("_n"), first.alias("_first"))

@@ -34,14 +34,18 @@ def delete_line(lines: DataFrame, edits: DataFrame) -> DataFrame:
     return _renumber(lines.join(edits.select(*PAGE, "line_id"), [*PAGE, "line_id"], "left_anti"), ["line_no"])
 
 
-def add_line(lines: DataFrame, adds: DataFrame) -> DataFrame:
+def add_line(lines: DataFrame, adds: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """Inserts empty edited lines (book_id, page_id, line_id, after_line_id, add_no, x, y, w, h).
 
     A line goes right after the named line, so of several adds at one place the last comes first; without a known
-    line it goes to the end, in order of ``add_no``.
+    line it goes to the end, in order of ``add_no``. ``results`` (book_id, page_id) names recognised pages; on one
+    without lines the first new line gets number 0. Adds on pages without a result have no effect.
     """
     anchors = lines.select(*PAGE, F.col("line_id").alias("after_line_id"), F.col("line_no").alias("_at"))
-    ends = lines.groupBy(*PAGE).agg((F.max("line_no") + 1).alias("_end"))
+    ends = lines.select(*PAGE, (F.col("line_no") + 1).alias("_end"))
+    if results is not None:
+        ends = ends.unionByName(results.select(*PAGE, F.lit(0).cast(ends.schema["_end"].dataType).alias("_end")))
+    ends = ends.groupBy(*PAGE).agg(F.max("_end").alias("_end"))
     new = (
         adds.join(ends, PAGE)
         .join(anchors, [*PAGE, "after_line_id"], "left")

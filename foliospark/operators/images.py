@@ -109,8 +109,13 @@ def downscale_images(images: DataFrame, max_edge: int, keys: Sequence[str] = ("b
     return _map_images(rows, [*keys, "original_w", "original_h"], change, IMAGE, IMAGE_NAMES)
 
 
-def merge_spread_images(pairs: DataFrame, images: DataFrame) -> DataFrame:
-    """Left and right page of a pair (book_id, merged_id, left_id, right_id) side by side on white, top aligned."""
+def merge_spread_images(pairs: DataFrame, images: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Left and right page of a pair (book_id, merged_id, left_id, right_id) side by side on white, top aligned.
+
+    With ``pages``, tone and resize rule of each page are applied first, as when it is shown.
+    """
+    if pages is not None:
+        images = adjust_images(images, pages)
     left = images.selectExpr("book_id", "page_id left_id", "img_w lw", "img_h lh", "rgba lp")
     right = images.selectExpr("book_id", "page_id right_id", "img_w rw", "img_h rh", "rgba rp")
     rows = pairs.join(left, ["book_id", "left_id"]).join(right, ["book_id", "right_id"])

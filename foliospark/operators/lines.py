@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from foliospark.functions.geometry import line_font_size
 from foliospark.functions.text import is_blank
+from foliospark.operators.pages import page_flags
 from foliospark.plans.ordered import number_rows, slot, text_parts
 
 PAGE = ["book_id", "page_id"]
@@ -83,23 +84,23 @@ def has_text(pages: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def page_status(pages: DataFrame, lines: DataFrame) -> DataFrame:
-    """Per page: not-run, done or edited."""
-    per_page = lines.groupBy(*PAGE).agg(F.bool_or("edited").alias("any_edit"))
+def page_status(pages: DataFrame, lines: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """Per page: not-run, done or edited. ``results`` (book_id, page_id) also names recognised pages without lines."""
+    per_page = page_flags(lines, results).drop("n_lines")
     status = (
         F.when(F.col("any_edit").isNull(), F.lit("not-run")).when(F.col("any_edit"), F.lit("edited")).otherwise(F.lit("done"))
     )
     return pages.select(*PAGE, "ord").join(per_page, PAGE, "left").select(*PAGE, "ord", status.alias("status"))
 
 
-def ocr_status(pages: DataFrame, lines: DataFrame) -> DataFrame:
+def ocr_status(pages: DataFrame, lines: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """Counts of page states per book."""
 
     def n(value: str) -> Column:
         return F.count_if(F.col("status") == value)
 
     return (
-        page_status(pages, lines)
+        page_status(pages, lines, results)
         .groupBy("book_id")
         .agg(
             F.count(F.lit(1)).alias("n_pages"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions.geometry import target_size
 from foliospark.functions.text import (
     DEFAULT_QUALITY,
     DEFAULT_RESIZE_HEIGHT,
@@ -147,10 +148,13 @@ def move_page(pages: DataFrame, moves: DataFrame) -> DataFrame:
 def merge_spread_pages(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     """Replaces two pages by one at the first page's place (book_id, first_id, second_id, merged_id).
 
-    The merged page is as wide as both and as high as the higher one; its adjustment starts from zero.
+    Both pages count with the size that their resize rule gives them: the merged page is as wide as both and as high
+    as the higher one. Its adjustment starts from zero.
     """
-    first = pages.select("book_id", F.col("page_id").alias("first_id"), "ord", F.col("width").alias("_w1"), F.col("height").alias("_h1"))
-    second = pages.select("book_id", F.col("page_id").alias("second_id"), F.col("width").alias("_w2"), F.col("height").alias("_h2"))
+    size = target_size("width", "height", "resize_mode", "resize_width", "resize_height")
+    sized = with_schema_defaults(pages).select("book_id", "page_id", "ord", size.alias("_size"))
+    first = sized.select("book_id", F.col("page_id").alias("first_id"), "ord", F.col("_size.width").alias("_w1"), F.col("_size.height").alias("_h1"))
+    second = sized.select("book_id", F.col("page_id").alias("second_id"), F.col("_size.width").alias("_w2"), F.col("_size.height").alias("_h2"))
     merged = pairs.join(first, ["book_id", "first_id"]).join(second, ["book_id", "second_id"])
     gone = pairs.select("book_id", F.explode(F.array("first_id", "second_id")).alias("page_id"))
     fresh = merged.select(
@@ -183,38 +187,56 @@ def copy_adjustment(pages: DataFrame, source: DataFrame, group: str) -> DataFram
 
 
 def merge_auto_adjustment(pages: DataFrame, levels: DataFrame) -> DataFrame:
-    """Overwrites the tone of pages that have a measured result (page_id, auto_brightness, auto_contrast)."""
+    """Overwrites the tone of pages that have a measured result (book_id, page_id, auto_brightness, auto_contrast)."""
     return (
-        pages.join(levels, "page_id", "left")
+        pages.join(levels, PAGE, "left")
         .withColumn("brightness", F.coalesce("auto_brightness", "brightness"))
         .withColumn("contrast", F.coalesce("auto_contrast", "contrast"))
         .drop("auto_brightness", "auto_contrast")
     )
 
 
-def upsert_ocr(old: DataFrame, new: DataFrame, pages: DataFrame, overwrite_edited: bool = False) -> DataFrame:
+def page_flags(lines: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """Per recognised page: any_edit and n_lines. ``results`` (book_id, page_id) also names pages without lines."""
+    rows = lines.select(*PAGE, "edited", F.lit(1).alias("_line"))
+    if results is not None:
+        rows = rows.unionByName(results.select(*PAGE, F.lit(False).alias("edited"), F.lit(0).alias("_line")))
+    return rows.groupBy(*PAGE).agg(F.bool_or("edited").alias("any_edit"), F.sum("_line").alias("n_lines"))
+
+
+def upsert_ocr(
+    old: DataFrame, new: DataFrame, pages: DataFrame, overwrite_edited: bool = False, results: DataFrame | None = None
+) -> DataFrame:
     """Replaces the lines of newly recognised pages.
 
-    A result whose page is gone is dropped; a page with edited lines keeps them unless overwriting is on. ``new`` may
-    come from a page without lines, so the page set is taken from its (book_id, page_id) rows.
+    A result whose page is gone is dropped; a page with edited lines keeps them unless overwriting is on. ``results``
+    (book_id, page_id) names the new results, which may have no lines; without it they are the pages of ``new``.
     """
-    accepted = new.join(pages.select(*PAGE), PAGE, "left_semi")
+    accepted = (new if results is None else results).select(*PAGE).distinct().join(pages.select(*PAGE), PAGE, "left_semi")
     if not overwrite_edited:
         accepted = accepted.join(old.where("edited").select(*PAGE).distinct(), PAGE, "left_anti")
-    kept = old.join(accepted.select(*PAGE).distinct(), PAGE, "left_anti")
-    return kept.unionByName(accepted.select(*old.columns))
+    kept = old.join(accepted, PAGE, "left_anti")
+    return kept.unionByName(new.join(accepted, PAGE, "left_semi").select(*old.columns))
 
 
 def ocr_targets(
-    requested: DataFrame, pages: DataFrame, lines: DataFrame, skip_done: bool = True, overwrite_edited: bool = False
+    requested: DataFrame,
+    pages: DataFrame,
+    lines: DataFrame,
+    skip_done: bool = True,
+    overwrite_edited: bool = False,
+    results: DataFrame | None = None,
 ) -> DataFrame:
-    """Requested pages that exist, with ``decision`` = run or skipped-edited; finished pages are left out."""
-    per_page = lines.groupBy(*PAGE).agg(F.bool_or("edited").alias("_edited"))
-    rows = requested.join(pages.select(*PAGE), PAGE, "left_semi").join(per_page, PAGE, "left")
+    """Requested pages that exist, with ``decision`` = run or skipped-edited; finished pages are left out.
+
+    ``results`` (book_id, page_id) also names finished pages without lines.
+    """
+    flags = page_flags(lines, results).drop("n_lines")
+    rows = requested.join(pages.select(*PAGE), PAGE, "left_semi").join(flags, PAGE, "left")
     if skip_done:
-        rows = rows.where(F.col("_edited").isNull())
-    held = F.coalesce(F.col("_edited"), F.lit(False)) & F.lit(not overwrite_edited)
-    return rows.withColumn("decision", F.when(held, F.lit("skipped-edited")).otherwise(F.lit("run"))).drop("_edited")
+        rows = rows.where(F.col("any_edit").isNull())
+    held = F.coalesce(F.col("any_edit"), F.lit(False)) & F.lit(not overwrite_edited)
+    return rows.withColumn("decision", F.when(held, F.lit("skipped-edited")).otherwise(F.lit("run"))).drop("any_edit")
 
 
 def delete_pages(table: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -254,18 +276,19 @@ def undo_bulk_adjustment(pages: DataFrame, snapshot: DataFrame) -> DataFrame:
     ).drop("_saved", *[f"_{f}" for f in fields])
 
 
-def book_state(books: DataFrame, pages: DataFrame, lines: DataFrame, chapters: DataFrame) -> DataFrame:
-    """One summary row per book."""
-    per_page = lines.groupBy(*PAGE).agg(F.bool_or("edited").alias("_edited"), F.count(F.lit(1)).alias("_lines"))
+def book_state(
+    books: DataFrame, pages: DataFrame, lines: DataFrame, chapters: DataFrame, results: DataFrame | None = None
+) -> DataFrame:
+    """One summary row per book. ``results`` (book_id, page_id) also names recognised pages without lines."""
     page_side = (
         pages.select(*PAGE)
-        .join(per_page, PAGE, "left")
+        .join(page_flags(lines, results), PAGE, "left")
         .groupBy("book_id")
         .agg(
             F.count(F.lit(1)).alias("n_pages"),
-            F.count_if(F.col("_edited").isNotNull()).alias("n_recognised"),
-            F.count_if("_edited").alias("n_edited"),
-            F.coalesce(F.sum("_lines"), F.lit(0)).alias("n_lines"),
+            F.count_if(F.col("any_edit").isNotNull()).alias("n_recognised"),
+            F.count_if("any_edit").alias("n_edited"),
+            F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n_lines"),
         )
     )
     chapter_side = chapters.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_chapters"))

@@ -71,6 +71,12 @@ class Views:
         """Lines of the pages that were recognised: every eleventh page has no result."""
         return self.lines.where("page_id % 11 <> 3")
 
+    @cached_property
+    def results(self) -> DataFrame:
+        """Recognised pages; half of those without lines are among them, as blank pages."""
+        docs = self.table("documents").where("doc_id % 11 <> 3 or doc_id % 2 = 0")
+        return docs.selectExpr("source book_id", "doc_id page_id")
+
     @cached_property
     def toc_lines(self) -> DataFrame:
         part = self.table("part").selectExpr("p_brand book_id", "p_partkey", "p_name", "p_type")
@@ -255,6 +261,7 @@ select cast(floor(l_orderkey/4) as bigint) page_id,
   cast((l_partkey*17 + l_suppkey) % 1000 as double)/1000 score,
   cast(1 + l_partkey % 3 as int) char_count
 from lineitem""",
+    "v_results": "select source book_id, doc_id page_id from documents where doc_id % 11 <> 3 or doc_id % 2 = 0",
     "v_pixels": "select l_orderkey % 100 page_id, cast(l_partkey % 256 as int) r, cast((l_suppkey*3) % 256 as int) g, cast(l_quantity*5 as int) % 256 b from lineitem",
     "v_scores": """
 select vec_id line_id, cast(floor(i/8) as int) pos, cast(i % 8 as int) tok, cast(v as double) logit

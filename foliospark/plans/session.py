@@ -31,7 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
     A cluster names a folder every executor can reach in ``spark.checkpoint.dir``. Only where that setting is
-    absent (tests on one machine) is a local folder made, once per application.
+    absent and the session runs on one machine is a local folder made, once per application; on a cluster its absence
+    is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     current = spark.sparkContext.getCheckpointDir()
@@ -40,6 +41,8 @@ def shared_folder(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="spark-foliospark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(current)
     return current

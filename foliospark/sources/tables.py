@@ -10,17 +10,14 @@ from foliospark.functions.text import text_file_name
 TABLES = ("pages", "lines", "chapters", "books")
 
 
-def write_tables(df: DataFrame, root: str, name: str, *, files_per_book: int | None = None) -> None:
+def write_tables(df: DataFrame, root: str, name: str) -> None:
     """Replaces the books that occur in ``df``; other books of the table stay as they are.
 
-    Rows are spread by book and a hash bucket before writing, so one large book is written by several tasks and a
-    small one makes few files.
+    Rows are rebalanced by book at run time: partitions of small books are merged, a large book is split into as many
+    as its size asks for.
     """
-    buckets = files_per_book or 8
-    spread = df.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(buckets)))
     (
-        spread.repartition("book_id", "_bucket")
-        .drop("_bucket")
+        df.hint("rebalance", "book_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("book_id")
@@ -28,9 +25,13 @@ def write_tables(df: DataFrame, root: str, name: str, *, files_per_book: int | N
     )
 
 
-def load_book_tables(spark: SparkSession, root: str, name: str, schema: str | None = None) -> DataFrame:
-    """A stored table; files with fewer columns than the newest are read with nulls."""
-    reader = spark.read.option("mergeSchema", schema is None)
+def load_book_tables(spark: SparkSession, root: str, name: str, schema: str | None = None, merge: bool = False) -> DataFrame:
+    """A stored table; files with fewer columns than ``schema`` are read with nulls.
+
+    Without a schema one file's columns hold for all; ``merge`` reads the columns of every file instead, which opens
+    each of them first.
+    """
+    reader = spark.read.option("mergeSchema", merge and schema is None)
     return (reader.schema(schema) if schema else reader).parquet(f"{root}/{name}")
 
 

@@ -1,7 +1,7 @@
 """Rules about event order and time: batch forms for stored logs, streaming forms for live ones.
 
-Batch forms use the bucketed helpers, with one bucket per day, so that one very active page or book does not end up
-in a single task. Streaming forms use a watermark of ten seconds, because the original rules define none.
+A page is known by its book and its number where events have both. Batch forms use the bucketed helpers, with one
+bucket per quarter of an hour, so that one very active page or book does not end up in a single task. Streaming forms use a watermark of ten seconds, because the original rules define none.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ WATERMARK = "10 seconds"
 # Silence before an adjustment is written, and time to undo a delete.
 DEBOUNCE = "250 milliseconds"
 DELETE_WAIT = "5 seconds"
-DAY = 86_400_000_000
+BUCKET = 900_000_000
 
 
 def micros(col: str = "ts") -> Column:
@@ -27,23 +27,28 @@ def micros(col: str = "ts") -> Column:
     return F.unix_micros(F.col(col).cast("timestamp"))
 
 
-def _day() -> Column:
-    return F.floor(F.col("_us") / F.lit(DAY)).cast("long")
+def _bucket() -> Column:
+    return F.floor(F.col("_us") / F.lit(BUCKET)).cast("long")
+
+
+def page_key(events: DataFrame) -> list[str]:
+    return [c for c in ("book_id", "page_id") if c in events.columns]
 
 
 def debounce_adjustments(events: DataFrame, gap_us: int = 250_000) -> DataFrame:
     """Adjustments that are written: those with no newer one of the same page within the gap."""
     timed = events.withColumn("_us", micros())
-    rows = carry(timed, ["page_id"], _day(), ["_us", "seq"], F.col("_us"), "_next", backwards=True)
+    rows = carry(timed, page_key(events), _bucket(), ["_us", "seq"], F.col("_us"), "_next", backwards=True)
     return rows.where(F.col("_next").isNull() | (F.col("_next") - F.col("_us") >= gap_us)).drop("_us", "_next")
 
 
 def debounce_stream(events: DataFrame, gap: str = DEBOUNCE, watermark: str = WATERMARK) -> DataFrame:
+    page = page_key(events)
     return (
         events.withWatermark("ts", watermark)
-        .groupBy("page_id", F.session_window("ts", gap))
+        .groupBy(*page, F.session_window("ts", gap))
         .agg(F.max_by(F.struct("seq", "value"), F.struct("ts", "seq")).alias("_last"))
-        .select("page_id", "_last.seq", "_last.value")
+        .select(*page, "_last.seq", "_last.value")
     )
 
 
@@ -54,21 +59,23 @@ def confirmed_deletes(events: DataFrame, wait_us: int = 5_000_000) -> DataFrame:
     """
     both = events.where(F.col("op").isin("delete", "undo")).withColumn("_us", micros())
     undo = F.when(F.col("op") == "undo", F.col("_us"))
-    rows = carry(both, ["page_id"], _day(), ["_us", "seq"], undo, "_undo", backwards=True)
+    rows = carry(both, page_key(events), _bucket(), ["_us", "seq"], undo, "_undo", backwards=True)
     late = F.col("_undo").isNull() | (F.col("_undo") - F.col("_us") > wait_us)
     return rows.where((F.col("op") == "delete") & late).drop("_us", "_undo")
 
 
 def confirmed_deletes_stream(events: DataFrame, wait: str = DELETE_WAIT, watermark: str = WATERMARK) -> DataFrame:
     """Left outer interval join; a delete comes out once the watermark has passed its waiting time."""
-    deletes = events.where("op = 'delete'").select("page_id", "seq", "ts").withWatermark("ts", watermark)
+    page = page_key(events)
+    deletes = events.where("op = 'delete'").select(*page, "seq", "ts").withWatermark("ts", watermark)
     undos = (
         events.where("op = 'undo'")
-        .select(F.col("page_id").alias("undo_page"), F.col("ts").alias("undo_ts"))
+        .select(*[F.col(c).alias(f"undo_{c}") for c in page], F.col("ts").alias("undo_ts"))
         .withWatermark("undo_ts", watermark)
     )
-    within = F.expr(f"undo_page = page_id and undo_ts >= ts and undo_ts <= ts + interval {wait}")
-    return deletes.join(undos, within, "left_outer").where("undo_page is null").select("page_id", "seq", "ts")
+    same = " and ".join(f"undo_{c} = {c}" for c in page)
+    within = F.expr(f"{same} and undo_ts >= ts and undo_ts <= ts + interval {wait}")
+    return deletes.join(undos, within, "left_outer").where("undo_ts is null").select(*page, "seq", "ts")
 
 
 def drop_stale_responses(requests: DataFrame, replies: DataFrame) -> DataFrame:
@@ -83,13 +90,17 @@ def drop_stale_responses(requests: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def drop_stale_responses_stream(
-    requests: DataFrame, replies: DataFrame, open_for: str = "10 minutes", watermark: str = WATERMARK
+    requests: DataFrame, replies: DataFrame, open_for: str | None = None, watermark: str = WATERMARK
 ) -> DataFrame:
+    """The stream form. A reply may come at any time after its request, so requests are remembered for good unless
+    ``open_for`` bounds how long they stay open."""
     opened = requests.select("request_id", F.col("ts").alias("opened_ts")).withWatermark("opened_ts", watermark)
     done = replies.where("kind = 'done'").withColumnRenamed("request_id", "reply_to").withWatermark("ts", watermark)
-    within = F.expr(f"reply_to = request_id and ts >= opened_ts and ts <= opened_ts + interval {open_for}")
-    joined = opened.join(done, within).select("request_id", "reply_no", "value", "ts")
-    return joined.dropDuplicatesWithinWatermark(["request_id"]).drop("ts")
+    until = f" and ts <= opened_ts + interval {open_for}" if open_for else ""
+    joined = opened.join(done, F.expr(f"reply_to = request_id and ts >= opened_ts{until}"))
+    answers = joined.select("request_id", "reply_no", "value", "ts")
+    once = answers.dropDuplicatesWithinWatermark(["request_id"]) if open_for else answers.dropDuplicates(["request_id"])
+    return once.drop("ts")
 
 
 def latest_page_result(results: DataFrame) -> DataFrame:

@@ -50,9 +50,9 @@ def test_detector_output(spark):
     assert got[4].class_id == 16
 
 
-@pytest.mark.parametrize("per_pass", [1000, 7])
-def test_suppression_matches_the_walk(spark, per_pass):
-    rng = random.Random(11)
+@pytest.mark.parametrize("seed", [11, 12])
+def test_suppression_matches_the_walk(spark, seed):
+    rng = random.Random(seed)
     pages = {}
     for page in (1, 2, 3):
         n = 150 if page == 1 else 12
@@ -66,21 +66,11 @@ def test_suppression_matches_the_walk(spark, per_pass):
         part = boxes(spark, rows, page)
         df = part if df is None else df.unionByName(part)
     got = {}
-    for r in D.nms_lines(df, ["page_id"], boxes_per_pass=per_pass).collect():
+    for r in D.nms_lines(df, ["page_id"]).collect():
         got.setdefault(r.page_id, []).append(r.det_no)
     assert {p: sorted(v) for p, v in got.items()} == {p: greedy(rows) for p, rows in pages.items()}
 
 
-def test_round_limit_is_applied_before_the_shuffle(spark):
-    from pyspark.sql import functions as F
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("page_id").orderBy(F.col("score").desc(), "det_no")
-    df = boxes(spark, [(0, 0, 1, 1)]).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= D.BOXES_PER_PASS)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and plan.index("Exchange") < plan.rindex("WindowGroupLimit")
-
-
 def d(x, y, w, h):
     return (x, y, w, h, 1.0)
 
@@ -116,8 +106,20 @@ def test_images_with_many_blocks(spark):
     lines = boxes(spark, [d(i * 10, 0, 8, 8) for i in range(20)])
     areas = boxes(spark, [d(i * 10 - 1, -1, 40, 12) for i in range(20)])
     one = {r.det_no: (r.block_no, r.block_id) for r in D.assign_lines_to_blocks(lines, areas, ["page_id"]).collect()}
-    split = {r.det_no: (r.block_no, r.block_id) for r in D.assign_lines_to_blocks(lines, areas, ["page_id"], 3).collect()}
-    assert one == split and [one[i][0] for i in range(6)] == [0, 0, 0, 0, 1, 2]
+    assert [one[i][0] for i in range(6)] == [0, 0, 0, 0, 1, 2]
+
+
+def test_blocks_of_all_sizes(spark):
+    rng = random.Random(4)
+    spot = lambda size: (rng.uniform(-50, 400), rng.uniform(0, 400), rng.uniform(1, size), rng.uniform(1, size), rng.random())
+    lines, areas = [spot(30) for _ in range(150)], [spot(rng.choice((3, 40, 300))) for _ in range(60)]
+    got = {r.det_no: r._hit for r in D.assign_lines_to_blocks(boxes(spark, lines), boxes(spark, areas), ["page_id"]).withColumnRenamed("block_no", "_hit").collect()}
+    expected = {}
+    for i, (x, y, w, h, _) in enumerate(lines):
+        cx, cy = x + w / 2, y + h / 2
+        expected[i] = next((k for k, (bx, by, bw, bh, _) in enumerate(areas) if bx <= cx <= bx + bw and by <= cy <= by + bh), None)
+    used = sum(v is not None for v in expected.values()) >= 0.7 * len(lines)
+    assert got == (expected if used else dict.fromkeys(expected))
 
 
 def slow_rank(items):

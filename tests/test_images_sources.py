@@ -57,7 +57,7 @@ def test_tables_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("b", 1, "x"), ("c", 2, "y")], "book_id string, page_id long, v string")
     ST.write_tables(rows, str(tmp_path), "pages")
     ST.write_tables(spark.createDataFrame([("b", 5, "z", 1)], "book_id string, page_id long, v string, more int"), str(tmp_path), "pages")
-    got = {(r.book_id, r.page_id, r.v, r.more) for r in ST.load_book_tables(spark, str(tmp_path), "pages").collect()}
+    got = {(r.book_id, r.page_id, r.v, r.more) for r in ST.load_book_tables(spark, str(tmp_path), "pages", merge=True).collect()}
     assert got == {("b", 5, "z", 1), ("c", 2, "y", None)}
 
 

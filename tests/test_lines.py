@@ -124,3 +124,22 @@ def test_add_and_move(spark):
     assert moved("l3", -5) == ["l3", "l0", "l1", "l2"]
     assert moved("l1", 99) == ["l0", "l2", "l3", "l1"]
     assert moved("zz", 1) == ["l0", "l1", "l2", "l3"]
+
+
+def test_pages_without_lines(spark):
+    from foliospark.operators import lines as L
+    from foliospark.operators import pages as P
+
+    pages = spark.createDataFrame([("b", 1, 0), ("b", 2, 1), ("b", 3, 2)], "book_id string, page_id long, ord int")
+    lines = spark.createDataFrame([("b", 1, 0, "x", "t", True), ("b", 3, 0, "y", "t", False)], "book_id string, page_id long, line_no int, line_id string, text string, edited boolean")
+    results = pages.where("page_id < 3")
+    counts = L.ocr_status(pages, lines, results).first()
+    assert (counts.n_not_run, counts.n_done, counts.n_edited) == (0, 2, 1)
+    assert [r.page_id for r in P.ocr_targets(pages.select("book_id", "page_id"), pages, lines.where("page_id = 1"), results=results).collect()] == [3]
+    blank = P.upsert_ocr(lines, lines.where("false"), pages, results=pages)
+    assert [r.page_id for r in blank.collect()] == [1]
+    geometry = ["cast(0 as double) x", "cast(0 as double) y", "cast(1 as double) w", "cast(1 as double) h"]
+    adds = spark.range(2).selectExpr("'b' book_id", "2L page_id", "concat('n', id) line_id", "cast(null as string) after_line_id", "id add_no", *geometry)
+    wide = lines.selectExpr("*", "cast(null as string) block_id", *geometry)
+    got = E.add_line(wide, adds, results).where("page_id = 2").orderBy("line_no").collect()
+    assert [(r.line_id, r.line_no) for r in got] == [("n0", 0), ("n1", 1)]

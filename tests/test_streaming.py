@@ -135,3 +135,11 @@ def test_stateful_edits_over_several_batches(spark, tmp_path):
     pages = {r.page_id: [(x["line_id"], x["text"]) for x in json.loads(r.lines)] for r in SE.current_pages(out).collect()}
     assert pages == {1: [("b", "B"), ("a", "A"), ("n", "N")], 2: []}
     assert [r.late_seq for r in out.where(F.col("late_seq").isNotNull()).collect()] == [4]
+
+
+def test_pages_of_two_books_are_apart(spark):
+    keyed = "book_id string, " + SCHEMA
+    rows = [("a", 1, 0, at(spark, 0), "delete", 0.0), ("b", 1, 1, at(spark, 2), "undo", 0.0), ("a", 1, 2, at(spark, 10), "update", 1.0), ("b", 1, 3, at(spark, 10.1), "update", 1.0)]
+    events = spark.createDataFrame(rows, keyed)
+    assert [r.seq for r in E.confirmed_deletes(events).collect()] == [0]
+    assert {r.seq for r in E.debounce_adjustments(events.where("op = 'update'")).collect()} == {2, 3}
