@@ -13,8 +13,8 @@ The common order comes from counts of all shingles in 65,536 buckets, so shared
 whatever the corpus; any order is right, a good one keeps lists short. Lists of one set are dropped. In a long list not
 all pairs are formed: first every set is compared with the set in which the shingle stands earliest, which joins a group
 of copies by as many pairs as it has members. Lists whose sets are then of one component are done; of the others, only
-sets of different components are paired, and only if sizes and places allow 80 %. Every pair is verified on whole sets,
-so no link between different components is lost and none is added.
+sets of different components are paired. Pairs go on only if sizes, places and the number of shared entries allow 80 %,
+and are then verified on whole sets, so no link between different components is lost and none is added.
 
 Sets are known by a 64-bit sum of mixed shingle hashes; equal sets are one from the start, so exact copies cost one
 entry per task. Shingle hashes have 64 bits. Texts are read three times instead of moving sets: for counts, for lists,
@@ -178,12 +178,15 @@ def _rate(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInPandas(run, "kind int, doc_id long, size long, name long")
 
 
-def _entries(docs: DataFrame, order: np.ndarray, limit: int, percent: int, words: int) -> DataFrame:
-    """List entries (key, place, size, name) of every set; a task writes a set that it meets again only once."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)  # one number per bucket
+def _entries(docs: DataFrame, order: np.ndarray, limit: int, percent: int, words: int, only: np.ndarray | None = None) -> DataFrame:
+    """List entries (key, place, size, name) of every set; a task writes a set that it meets again only once.
+
+    ``only``: bitmap of keys that are wanted.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((order, only))  # one number per bucket, and a bitmap of fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rank, seen = shared.value, set()
+        (rank, wanted), seen = shared.value, set()
         for batch in batches:
             for texts in runs(batch["text"].tolist()):
                 keys, places, sizes, names = [], [], [], []
@@ -207,28 +210,39 @@ def _entries(docs: DataFrame, order: np.ndarray, limit: int, percent: int, words
                         sizes.append(np.full(len(order_in), n))
                         names.append(np.full(len(order_in), name))
                 if keys:
-                    yield pd.DataFrame(
-                        {"key": np.concatenate(keys), "place": np.concatenate(places), "size": np.concatenate(sizes), "name": np.concatenate(names)}
-                    )
+                    made = {"key": keys, "place": places, "size": sizes, "name": names}
+                    made = {c: np.concatenate(v) for c, v in made.items()}
+                    if wanted is not None:
+                        hit = _in_bitmap(wanted, made["key"])
+                        made = {c: v[hit] for c, v in made.items()}
+                    yield pd.DataFrame(made)
 
     return docs.select("text").mapInPandas(run, "key long, place int, size int, name long")
 
 
-def _sets_of(docs: DataFrame, names: DataFrame, words: int) -> DataFrame:
-    """(name, shingles) of the sets in ``names`` (name, doc_id: a document that has it)."""
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS))
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bits of the values in column h, modulo a fixed number of bits; at most 2 ** (BITMAP_BITS - 6) rows reach the driver."""
+    h = F.pmod("h", F.lit(1 << BITMAP_BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
-    words64 = names.groupBy(F.shiftright(h, 6).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits"))
-    found = words64.toPandas()  # at most 2 ** (BITMAP_BITS - 6) rows
+    found = hashes.groupBy(F.shiftright(h, 6).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     bitmap[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    return bitmap.view(np.uint64)
+
+
+def _in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h.astype(np.uint64) & np.uint64((1 << BITMAP_BITS) - 1)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _sets_of(docs: DataFrame, names: DataFrame, words: int) -> DataFrame:
+    """(name, shingles) of the sets in ``names`` (name, doc_id: a document that has it)."""
+    h = F.xxhash64("doc_id")
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(names.select(h.alias("h"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value.view(np.uint64)
         for batch in batches:
-            at = batch["h"].to_numpy(np.int64)
-            wanted = (bits[at >> 6] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1
+            wanted = _in_bitmap(shared.value, batch["h"].to_numpy(np.int64))
             for texts in runs(batch["text"][wanted].tolist()):
                 sets = shingle_sets(texts, words)
                 yield pd.DataFrame({"name": [set_id(s) for s in sets], "shingles": [s.astype(np.int64) for s in sets]})
@@ -253,14 +267,15 @@ def jaccard_join(docs: DataFrame, percent: int = 80, words: int = WORDS, doc_id:
 
     classes = rows.where("doc_id is not null and size > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     classes = stored(classes, "ngram-classes")
-    entries = stored(_entries(docs.where("doc_id is not null"), counts, limit, percent, words), "ngram-entries")
-    lists = (
-        entries.groupBy("key")
-        .agg(F.min("name").alias("low"), F.max("name").alias("high"), F.min(F.struct("place", "name", "size")).alias("head"))
-        .where("low != high")
-        .select("key", "head")
-    )
-    lists = stored(entries.join(lists, "key").distinct(), "ngram-lists")
+    entries = _entries(docs.where("doc_id is not null"), counts, limit, percent, words)
+    # Texts are read again for the entries of lists with two sets and more, so the others are neither kept nor moved.
+    shared_keys = entries.groupBy("key").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low != high").select("key")
+    shared_keys = stored(shared_keys, "ngram-keys")
+    wanted = _bitmap(shared_keys.select(F.col("key").alias("h")))
+    entries = _entries(docs.where("doc_id is not null"), counts, limit, percent, words, wanted)
+    entries = stored(entries.join(shared_keys, "key", "left_semi").distinct(), "ngram-entries")
+    lists = entries.groupBy("key").agg(F.min(F.struct("place", "name", "size")).alias("head"))
+    lists = stored(entries.join(lists, "key"), "ngram-lists")
 
     def allowed(a: str, b: str):
         """Whether sizes, and what can follow the places of the common entry, leave room for the similarity."""
@@ -271,7 +286,9 @@ def jaccard_join(docs: DataFrame, percent: int = 80, words: int = WORDS, doc_id:
     heads = lists.select("key", "name", "place", "size", F.col("head.name").alias("h_name"), F.col("head.place").alias("h_place"), F.col("head.size").alias("h_size"))
     pairs = heads.where("name != h_name").withColumnsRenamed({"name": "a_name", "place": "a_place", "size": "a_size"})
     pairs = pairs.where(allowed("a_", "h_")).select(F.col("a_name").alias("x"), F.col("h_name").alias("y")).distinct()
-    links = _verified(docs, stored(pairs, "ngram-pairs"), classes, percent, words)
+    marks = entries.groupBy("name").agg(F.collect_set("key").alias("keys"), F.max("size").alias("size"))
+    marks = stored(marks, "ngram-marks")  # a set has no more entries than it has shingles
+    links = _verified(docs, _promising(pairs, marks, limit, percent), classes, percent, words)
 
     joined = components(links, "x", "y")
     one = lists.drop("head").join(joined, F.col("name") == F.col("node"), "left").withColumn("part", F.coalesce("component", "name")).drop("node", "component")
@@ -285,7 +302,7 @@ def jaccard_join(docs: DataFrame, percent: int = 80, words: int = WORDS, doc_id:
         .select(F.col("a_name").alias("x"), F.col("b_name").alias("y"))
         .distinct()
     )
-    links = links.union(_verified(docs, stored(more, "ngram-pairs"), classes, percent, words))
+    links = links.union(_verified(docs, _promising(more, marks, limit, percent), classes, percent, words))
 
     # components of set names, then their smallest document
     joined = components(links, "x", "y")
@@ -296,10 +313,23 @@ def jaccard_join(docs: DataFrame, percent: int = 80, words: int = WORDS, doc_id:
     return rows.join(named, "name", "left").select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
 
 
+def _promising(pairs: DataFrame, marks: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Pairs whose listed shingles leave room for the similarity.
+
+    Of two sets, take the one whose listed part ends first in the common order: what it shares stands in both listed
+    parts, or after its own. So similar sets share at least the common shingles they need, less what is not listed.
+    """
+    x, y = (marks.select(F.col("name").alias(n), F.col("keys").alias(f"{n}k"), F.col("size").alias(f"{n}n")) for n in ("x", "y"))
+    rest = lambda n: F.floor((percent * F.col(n) + 99) / 100) - 1
+    needed = F.ceil(percent * (F.col("xn") + F.col("yn")) / (100 + percent)) - F.greatest(rest("xn"), rest("yn"))
+    enough = (F.least("xn", "yn") <= limit) | (F.size(F.array_intersect("xk", "yk")) >= needed)
+    return stored(pairs.join(x, "x").join(y, "y").where(enough).select("x", "y"), "ngram-pairs")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, words: int) -> DataFrame:
     """The pairs (x, y) of set names whose sets are similar."""
     names = pairs.select(F.col("x").alias("name")).union(pairs.select(F.col("y").alias("name"))).distinct()
-    sets = stored(_sets_of(docs, classes.join(names, "name"), words), "ngram-candidates")
+    sets = _sets_of(docs, classes.join(names, "name"), words)
     x, y = (sets.select(F.col("name").alias(n), F.col("shingles").alias(f"{n}s")) for n in ("x", "y"))
     both = F.size(F.array_intersect("xs", "ys"))
     similar = (100 + percent) * both >= percent * (F.size("xs") + F.size("ys"))
