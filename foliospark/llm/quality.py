@@ -33,8 +33,8 @@ SCALE = 256
 KEEP_SHARE = 0.75
 MIN_GROUP = 50
 STEPS = 3
-#: chi-square with five degrees of freedom leaves 1.5e-7 beyond it
-CUTOFF = 40.0
+#: chi-square with five degrees of freedom leaves 1e-5 beyond it
+CUTOFF = 30.9
 #: least standard deviations: log length, log word length, log symbol rate, log repeated-line rate, log repetition rate
 FLOORS = (0.7, 0.05, 0.6, 1.0, 1.0)
 #: makes the covariance of the nearest three quarters that of all, for five normal statistics
