@@ -73,21 +73,32 @@ IMAGE = "img_w int, img_h int, rgba binary"
 IMAGE_NAMES = ["img_w", "img_h", "rgba"]
 
 
+def _with_plan(images: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Images with the tone and the output size of their page, and its quality where pages have one."""
+    size = target_size("img_w", "img_h", "resize_mode", "resize_width", "resize_height")
+    more = [jpeg_quality("quality").alias("_quality")] if "quality" in pages.columns else []
+    plan = pages.select(*keys, "brightness", "contrast", "resize_mode", "resize_width", "resize_height", *more)
+    kept = [c for c in plan.columns if c == "_quality"]
+    return images.join(plan, keys).select(
+        *keys, *IMAGE_NAMES, "brightness", "contrast", size["width"].alias("out_w"), size["height"].alias("out_h"),
+        *[F.col(c).alias("quality") for c in kept],
+    )
+
+
+def _adjusted(r) -> np.ndarray:
+    toned = _tone(_pixels(r.rgba, r.img_w, r.img_h), int(r.brightness), int(r.contrast))
+    return _resample(toned, int(r.out_w), int(r.out_h))
+
+
 def adjust_images(images: DataFrame, pages: DataFrame, keys: Sequence[str] = ("book_id", "page_id")) -> DataFrame:
     """Applies each page's tone, then its resize rule."""
     keys = list(keys)
-    size = target_size("img_w", "img_h", "resize_mode", "resize_width", "resize_height")
-    plan = pages.select(*keys, "brightness", "contrast", "resize_mode", "resize_width", "resize_height")
-    rows = images.join(plan, keys).select(
-        *keys, *IMAGE_NAMES, "brightness", "contrast", size["width"].alias("out_w"), size["height"].alias("out_h")
-    )
 
     def change(r) -> tuple:
-        toned = _tone(_pixels(r.rgba, r.img_w, r.img_h), int(r.brightness), int(r.contrast))
-        out = _resample(toned, int(r.out_w), int(r.out_h))
+        out = _adjusted(r)
         return out.shape[1], out.shape[0], out.tobytes()
 
-    return _map_images(rows, keys, change, IMAGE, IMAGE_NAMES)
+    return _map_images(_with_plan(images, pages, keys), keys, change, IMAGE, IMAGE_NAMES)
 
 
 def downscale_images(images: DataFrame, max_edge: int, keys: Sequence[str] = ("book_id", "page_id")) -> DataFrame:
@@ -168,16 +179,21 @@ def export_pages(
     encode_fn: Callable[[np.ndarray, float], bytes],
     keys: Sequence[str] = ("book_id", "page_id"),
 ) -> DataFrame:
-    """Adjusted pages encoded by a user function (pixels, quality 0..1); a failing page gets its error text."""
+    """Adjusted pages encoded by a user function (pixels, quality 0..1), in one pass over the images.
+
+    A page that cannot be adjusted or encoded gets its error text and its original size.
+    """
     keys = list(keys)
-    adjusted = adjust_images(images, pages, keys)
-    rows = adjusted.join(pages.select(*keys, jpeg_quality("quality").alias("quality")), keys)
+    rows = _with_plan(images, pages, keys)
 
     def change(r) -> tuple:
+        w, h = r.img_w, r.img_h
         try:
-            return r.img_w, r.img_h, encode_fn(_pixels(r.rgba, r.img_w, r.img_h), float(r.quality)), None
+            out = _adjusted(r)
+            h, w = out.shape[:2]
+            return w, h, encode_fn(out, float(r.quality)), None
         except Exception as e:  # reported per row
-            return r.img_w, r.img_h, None, f"{type(e).__name__}: {e}"
+            return w, h, None, f"{type(e).__name__}: {e}"
 
     return _map_images(
         rows, keys, change, "img_w int, img_h int, encoded binary, error string", ["img_w", "img_h", "encoded", "error"]

@@ -85,6 +85,9 @@ def test_tone_resize_and_merge(spark):
 
     out = {r.page_id: r for r in I.export_pages(images, pages, encoder).collect()}
     assert bytes(out[1].encoded) == b"0.75" and out[2].error == "RuntimeError: full"
+    broken = images.selectExpr("book_id", "page_id", "img_w", "img_h", "case when page_id = 1 then substring(rgba, 1, 5) else rgba end rgba")
+    out = {r.page_id: r for r in I.export_pages(broken, pages, lambda pixels, quality: b"x").collect()}
+    assert out[1].error.startswith("ValueError") and bytes(out[2].encoded) == b"x"
 
 
 def slow_resize(px, w, h):
