@@ -31,27 +31,35 @@ from foliospark.plans.session import stored
 KEYS = ["book_id", "page_id"]
 DETECTED = (
     "book_id string, page_id long, det_no int, x1 double, y1 double, x2 double, y2 double, score double, label int,"
-    " char_count int"
+    " char_count int, error string"
 )
 NUMBER_ROUTE = 30
 
 
+def _error_text(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
 def detect(images: DataFrame, detect_fn: Callable[[np.ndarray], list[tuple]]) -> DataFrame:
-    names = ["det_no", "x1", "y1", "x2", "y2", "score", "label", "char_count"]
+    """Boxes of every page; a page whose detection fails is one row with its error."""
+    names = ["det_no", "x1", "y1", "x2", "y2", "score", "label", "char_count", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                found = detect_fn(_pixels(r.rgba, r.img_w, r.img_h))
-                rows.extend((r.book_id, r.page_id, i, *box) for i, box in enumerate(found))
+                try:
+                    found = detect_fn(_pixels(r.rgba, r.img_w, r.img_h))
+                    rows.extend((r.book_id, r.page_id, i, *box, None) for i, box in enumerate(found))
+                except Exception as e:  # reported per page
+                    rows.append((r.book_id, r.page_id, *[None] * 8, _error_text(e)))
             yield pd.DataFrame(rows, columns=[*KEYS, *names])
 
     return images.select(*KEYS, "img_w", "img_h", "rgba").mapInPandas(run, DETECTED)
 
 
 def read_boxes(images: DataFrame, boxes: DataFrame, read_fn: Callable[[int, np.ndarray], str]) -> DataFrame:
-    """Texts of boxes (piece_id, x, y, w, h, route). A page travels once, together with the list of its boxes."""
+    """Text or error of boxes (piece_id, x, y, w, h, route). A page travels once, together with the list of its boxes."""
     lists = boxes.groupBy(*KEYS).agg(
         F.sort_array(F.collect_list(F.struct("route", "piece_id", "x", "y", "w", "h"))).alias("boxes")
     )
@@ -60,15 +68,19 @@ def read_boxes(images: DataFrame, boxes: DataFrame, read_fn: Callable[[int, np.n
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                image = _pixels(r.rgba, r.img_w, r.img_h)
                 for b in r.boxes:
                     x0, y0 = max(0, int(np.floor(b["x"]))), max(0, int(np.floor(b["y"])))
                     x1, y1 = int(np.ceil(b["x"] + b["w"])), int(np.ceil(b["y"] + b["h"]))
-                    rows.append((r.book_id, r.page_id, b["piece_id"], read_fn(int(b["route"]), image[y0:y1, x0:x1])))
-            yield pd.DataFrame(rows, columns=[*KEYS, "piece_id", "text"])
+                    try:
+                        image = _pixels(r.rgba, r.img_w, r.img_h)
+                        answer = read_fn(int(b["route"]), image[y0:y1, x0:x1]), None
+                    except Exception as e:  # reported per page
+                        answer = None, _error_text(e)
+                    rows.append((r.book_id, r.page_id, b["piece_id"], *answer))
+            yield pd.DataFrame(rows, columns=[*KEYS, "piece_id", "text", "error"])
 
     pages = images.select(*KEYS, "img_w", "img_h", "rgba").join(lists, KEYS)
-    return pages.mapInPandas(run, "book_id string, page_id long, piece_id string, text string")
+    return pages.mapInPandas(run, "book_id string, page_id long, piece_id string, text string, error string")
 
 
 def recognize_pages(
@@ -76,9 +88,14 @@ def recognize_pages(
     detect_fn: Callable[[np.ndarray], list[tuple]],
     read_fn: Callable[[int, np.ndarray], str],
 ) -> DataFrame:
-    """Lines (line_no, line_id, box, text, edited, block_id) of every page image."""
+    """Lines (line_no, line_id, box, text, edited, block_id, error) of every page image.
+
+    A page without text, and one on which a model fails, is one row without a line; a failed page has its error there
+    and no lines. Other pages go on.
+    """
     sizes = images.select(*KEYS, F.lit(1.0).alias("scale"), "img_w", "img_h")
-    found = stored(detection_filter(detect(images, detect_fn), sizes, KEYS), "recognise-boxes")
+    raw = stored(detect(images, detect_fn), "recognise-detected")
+    found = stored(detection_filter(raw.where("error is null").drop("error"), sizes, KEYS), "recognise-boxes")
     lines = nms_lines(found.where("kind = 'line'"), KEYS)
     placed = assign_lines_to_blocks(lines, found.where("kind = 'block'"), KEYS)
     ordered = stored(
@@ -96,7 +113,8 @@ def recognize_pages(
         F.lit(NUMBER_ROUTE).alias("route"),
         *[F.col(f"tail_{c}").alias(c) for c in "xywh"],
     )
-    tail_texts = read_boxes(images, tails, read_fn).withColumnRenamed("text", "tail_text")
+    tail_read = stored(read_boxes(images, tails, read_fn), "recognise-tails")
+    tail_texts = tail_read.where("error is null").drop("error").withColumnRenamed("text", "tail_text")
     read = candidates.withColumn("piece_id", F.concat_ws("/", "line_id", "cand_no")).join(tail_texts, [*KEYS, "piece_id"])
     pieces = stored(
         accept_trailing_split(
@@ -110,12 +128,13 @@ def recognize_pages(
     rest = pieces.where("kind <> 'tail'").select(
         *KEYS, F.col("line_id").alias("piece_id"), "x", "y", "w", "h", recognizer_route("char_count").alias("route")
     )
-    texts = read_boxes(images, rest, read_fn).withColumnsRenamed({"piece_id": "line_id", "text": "read_text"})
+    read_lines = stored(read_boxes(images, rest, read_fn), "recognise-texts")
+    texts = read_lines.drop("error").withColumnsRenamed({"piece_id": "line_id", "text": "read_text"})
     joined = pieces.join(texts, [*KEYS, "line_id"], "left").withColumn("text", F.coalesce("text", "read_text"))
     numbered = number_rows(
         joined, KEYS, [slot("line_no")], [F.col("line_no"), F.col("piece_no")], "_no"
     )
-    return numbered.select(
+    out = numbered.select(
         *KEYS,
         F.col("_no").alias("line_no"),
         F.concat_ws("-", "line_id", "piece_no").alias("line_id"),
@@ -126,4 +145,10 @@ def recognize_pages(
         "text",
         F.lit(False).alias("edited"),
         "block_id",
+        F.lit(None).cast("string").alias("error"),
     )
+    errors = [t.where("error is not null").select(*KEYS, "error") for t in (raw, tail_read, read_lines)]
+    failed = errors[0].union(errors[1]).union(errors[2]).groupBy(*KEYS).agg(F.min("error").alias("error"))
+    out = stored(out.join(failed.select(*KEYS), KEYS, "left_anti"), "recognise-out")
+    others = images.select(*KEYS).join(out.select(*KEYS).distinct(), KEYS, "left_anti").join(failed, KEYS, "left")
+    return out.unionByName(others.withColumn("edited", F.lit(False)), allowMissingColumns=True)

@@ -152,6 +152,24 @@ def test_recognition_splits_a_trailing_number(spark):
     assert [(r.line_no, r.text) for r in got] == [(0, "章名"), (1, "62")]
 
 
+def test_recognition_goes_on_after_a_failure(spark):
+    rows = [("b", i, 90, 60, np.full((60, 90, 4), i, dtype=np.uint8).tobytes()) for i in range(4)]
+    images = spark.createDataFrame(rows, "book_id string, page_id long, img_w int, img_h int, rgba binary")
+
+    def detector(px):
+        if px[0, 0, 0] == 1:
+            raise RuntimeError("no model")
+        return [] if px[0, 0, 0] == 2 else [(0.0, 0.0, 90.0, 20.0, 0.9, 2, 3)]
+
+    def reader(route, crop):
+        if crop[0, 0, 0] == 3:
+            raise KeyError("letter")
+        return "text"
+
+    got = {r.page_id: (r.line_no, r.text, r.error) for r in recognize_pages(images, detector, reader).collect()}
+    assert got == {0: (0, "text", None), 1: (None, None, "RuntimeError: no model"), 2: (None, None, None), 3: (None, None, "KeyError: 'letter'")}
+
+
 def test_audit_and_sources(spark):
     import hashlib
 
