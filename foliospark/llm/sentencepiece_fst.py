@@ -29,36 +29,87 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.pieces import BYTE, NORMAL, SPACE, PieceModel, load
+from foliospark.llm.token_counts import runs
 from foliospark.llm.words import whole_text
 
-KNOWN = 200_000
-KNOWN_PAIRS = 1_000_000
+KNOWN = 300_000
+KNOWN_PAIRS = 300_000
+#: units are searched together up to these sizes, so many at once
+SIZES = (8, 16, 40)
+ROWS = 20_000
+SLOT_BITS = 21
+SLOTS = 1 << SLOT_BITS
+FACTOR = np.uint64(0xD6E8FEB86659FD93)
 LONGEST_KNOWN = 64
 UNKNOWN_PENALTY = 10.0
 
 
+class Index:
+    """Piece ids by hash: two tables of slots, the second for pieces whose slot in the first is taken."""
+
+    def __init__(self, ids: dict[str, int]):
+        names = list(ids)
+        hashes = np.zeros(len(names), np.uint64)
+        for k in range(max(map(len, names))):
+            at = np.array([i for i, p in enumerate(names) if len(p) > k])
+            hashes[at] = hashes[at] * FACTOR + np.array([ord(names[i][k]) for i in at], np.uint64) + np.uint64(1)
+        if len(np.unique(hashes)) < len(names):
+            raise ValueError("two pieces have one hash")
+        numbers = np.array([ids[p] for p in names], np.int32)
+        self.hash_of = np.zeros(int(numbers.max()) + 2, np.uint64)
+        self.hash_of[numbers] = hashes
+        self.first, self.second = np.full(SLOTS, -1, np.int32), np.full(SLOTS, -1, np.int32)
+        one = self._slots(hashes, 1)
+        self.first[one] = numbers
+        lost = self.first[one] != numbers
+        self.turn = next(t for t in range(3, 1000, 2) if len(np.unique(self._slots(hashes[lost], t))) == lost.sum())
+        self.second[self._slots(hashes[lost], self.turn)] = numbers[lost]
+
+    @staticmethod
+    def _slots(hashes: np.ndarray, turn: int) -> np.ndarray:
+        spread = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 * turn % 2**64)
+        return (spread >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes, -1 for none."""
+        found = self.first[self._slots(hashes, 1)]
+        miss = (self.hash_of[found] != hashes) & (found >= 0)
+        found[miss] = self.second[self._slots(hashes[miss], self.turn)]
+        found[self.hash_of[found] != hashes] = -1
+        return found
+
+
 class Transducer:
     def __init__(self, model: PieceModel):
         self.model = model
         self.ids = model.normal
         self.weight = {p: -model.scores[i] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
+        #: beginnings of pieces that more pieces go on from
+        self.starts = {p[:k] for p in self.ids for k in range(1, len(p))}
         self.fallback = max(self.weight.values()) + UNKNOWN_PENALTY
         self.byte_ids = {int(model.pieces[i][3:5], 16): i for i, k in enumerate(model.kinds) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(model.kinds) if k not in (NORMAL, BYTE)), 0)
         # A unit starts at a run of spaces; line feeds and tabs have no piece here and stand alone.
         alone = "".join(c for c in "\n\t\r\x0b\x0c" if c not in self.ids)
         self.units = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")).findall
-        self.known: dict[str, list[int]] = {}
+        #: ids of units as bytes of 32-bit numbers, which join without being read
+        self.known: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.index = Index(self.ids)
+        self.codes: dict[int, bool] = {}
+        self.spines: dict[str, tuple | None] = {}
 
     # -- machines ---------------------------------------------------------------------------------------------------
 
     def normalise(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces that merging by rank makes of a short text: best pair first, of equals the left."""
+    def merged(self, text: str, trace: dict | None = None) -> list[str]:
+        """The pieces that merging by rank makes of a short text: best pair first, of equals the left.
+
+        ``trace`` gets the two parts of every piece made.
+        """
         parts = list(text)
         weight = self.weight
         while len(parts) > 1:
@@ -69,41 +120,88 @@ class Transducer:
                     best, at = w, i
             if at < 0:
                 break
+            if trace is not None:
+                trace[parts[at] + parts[at + 1]] = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def borders(self, piece: str) -> tuple[list, list] | None:
+        """What stands at the right and the left border of a piece while it is made: (part, weight of its successor).
+
+        None if merging does not make the piece, or not by rising weights.
+        """
+        found = self.spines.get(piece, 0)
+        if found == 0:
+            trace: dict = {}
+            found = None
+            if self.merged(piece, trace) == [piece]:
+                weight, sides = self.weight, []
+                for side in (1, 0):
+                    spine, part, after, rising = [], piece, float("inf"), True
+                    while True:
+                        spine.append((part, after))
+                        if part not in trace:
+                            break
+                        rising &= all(weight.get(x, -1.0) < weight[part] for x in trace[part] if len(x) > 1)
+                        after, part = weight[part], trace[part][side]
+                    sides.append(spine[::-1])
+                if rising and all(weight[x] > max((weight[y] for y in trace[x] if len(y) > 1), default=-1.0) for x in trace):
+                    found = tuple(sides)
+            self.spines[piece] = found
+        return found
+
     def follows(self, a: str, b: str) -> bool:
-        """Whether piece ``b`` may stand after ``a``, or first if ``a`` is empty (both may be characters without a piece)."""
+        """Whether piece ``b`` may stand after ``a``, or first if ``a`` is empty (both may be characters without a piece).
+
+        It may not if, while both are made, their borders would merge sooner than either goes on by itself.
+        """
         if not self.model.bpe:
             return True
-        key = (a, b)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > KNOWN_PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merged(a + b) == ([a, b] if a else [b])
-        return ok
+        right = self.borders(b)
+        if not a:
+            return right is not None or self.merged(b) == [b]
+        left = self.borders(a)
+        if left is None or right is None:
+            key = (a, b)
+            ok = self.pairs.get(key)
+            if ok is None:
+                if len(self.pairs) > KNOWN_PAIRS:
+                    self.pairs.clear()
+                ok = self.pairs[key] = self.merged(a + b) == [a, b]
+            return ok
+        one, two, i, k, weight = left[0], right[1], 0, 0, self.weight
+        while True:
+            part, goes = one[i]
+            other, comes = two[k]
+            w = weight.get(part + other)
+            if w is not None and w < goes and w <= comes:
+                return False
+            if goes <= comes:
+                if goes == float("inf"):
+                    return True
+                i += 1
+            else:
+                k += 1
 
     # -- composition and shortest path ------------------------------------------------------------------------------
 
     def path(self, unit: str) -> list[str]:
         """Output labels of the lightest path through the machines composed with ``unit``."""
-        n, weight, ids, bpe = len(unit), self.weight, self.ids, self.model.bpe
+        n, weight, starts, bpe, follows = len(unit), self.weight, self.starts, self.model.bpe, self.follows
         cost: list[float] = [0.0] + [float("inf")] * n
         label = [""] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
+        for start in range(n):
+            before, base = label[start], cost[start]
+            for end in range(start + 1, n + 1):
                 arc = unit[start:end]
                 w = weight.get(arc)
-                if w is None:
-                    if end - start > 1 or arc in ids:
-                        continue
-                    w = self.fallback
-                w += cost[start]
-                if w < cost[end] and self.follows(label[start], arc):
-                    cost[end], label[end] = w, arc
-                    if bpe:  # the prefix up to here has this one segmentation
-                        break
+                if w is not None or end == start + 1:
+                    w = base + (self.fallback if w is None else w)
+                    # under BPE the prefix up to here has one segmentation, so a label once set stands
+                    if (not label[end] if bpe else w < cost[end]) and follows(before, arc):
+                        cost[end], label[end] = w, arc
+                if arc not in starts:
+                    break
         parts, end = [], n
         while end:
             parts.append(label[end])
@@ -118,31 +216,113 @@ class Transducer:
             return [self.byte_ids[b] for b in part.encode("utf-8", "surrogatepass")]
         return [self.unknown]
 
-    def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for unit in self.units(self.normalise(text)):
-            ids = known.get(unit)
-            if ids is None:
-                ids = [i for part in self.path(unit) for i in self.labels(part)]
-                if len(unit) <= LONGEST_KNOWN:
-                    if len(known) > KNOWN:
-                        known.clear()
-                    known[unit] = ids
-            out += ids
+    def paths(self, units: list[str]) -> list[list[int]]:
+        """Piece ids of many units. Under BPE, short ones are searched at once: places by size of arc, units as rows."""
+        out: dict[int, list[int]] = {}
+        low = 0
+        for high in SIZES:
+            block = [i for i, u in enumerate(units) if low < len(u) <= high] if self.model.bpe else []
+            for at in range(0, len(block), ROWS):
+                part = block[at : at + ROWS]
+                out.update(zip(part, self._search([units[i] for i in part], high)))
+            low = high
+        return [out[i] if i in out else [x for p in self.path(u) for x in self.labels(p)] for i, u in enumerate(units)]
+
+    def _search(self, units: list[str], longest: int) -> list[list[int]]:
+        none = len(self.model.pieces)
+        deep = min(longest, self.longest)
+        lengths = np.array([len(u) for u in units])
+        chars = np.zeros((len(units), longest), np.uint64)
+        inside = np.arange(longest) < lengths[:, None]
+        chars[inside] = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        # arcs[r, end, size]: the piece of that size that ends there; hashes grow by one character at a time
+        arcs = np.full((len(units), longest + 1, deep + 1), -1, np.int32)
+        hashed = np.zeros((len(units), longest + 1), np.uint64)
+        for size in range(1, deep + 1):
+            hashed = hashed[:, :-1] * FACTOR + chars[:, size - 1 :] + np.uint64(1)
+            found = self.index.find(hashed)
+            found[~inside[:, size - 1 :]] = -1
+            if size == 1:
+                found[inside & (found < 0)] = none
+            arcs[:, size:, size] = found
+        # the label with which each place is reached; the start has one of its own
+        label = np.full((len(units), longest + 1), -1, np.int32)
+        size_of = np.zeros((len(units), longest + 1), np.int8)
+        label[:, 0] = none + 1
+        for end in range(1, longest + 1):
+            for size in range(min(end, deep), 0, -1):
+                rows = np.flatnonzero((label[:, end] < 0) & (arcs[:, end, size] >= 0))
+                if len(rows):
+                    arc = arcs[rows, end, size]
+                    ok = self._pass(label[rows, end - size], arc, none)
+                    label[rows[ok], end] = arc[ok]
+                    size_of[rows[ok], end] = size
+        found = []
+        for u, row, sizes in zip(units, label.tolist(), size_of.tolist()):
+            end, way = len(u), []
+            while end:
+                i = row[end]
+                way += [i] if i < none else self.labels(u[end - 1])[::-1]
+                end -= sizes[end]
+            found.append(way[::-1])
+        return found
+
+    def _pass(self, before: np.ndarray, arc: np.ndarray, none: int) -> np.ndarray:
+        """Which pairs of labels pass; a character without a piece passes everywhere."""
+        codes, back = np.unique(before.astype(np.int64) * (none + 2) + arc, return_inverse=True)
+        known, pieces = self.codes, self.model.pieces
+        if len(known) > KNOWN_PAIRS:
+            known.clear()
+        result = []
+        for code in codes.tolist():
+            ok = known.get(code)
+            if ok is None:
+                a, b = divmod(code, none + 2)
+                ok = known[code] = a == none or b == none or self.follows("" if a > none else pieces[a], pieces[b])
+            result.append(ok)
+        return np.array(result, bool)[back]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Piece ids of texts."""
+        known, find = self.known, self.units
+        if len(known) > KNOWN:
+            known.clear()
+        split = [find(self.normalise(t)) for t in texts]
+        new = list({u for units in split for u in units if u not in known})
+        known.update(zip(new, [np.array(ids, np.int32).tobytes() for ids in self.paths(new)]))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32) for units in split]
+        for u in new:
+            if len(u) > LONGEST_KNOWN:
+                del known[u]
         return out
 
 
+def machine_of(model: PieceModel) -> Transducer:
+    """The compiled machine of a model; a worker that serves several tasks keeps it, with the units it knows."""
+    if model.machine is None:
+        model.machine = Transducer(model)
+    return model.machine
+
+
 class Inverse:
     """Decoding machine: bytes of every piece."""
 
     def __init__(self, model: PieceModel):
-        self.surface = [
+        surface = [
             bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k == NORMAL else b""
             for p, k in zip(model.pieces, model.kinds)
         ]
+        self.all = np.frombuffer(b"".join(surface), np.uint8)
+        self.size = np.array([len(x) for x in surface])
+        self.start = np.cumsum(self.size) - self.size
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+    def decode(self, ids: np.ndarray) -> str:
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        if not len(ids):
+            return ""
+        at = np.arange(ends[-1]) + np.repeat(self.start[ids] - (ends - size), size)
+        return self.all[at].tobytes().decode("utf-8", "replace").removeprefix(" ")
 
 
 def encoder(spark: SparkSession, path: str):
@@ -151,9 +331,10 @@ def encoder(spark: SparkSession, path: str):
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine = Transducer(shared.value)
+        machine = machine_of(shared.value)
         for batch in batches:
-            yield pd.Series([np.array(machine.encode(t or ""), np.int32) for t in batch], dtype=object)
+            for run in runs([t or "" for t in batch]):
+                yield pd.Series(machine.encode(run), dtype=object)
 
     return encode
 
@@ -166,7 +347,7 @@ def decoder(spark: SparkSession, path: str):
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = Inverse(shared.value)
         for batch in batches:
-            yield pd.Series([machine.decode([] if ids is None else ids.tolist()) for ids in batch], dtype=object)
+            yield pd.Series([machine.decode(np.array([], np.int32) if ids is None else ids) for ids in batch], dtype=object)
 
     return decode
 
@@ -174,8 +355,17 @@ def decoder(spark: SparkSession, path: str):
 def pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Adds ``ids``, and ``decoded``, what the ids read back as."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("ids", "decoded")])
-    coded = docs.withColumn("ids", encoder(docs.sparkSession, path)(whole_text(text)))
-    return coded.withColumn("decoded", decoder(docs.sparkSession, path)(F.col("ids")))
+    shared = docs.sparkSession.sparkContext.broadcast(load(path))
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        machine, inverse = machine_of(shared.value), Inverse(shared.value)
+        for batch in batches:
+            for run in runs(batch.tolist()):
+                coded = machine.encode(run)
+                yield pd.DataFrame({"ids": coded, "decoded": [inverse.decode(ids) for ids in coded]})
+
+    return docs.withColumn("_coded", both(whole_text(text))).select(*docs.columns, "_coded.ids", "_coded.decoded")
 
 
 def ids_digest(ids: Column) -> Column:
