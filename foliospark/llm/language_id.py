@@ -6,8 +6,8 @@ probabilities, by the forward algorithm; a text's is the product over its words.
 most probable is predicted; the score is its share among the languages, which are equally likely beforehand.
 
 The model is fitted by expectation maximisation (forward and backward sums) on a bounded sample of labelled rows:
-about ``SAMPLE`` texts per language, chosen by a hash of their id, and of their words at most the ``SAMPLE_WORDS`` most
-frequent (language, word) pairs, which are counted in Spark. Everything else covers all rows and whole texts.
+about ``SAMPLE`` texts per language, chosen by a hash of their id, of the ``MOST_LANGUAGES`` most frequent languages,
+and of their words at most the ``SAMPLE_WORDS`` most frequent (language, word) pairs, which are counted in Spark. Everything else covers all rows and whole texts.
 
 Scoring is per text and shuffles nothing; words met before come from a table of bounded size. Defined cases: a null
 text or one without a letter is ``und`` with score 0, and so is every text if there is nothing to learn from; a null id
@@ -32,6 +32,7 @@ from foliospark.llm.words import GAP, whole_text
 UNDEFINED = "und"
 SAMPLE = 400
 SAMPLE_WORDS = 60_000
+MOST_LANGUAGES = 200
 ROUNDS = 3
 SMOOTH = 0.05
 KNOWN = 300_000
@@ -196,7 +197,8 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE, text: str = "text") ->
     """The model from rows (doc_id, text, lang) that are not held out; see the module for the sample's bounds."""
     labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col(text).isNotNull())
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("lang", "_l")
+    sizes = labelled.groupBy(F.col("lang").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = F.broadcast(sizes.orderBy(F.desc("_n"), "_l").limit(MOST_LANGUAGES))  # at most so many rows
     chosen = labelled.join(sizes, F.col("lang") == F.col("_l")).where(draw < sample / F.col("_n"))
     letters = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), GAP)
     counted = (

@@ -28,9 +28,3 @@ def word_count(text: Column) -> Column:
     return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, GAP))).cast("long")
 
 
-def fresh(name: str, taken: list[str]) -> str:
-    """A column name that no column of the input has, whatever its case."""
-    low = {x.lower() for x in taken}
-    while name.lower() in low:
-        name += "_"
-    return name
