@@ -6,8 +6,10 @@ absolute deviations, concentration steps keep the ``KEEP_SHARE`` of the group wi
 and take mean and covariance anew. A text whose squared distance exceeds ``CUTOFF`` is rejected.
 
 Groups with fewer than ``MIN_GROUP`` texts use the estimate of their language over all sources; languages with fewer
-keep what the fixed limits keep. Statistics that hardly vary in a group get a least spread (``FLOORS``), else one
-repeated line would be an outlier among texts without any.
+keep what the fixed limits keep. The three rates get a least standard deviation (``FLOORS``), else one repeated line
+would be an outlier among texts without any; it is such that in a group without any the smallest rate of
+``OUTLIER_RATES`` is an outlier by itself. Length and word length, which always vary, get theirs added to the spread of
+the group.
 
 Scale: statistics are whole numbers (1/256 of a unit), so a group's medians come from counts of few distinct values and
 its sums are exact in any order; distances fall into logarithmic bins, and the kept share is found on bin sums. A hot
@@ -20,6 +22,8 @@ columns of the input with the names of the result are replaced. Texts are judged
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +39,12 @@ MIN_GROUP = 50
 STEPS = 3
 #: chi-square with five degrees of freedom leaves 1e-5 beyond it
 CUTOFF = 30.9
+#: smallest symbols, repeated lines and words in repeated windows per word that are outliers where the group has none
+OUTLIER_RATES = (0.1, 0.1, 0.4)
 #: least standard deviations: log length, log word length, log symbol rate, log repeated-line rate, log repetition rate
-FLOORS = (0.7, 0.05, 0.6, 1.0, 1.0)
+FLOORS = (0.7, 0.05, *(math.log(1 + 100 * rate) / math.sqrt(CUTOFF) for rate in OUTLIER_RATES))
+#: so many of the statistics have their floor added to the variance; for the others it is a true minimum
+ADDED = 2
 #: makes the covariance of the nearest three quarters that of all, for five normal statistics
 SPREAD = 1.41
 BINS = 16
@@ -160,7 +168,10 @@ def _concentrate(points: DataFrame, estimates: DataFrame) -> DataFrame:
     for i in range(D):
         for j in range(i + 1):
             value = SPREAD * (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
-            cov[f"v{i}{j}"] = value + F.lit((FLOORS[i] * SCALE) ** 2) if i == j else value
+            floor = F.lit((FLOORS[i] * SCALE) ** 2)
+            if i == j:
+                value = value + floor if i < ADDED else F.greatest(value, floor)
+            cov[f"v{i}{j}"] = value
     return _cholesky(total.withColumns(cov)).select("g", *CENTER, *FACTOR)
 
 

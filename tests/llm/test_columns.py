@@ -189,6 +189,33 @@ def test_verdicts_by_brute_force(spark):
     assert sum(r["kept"] for r in got.values()) > 300
 
 
+def test_moderate_outliers_go_and_clean_texts_stay(spark):
+    """Each rate rejects by itself, far below half of the words, and a little of each is no outlier."""
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choices("abcdefghijkl", k=rng.randrange(3, 9))) for _ in range(n)]
+
+    def prose(n):
+        w = words(n)
+        return "\n".join(" ".join(w[i : i + 10]) for i in range(0, n, 10))
+
+    clean = [prose(rng.randrange(150, 500)) for _ in range(200)]
+    again, few = " ".join(words(65)), " ".join(words(9))
+    lines = [words(1)[0] for _ in range(40)]
+    planted = {
+        "repeated windows": f"{prose(170)}\n{again} {again}",
+        "repeated lines": prose(180) + "".join(f"\n{w}\n{x}\n{w}" for w, x in zip(lines, words(40))),
+        "half and lines": "\n".join([*words(60), prose(90), *([" ".join(words(3))] * 30)]),
+        "symbols": prose(300).replace(" ", " # ", 60),
+    }
+    slight = {"one line twice": f"{prose(290)}\n{few}\n{few}", "few symbols": prose(300).replace(" ", " # ", 4)}
+    texts = [*planted.values(), *slight.values(), *clean]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    for i, name in enumerate(planted):
+        assert not got[i]["base_failed"] and not got[i]["kept"], (name, got[i]["distance2"])
+    assert all(got[i]["kept"] for i in range(len(planted), len(texts)))
+
+
 def test_quality_of_odd_rows(odd_docs):
     got = quality.judge(odd_docs)
     assert got.count() == 7 and not any(r["kept"] for r in got.collect())
