@@ -225,7 +225,9 @@ def edit_log(v: Views):
 
 @query("replay_line_edits")
 def _(v: Views):
-    lines = v.lines
-    books = lines.select("book_id", "page_id").distinct()
-    log = edit_log(v).join(books, "page_id")
-    return E.replay_line_edits(lines, log)
+    """Every page has a blank, recognised back with the same edits."""
+    back = "-1 - page_id"
+    pages = v.documents.selectExpr("source book_id", "doc_id page_id")
+    results = pages.unionByName(pages.withColumn("page_id", F.expr(back)))
+    log = edit_log(v).join(pages, "page_id")
+    return E.replay_line_edits(v.lines, log.unionByName(log.withColumn("page_id", F.expr(back))), results)

@@ -125,28 +125,32 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def finished() -> pd.DataFrame:
         rows = [(*current, i, x["line_id"], x["text"], x["edited"], page.last_edit) for i, x in enumerate(page.lines)]
+        if not rows and page.last_edit is not None:
+            rows = [(*current, None, None, None, None, page.last_edit)]
         names = [*PAGE, "line_no", "line_id", "text", "edited", "last_edit"]
-        return pd.DataFrame(rows, columns=names).astype({"last_edit": "Int64"})
+        return pd.DataFrame(rows, columns=names).astype({"line_no": "Int32", "edited": "boolean", "last_edit": "Int64"})
 
     for batch in batches:
         for row in batch.itertuples(index=False):
             key = (row.book_id, row.page_id)
             if key != current:
-                if current is not None and page.lines:
+                if current is not None:
                     yield finished()
                 current, page = key, PageLines()
             to_index = None if pd.isna(row.to_index) else int(row.to_index)
             page.apply(row.op, int(row.seq), row.line_id, row.text, row.after_line_id, to_index)
-    if current is not None and page.lines:
+    if current is not None:
         yield finished()
 
 
-def replay_line_edits(lines: DataFrame, log: DataFrame) -> DataFrame:
+def replay_line_edits(lines: DataFrame, log: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """Applies an ordered edit log (seq, op, line_id, text, after_line_id, to_index) to the lines of each page.
 
     Before the shuffle, an update that a later update of the same line replaces is dropped; the result is the same,
     and a page that was retyped very often shrinks to its lines. The rest is streamed page by page in sequence order
-    through tasks that hold one page's lines, never its log. Pages without lines ignore edits.
+    through tasks that hold one page's lines, never its log. ``results`` (book_id, page_id) names recognised pages, so
+    that edits of one without lines count; edits of pages with neither have no effect. A page left without lines by
+    its edits is one row with ``last_edit`` and nulls for the line.
     """
     latest = (
         log.where(F.col("op") == "update")
@@ -156,7 +160,10 @@ def replay_line_edits(lines: DataFrame, log: DataFrame) -> DataFrame:
         .select(*PAGE, *LOG_COLUMNS)
     )
     others = log.where(F.col("op").isin("add", "delete", "move")).select(*PAGE, *LOG_COLUMNS)
-    edits = latest.unionByName(others).join(lines.select(*PAGE).distinct(), PAGE, "left_semi")
+    known = lines.select(*PAGE)
+    if results is not None:
+        known = known.unionByName(results.select(*PAGE))
+    edits = latest.unionByName(others).join(known.distinct(), PAGE, "left_semi")
     base = lines.select(
         *PAGE,
         (F.col("line_no").cast("long") - F.lit(2**40)).alias("seq"),

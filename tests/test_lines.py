@@ -107,6 +107,21 @@ def test_replay_matches_plain_lists(spark):
     assert result == {p: v for p, v in state.items() if v}
 
 
+def test_replay_on_blank_and_emptied_pages(spark):
+    rows = page(spark, [("l0", "a", None, UNIT)], 1).unionByName(page(spark, [("l0", "a", None, UNIT)], 4))
+    log = [("b", 1, 7, "delete", "l0", None, None, None), ("b", 2, 8, "add", "n0", None, None, None), ("b", 2, 9, "update", "n0", "x", None, None),
+           ("b", 3, 9, "add", "n1", None, None, None), ("b", 5, 6, "update", "nobody", "x", None, None)]
+    results = spark.createDataFrame([("b", 2), ("b", 4), ("b", 5), ("b", 6)], "book_id string, page_id long")
+    names = ["page_id", "line_no", "line_id", "text", "edited", "last_edit"]
+
+    def got(*more):
+        return [tuple(r) for r in E.replay_line_edits(rows, spark.createDataFrame(log, LOG), *more).select(*names).orderBy("page_id").collect()]
+
+    emptied, kept = (1, None, None, None, None, 7), (4, 0, "l0", "a", False, None)
+    assert got(results) == [emptied, (2, 0, "n0", "x", True, 9), kept, (5, None, None, None, None, 6)]
+    assert got() == [emptied, kept]
+
+
 def test_add_and_move(spark):
     rows = page(spark, [(f"l{i}", str(i), None, UNIT) for i in range(4)])
     adds = spark.createDataFrame(
