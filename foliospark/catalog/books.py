@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from foliospark.catalog.registry import query, sql
-from foliospark.catalog.toc import exported
+from foliospark.catalog.toc import exported, with_outside
 from foliospark.functions import text as X
 from foliospark.operators import edits as E
 from foliospark.operators import epub as U
@@ -74,6 +74,10 @@ select book_id, 'nav' list, cast(no // 4096 as int) part_no, string_agg(case whe
   '    <item id="page', ord + 1, '" href="text/page-', ord + 1, '.xhtml" media-type="application/xhtml+xml"/>'), chr(10) order by ord) from v_toc_pages group by 1, ord // 4096
  union all select book_id, 'spine', cast(ord // 4096 as int), string_agg(concat('    <itemref idref="page', ord + 1, '"/>'), chr(10) order by ord) from v_toc_pages group by 1, ord // 4096"""
 NEEDS.update(v_size=["v_toc_pages"], v_nav=["v_export"], v_nav_lists=["v_nav", "v_toc_pages"])
+# The same over all exported chapters.
+DUCK["v_nav_whole"] = DUCK["v_nav"].replace(" where page_index % 3 <> 1 and book_id not like '%5'", "")
+DUCK["v_nav_lists_whole"] = DUCK["v_nav_lists"].replace("v_nav", "v_nav_whole")
+NEEDS.update(v_nav_whole=["v_export"], v_nav_lists_whole=["v_nav_whole", "v_toc_pages"])
 
 
 def sized_pages(v: Views):
@@ -91,6 +95,12 @@ def _(v: Views):
     return U.epub_lists(sized_pages(v), nav_chapters(v))
 
 
+@query("epub_lists_whole", sql("v_nav_lists_whole", "select * from v_nav_lists_whole"))
+def _(v: Views):
+    """All exported chapters, among others that lie before and behind the book."""
+    return U.epub_lists(sized_pages(v), with_outside(v))
+
+
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -108,11 +118,7 @@ HEAD_SQL = (
 )
 
 
-@query(
-    "epub_package_rows",
-    sql(
-        "v_nav_lists v_size",
-        f"""with b as (select distinct book_id from v_toc_pages), j as (select *, case when part_no > 0 then concat(chr(10), items) else items end c from v_nav_lists)
+PACKAGE = f"""with b as (select distinct book_id from v_toc_pages), j as (select *, case when part_no > 0 then concat(chr(10), items) else items end c from v_nav_lists)
         select book_id, 'mimetype' path, 0 part_no, '{U.MIMETYPE}' as content from b
         union all select book_id, 'META-INF/container.xml', 0, {_q(U.CONTAINER)} from b
         union all select book_id, concat('OEBPS/text/page-', ord + 1, '.xhtml'), 0, {_page_sql()} from v_size
@@ -123,10 +129,10 @@ HEAD_SQL = (
         union all select book_id, 'OEBPS/content.opf', 1000000 + part_no, c from j where list = 'manifest'
         union all select book_id, 'OEBPS/content.opf', 2000000, {_q(U.OPF_MIDDLE)} from b
         union all select book_id, 'OEBPS/content.opf', 3000000 + part_no, c from j where list = 'spine'
-        union all select book_id, 'OEBPS/content.opf', 4000000, {_q(U.OPF_TAIL)} from b""",
-    ),
-)
-def _(v: Views):
+        union all select book_id, 'OEBPS/content.opf', 4000000, {_q(U.OPF_TAIL)} from b"""
+
+
+def package(v: Views, chapters):
     books = v.toc_pages.select("book_id").distinct().select(
         "book_id",
         F.concat(F.lit("T & "), "book_id").alias("title"),
@@ -134,7 +140,17 @@ def _(v: Views):
         F.md5(F.col("book_id").cast("binary")).alias("identifier"),
         F.lit("2024-01-01T00:00:00Z").alias("modified"),
     )
-    return U.epub_package_rows(books, sized_pages(v), nav_chapters(v))
+    return U.epub_package_rows(books, sized_pages(v), chapters)
+
+
+@query("epub_package_rows", sql("v_nav_lists v_size", PACKAGE))
+def _(v: Views):
+    return package(v, nav_chapters(v))
+
+
+@query("epub_package_rows_whole", sql("v_nav_lists_whole v_size", PACKAGE.replace("v_nav_lists", "v_nav_lists_whole")))
+def _(v: Views):
+    return package(v, with_outside(v))
 
 
 LINE_COLUMNS = ["book_id", "page_id", "line_no", "line_id", "text", "edited"]

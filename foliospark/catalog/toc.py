@@ -330,6 +330,19 @@ def _(v: Views):
     return C.outline_range_filter(shifted, v.toc_pages.where("ord % 2 = 0"))
 
 
+def with_outside(v: Views):
+    """All exported chapters, each beside one that lies before its book and one that lies behind it."""
+    n = v.toc_pages.groupBy("book_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    places = F.array(F.col("page_index"), -1 - F.col("page_index"), F.col("page_index") + F.col("n"))
+    rows = exported(v).join(n, "book_id").withColumn("page_index", F.explode(places))
+    return rows.drop("n")
+
+
+@query("outline_range_filter_whole", sql("v_export", "select book_id, node_no, title, page_index, level from v_export"))
+def _(v: Views):
+    return C.outline_range_filter(with_outside(v), v.toc_pages)
+
+
 @query("outline_tree", sql("v_outline", "select book_id, node_no, title, page_index, level, parent_no from v_outline"))
 def _(v: Views):
     return C.outline_tree(exported(v))
