@@ -186,15 +186,20 @@ def _(v: Views):
     pages = v.pages.select(*KEYS, "ord")
     write_tables(pages, root, "pages")
     write_tables(pages.where("book_id like '%2' and ord < 3").withColumn("ord", F.lit(1)), root, "pages")
-    return load_book_tables(v.spark, root, "pages").select(*KEYS, "ord")
+    return load_book_tables(v.spark, root, "pages", pages.schema).select(*KEYS, "ord")
 
 
 @query("load_book_tables", sql("v_pages", "select book_id, page_id, ord, file_name, width, height, quality from v_pages"))
 def _(v: Views):
+    """Books whose name ends in 3 were written with other columns: the name as ``file``, width and height as ``size``."""
     root = scratch_table(v.spark, "tables")
     columns = [*KEYS, "ord", "file_name", "width", "height", "quality"]
-    write_tables(v.pages.select(*columns), root, "pages")
-    return load_book_tables(v.spark, root, "pages").select(*columns)
+    pages, older = v.pages.select(*columns), F.col("book_id").like("%3")
+    write_tables(pages.where(~older), root, "pages")
+    write_tables(pages.where(older).selectExpr(*KEYS, "ord", "file_name file", "struct(width, height) size", "quality"), root, "pages")
+    both = load_book_tables(v.spark, root, "pages", merge=True)
+    names = ["coalesce(file_name, file) file_name", "coalesce(width, size.width) width", "coalesce(height, size.height) height"]
+    return both.selectExpr(*KEYS, "ord", *names, "quality")
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foliospark.functions.text import text_file_name
 
@@ -25,12 +26,14 @@ def write_tables(df: DataFrame, root: str, name: str) -> None:
     )
 
 
-def load_book_tables(spark: SparkSession, root: str, name: str, schema: str | None = None, merge: bool = False) -> DataFrame:
+def load_book_tables(spark: SparkSession, root: str, name: str, schema: StructType | str | None = None, merge: bool = False) -> DataFrame:
     """A stored table; files with fewer columns than ``schema`` are read with nulls.
 
-    Without a schema one file's columns hold for all; ``merge`` reads the columns of every file instead, which opens
-    each of them first.
+    Without a schema ``merge`` must be set: it takes the columns of every file, which opens each of them first. One
+    file's columns do not stand for a table, whose books may have been written with different ones.
     """
+    if schema is None and not merge:
+        raise ValueError("give the schema of the table, or merge=True to read the columns of every file")
     reader = spark.read.option("mergeSchema", merge and schema is None)
     return (reader.schema(schema) if schema else reader).parquet(f"{root}/{name}")
 

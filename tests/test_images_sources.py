@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 
 from foliospark.catalog.images import toy_detector
 from foliospark.operators import assets as A
@@ -61,6 +62,17 @@ def test_tables_round_trip(spark, tmp_path):
     assert got == {("b", 5, "z", 1), ("c", 2, "y", None)}
 
 
+def test_tables_need_a_schema_or_merge(spark, tmp_path):
+    ST.write_tables(spark.createDataFrame([("b", 1)], "book_id string, page_id long"), str(tmp_path), "pages")
+    newer = spark.createDataFrame([("c", 2, "z")], "book_id string, page_id long, more string")
+    ST.write_tables(newer, str(tmp_path), "pages")
+    with pytest.raises(ValueError, match="merge=True"):
+        ST.load_book_tables(spark, str(tmp_path), "pages")
+    for given in ({"schema": newer.schema}, {"schema": "book_id string, page_id long, more string"}, {"merge": True}):
+        got = ST.load_book_tables(spark, str(tmp_path), "pages", **given).select("book_id", "page_id", "more").collect()
+        assert sorted(map(tuple, got)) == [("b", 1, None), ("c", 2, "z")]
+
+
 def test_tone_resize_and_merge(spark):
     left = np.arange(2 * 3 * 4, dtype=np.uint8).reshape(2, 3, 4)
     rows = [("b", 1, 3, 2, left.tobytes()), ("b", 2, 2, 1, bytes([7] * 8))]
