@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chat, language_id, mixing, ngram_join, quality, rp_forest, sentencepiece_fst, sharding, token_counts, url_filters
+from foliospark.llm import (
+    chat,
+    language_id,
+    mixing,
+    ngram_join,
+    quality,
+    rp_forest,
+    sentencepiece_fst,
+    sharding,
+    text_density,
+    token_counts,
+    turn_alignment,
+    url_filters,
+    whitening,
+)
 from foliospark.llm.words import whole_text, word_count
 from foliospark.plans.session import stored
 
@@ -100,3 +114,19 @@ def op4(spark, sf_dir):
 @query("op7_ngram_jaccard_join")
 def op7(spark, sf_dir):
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op11_conversation_repair", turn_alignment.ORACLE)
+def op11(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return turn_alignment.repair(turns).drop("repaired")
+
+
+@query("op12_embedding_whitening")
+def op12(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op13_html_extraction")
+def op13(spark, sf_dir):
+    return text_density.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
