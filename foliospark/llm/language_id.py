@@ -6,8 +6,12 @@ probabilities, by the forward algorithm; a text's is the product over its words.
 most probable is predicted; the score is its share among the languages, which are equally likely beforehand.
 
 The model is fitted by expectation maximisation (forward and backward sums) on a bounded sample of labelled rows:
-about ``SAMPLE`` texts per language, chosen by a hash of their id, of the ``MOST_LANGUAGES`` most frequent languages,
-and of their words at most the ``SAMPLE_WORDS`` most frequent (language, word) pairs, which are counted in Spark. Everything else covers all rows and whole texts.
+about ``sample`` texts per language, chosen by a hash of their id, and of their words the ``words`` most frequent of
+each language, which are counted in Spark; runs of letters longer than ``PART`` are learned in parts. More than
+``languages`` languages are an error. These bounds are arguments of ``fit``. All rows are scored, on their whole texts.
+
+``surprise`` says how a text looks beside its language: its cost per letter (negative log-probability) over that of the
+language's own sample. Texts of the language are near 1, noise of letters is far above.
 
 Scoring is per text and shuffles nothing; words met before come from a table of bounded size. Defined cases: a null
 text or one without a letter is ``und`` with score 0, and so is every text if there is nothing to learn from; a null id
@@ -22,28 +26,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliospark.llm.pieces import SPACE, load
 from foliospark.llm.token_counts import runs
-from foliospark.llm.words import GAP, whole_text
+from foliospark.llm.words import whole_text
 
 UNDEFINED = "und"
 SAMPLE = 400
-SAMPLE_WORDS = 60_000
+SAMPLE_WORDS = 15_000
 MOST_LANGUAGES = 200
+PART = 40
 ROUNDS = 3
 SMOOTH = 0.05
-KNOWN = 300_000
+#: numbers (words times languages) and words kept between texts
+KNOWN_CELLS, KNOWN = 2_000_000, 200_000
 LONGEST_KNOWN = 40
+#: characters of texts scored together, and words whose lattices are held at once
+RUN, LATTICE = 400_000, 5_000
 #: probability of a character that is no piece
 FOREIGN = 1e-7
-LETTERS = re.compile(r"[^\W\d_]+")
+NUMERIC = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 
 
 def text_words(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters in lower case. The standard pattern also takes signs like fractions, which part a run."""
+    found = NUMERIC.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in ([run] if run.isalpha() else LETTERS.findall(run))]
 
 
 class Lattice:
@@ -72,25 +87,24 @@ class Lattice:
                             at[r, end, 1] = none + 1
             self.blocks.append((np.array(members), at))
 
-    def forward(self, prob: np.ndarray) -> tuple[np.ndarray, list]:
-        """Log-probabilities (words x languages) and per block the scaled forward sums with their scales."""
+    def forward(self, prob: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
+        """Log-probabilities (words x languages) and per block, if kept, the scales of the forward sums."""
         out = np.empty((len(self.words), prob.shape[1]))
         kept = []
         for members, at in self.blocks:
             n, deep = at.shape[1] - 1, at.shape[2] - 1
-            alpha = np.zeros((n + 1, len(members), prob.shape[1]))
-            alpha[0] = 1.0
+            # forward sums are scaled to 1 at every place, so only their scales are held
             scale = np.ones((n + 1, len(members), prob.shape[1]))
             for end in range(1, n + 1):
                 total = np.zeros((len(members), prob.shape[1]))
                 carry = np.ones((len(members), prob.shape[1]))
                 for size in range(1, min(end, deep) + 1):
-                    total += alpha[end - size] * prob[at[:, end, size]] / carry
+                    total += prob[at[:, end, size]] / carry
                     carry = carry * scale[end - size]
                 scale[end] = np.maximum(total, 1e-300)
-                alpha[end] = 1.0
             out[members] = np.log(scale[1:]).sum(0)
-            kept.append(scale)
+            if keep:
+                kept.append(scale)
         return out, kept
 
     def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -115,10 +129,11 @@ class Lattice:
 
 
 class Model:
-    """Piece rows and probabilities per language; as large as the vocabulary times the languages."""
+    """Piece rows, probabilities and costs per letter by language; as large as the vocabulary times the languages."""
 
-    def __init__(self, rows: dict[str, int], languages: list[str], prob: np.ndarray):
+    def __init__(self, rows: dict[str, int], languages: list[str], prob: np.ndarray, usual: np.ndarray | None = None):
         self.rows, self.languages, self.prob = rows, languages, prob
+        self.usual = np.ones(len(languages)) if usual is None else usual
 
 
 def learn(rows: dict[str, int], languages: list[str], words: list[str], weight: np.ndarray) -> Model:
@@ -131,7 +146,10 @@ def learn(rows: dict[str, int], languages: list[str], words: list[str], weight:
     for _ in range(ROUNDS):
         counts = lattice.expected(prob, weight)[:-2] + SMOOTH
         prob[:-2] = counts / counts.sum(0)
-    return Model(rows, languages, prob)
+    letters = np.array([len(w) for w in words], float)
+    logs = lattice.forward(prob, keep=False)[0] if words else np.zeros((0, len(languages)))
+    usual = -(logs * weight).sum(0) / np.maximum((weight * letters[:, None]).sum(0), 1.0)
+    return Model(rows, languages, prob, np.maximum(usual, 1e-9))
 
 
 class Scorer:
@@ -158,17 +176,17 @@ class Scorer:
         return log
 
     def log_probs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per text the log-probability under each language, and whether it has a word."""
-        if len(self.known) > KNOWN:
-            self.known, self.table = {}, self.table[:0]
+        """Per text the log-probability under each language, and its number of letters."""
+        if len(self.known) > KNOWN or self.table.size > KNOWN_CELLS:
+            self.known, self.table = {}, self.table[:0].copy()
         split = [text_words(t) for t in texts]
         known = self.known
         new = list({w for ws in split for w in ws if w not in known})
         short = [w for w in new if len(w) <= LONGEST_KNOWN]
         long = [w for w in new if len(w) > LONGEST_KNOWN]
         parts = [self.table]
-        if short:
-            parts.append(Lattice(self.model.rows, short).forward(self.model.prob)[0])
+        for at in range(0, len(short), LATTICE):
+            parts.append(Lattice(self.model.rows, short[at : at + LATTICE]).forward(self.model.prob, keep=False)[0])
         if long:
             parts.append(np.array([self.long_word(w) for w in long]))
         self.table = np.concatenate(parts)
@@ -177,62 +195,71 @@ class Scorer:
         for i, ws in enumerate(split):
             if ws:
                 out[i] = self.table[list(map(known.__getitem__, ws))].sum(0)
-        return out, np.array([bool(ws) for ws in split], bool)
+        return out, np.array([sum(map(len, ws)) for ws in split])
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        logs, any_word = self.log_probs(texts)
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and surprise of texts."""
+        logs, letters = self.log_probs(texts)
         if not len(self.model.languages):
-            return [UNDEFINED] * len(texts), [0.0] * len(texts)
+            return [UNDEFINED] * len(texts), [0.0] * len(texts), [float("inf")] * len(texts)
         best = logs.argmax(1)
         share = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+        any_word = letters > 0
         names = [self.model.languages[b] if ok else UNDEFINED for b, ok in zip(best, any_word)]
-        return names, np.where(any_word, share, 0.0).tolist()
+        cost = -logs[np.arange(len(texts)), best] / np.maximum(letters, 1) / self.model.usual[best]
+        return names, np.where(any_word, share, 0.0).tolist(), np.where(any_word, cost, np.inf).tolist()
 
 
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def fit(docs: DataFrame, path: str, sample: int = SAMPLE, text: str = "text") -> Model:
+def fit(
+    docs: DataFrame, path: str, sample: int = SAMPLE, text: str = "text", words: int = SAMPLE_WORDS, languages: int = MOST_LANGUAGES
+) -> Model:
     """The model from rows (doc_id, text, lang) that are not held out; see the module for the sample's bounds."""
     labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col(text).isNotNull())
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sizes = labelled.groupBy(F.col("lang").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = F.broadcast(sizes.orderBy(F.desc("_n"), "_l").limit(MOST_LANGUAGES))  # at most so many rows
-    chosen = labelled.join(sizes, F.col("lang") == F.col("_l")).where(draw < sample / F.col("_n"))
-    letters = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), GAP)
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(languages + 1).collect()
+    if len(sizes) > languages:
+        raise ValueError(f"more than {languages} languages; give fit a larger bound")
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], sample / r["n"])]) if sizes else None
+    chosen = labelled.where(draw < share[F.col("lang")]) if sizes else labelled.where("false")
+    letters = F.regexp_extract_all(F.lower(text), F.lit(rf"(\p{{L}}{{1,{PART}}})"))
+    often = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     counted = (
         chosen.select("lang", F.explode(letters).alias("word"))
-        .where((F.col("word") != "") & (F.length("word") <= LONGEST_KNOWN))
         .groupBy("lang", "word")
         .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "lang", "word")
-        .limit(SAMPLE_WORDS)
+        .withColumn("_k", F.row_number().over(often))  # words of a bounded sample
+        .where(F.col("_k") <= words)
+        .drop("_k")
         .toPandas()
     )
     rows = {p: i for i, p in enumerate(load(path).normal)}
-    languages = sorted(counted["lang"].unique())
-    words = sorted(counted["word"].unique())
-    weight = np.zeros((len(words), len(languages)))
-    at_word, at_lang = {w: i for i, w in enumerate(words)}, {x: i for i, x in enumerate(languages)}
+    names = sorted(counted["lang"].unique())
+    known = sorted(counted["word"].unique())
+    weight = np.zeros((len(known), len(names)))
+    at_word, at_lang = {w: i for i, w in enumerate(known)}, {x: i for i, x in enumerate(names)}
     weight[[at_word[w] for w in counted["word"]], [at_lang[x] for x in counted["lang"]]] = counted["n"]
-    return learn(rows, languages, words, weight)
+    return learn(rows, names, known, weight)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary times languages
+    """Adds lang_pred, score and surprise."""
+    made = ("lang_pred", "score", "surprise")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
+    # plain arrays, vocabulary times languages; executors need nothing installed
+    shared = docs.sparkSession.sparkContext.broadcast((model.rows, model.languages, model.prob, model.usual))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, surprise double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Model(*shared.value))
         for batch in batches:
-            names, scores = [], []
-            for run in runs(batch.tolist()):
-                a, b = scorer.predict(run)
-                names += a
-                scores += b
-            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
-
-    return docs.withColumn("_p", predict(whole_text(text))).select(*docs.columns, "_p.lang_pred", "_p.score")
+            names, scores, surprises = [], [], []
+            for run in runs(batch.tolist(), RUN):
+                for whole, part in zip((names, scores, surprises), scorer.predict(run)):
+                    whole += part
+            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float), "surprise": pd.Series(surprises, dtype=float)})
+
+    return docs.withColumn("_p", predict(whole_text(text))).select(*docs.columns, *[f"_p.{c}" for c in made])

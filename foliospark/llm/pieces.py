@@ -14,8 +14,6 @@ class PieceModel:
     scores: list[float]
     kinds: list[int]
     bpe: bool
-    #: room for what a reader compiles from the model
-    machine: object = None
 
     @property
     def normal(self) -> dict[str, int]:

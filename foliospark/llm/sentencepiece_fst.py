@@ -5,7 +5,7 @@ arc per piece, weighing its negative score) and the byte fallback (arcs for char
 states which pieces may follow each other: under a BPE model a pair is passed only if merging its own characters gives
 just this pair. A segmentation whose adjacent pairs all pass is the one that merging the whole text gives: the first
 merge across a border would also be the first across it in that pair alone. So the composed machine, searched for the
-path of least weight over (min, +), gives exactly what merging by rank gives; at most one state per place survives, for
+path of least weight over (min, +), gives exactly what merging by rank gives; at most one state per place is reached, as
 the prefix up to there also has one segmentation. Under a model with log-probabilities every pair passes, and the path
 is the most probable segmentation.
 
@@ -32,8 +32,9 @@ from foliospark.llm.pieces import BYTE, NORMAL, SPACE, PieceModel, load
 from foliospark.llm.token_counts import runs
 from foliospark.llm.words import whole_text
 
-KNOWN = 300_000
+KNOWN = 200_000
 KNOWN_PAIRS = 300_000
+PAIR_BITS = 21
 #: units are searched together up to these sizes, so many at once
 SIZES = (8, 16, 40)
 ROWS = 20_000
@@ -41,6 +42,8 @@ SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
 FACTOR = np.uint64(0xD6E8FEB86659FD93)
 LONGEST_KNOWN = 64
+#: characters of the texts encoded together
+RUN = 1_000_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -97,7 +100,10 @@ class Transducer:
         self.known: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.index = Index(self.ids)
-        self.codes: dict[int, bool] = {}
+        #: verdicts on pairs of labels, in slots by a hash of the pair
+        self.codes, self.verdicts = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+        #: cost of the arc of each label; the label after the last piece is a character without one
+        self.costs = np.append(-np.array(model.scores, float), self.fallback)
         self.spines: dict[str, tuple | None] = {}
 
     # -- machines ---------------------------------------------------------------------------------------------------
@@ -216,71 +222,90 @@ class Transducer:
             return [self.byte_ids[b] for b in part.encode("utf-8", "surrogatepass")]
         return [self.unknown]
 
-    def paths(self, units: list[str]) -> list[list[int]]:
-        """Piece ids of many units. Under BPE, short ones are searched at once: places by size of arc, units as rows."""
-        out: dict[int, list[int]] = {}
+    def paths(self, units: list[str]) -> list[bytes]:
+        """Piece ids of many units, as bytes of 32-bit numbers. Units of up to the largest of ``SIZES`` are searched at once."""
+        out: list[bytes] = [b""] * len(units)
         low = 0
         for high in SIZES:
-            block = [i for i, u in enumerate(units) if low < len(u) <= high] if self.model.bpe else []
+            block = [i for i, u in enumerate(units) if low < len(u) <= high]
             for at in range(0, len(block), ROWS):
                 part = block[at : at + ROWS]
-                out.update(zip(part, self._search([units[i] for i in part], high)))
+                for i, ids in zip(part, self._search([units[i] for i in part], high)):
+                    out[i] = ids
             low = high
-        return [out[i] if i in out else [x for p in self.path(u) for x in self.labels(p)] for i, u in enumerate(units)]
+        for i, u in enumerate(units):
+            if len(u) > low:
+                out[i] = np.array([x for p in self.path(u) for x in self.labels(p)], np.int32).tobytes()
+        return out
 
-    def _search(self, units: list[str], longest: int) -> list[list[int]]:
-        none = len(self.model.pieces)
-        deep = min(longest, self.longest)
+    def _search(self, units: list[str], longest: int) -> list[bytes]:
+        """Shortest paths over (min, +) of all units: per place the least cost and the last arc of the way there."""
+        none, deep, count = len(self.model.pieces), min(longest, self.longest), len(units)
         lengths = np.array([len(u) for u in units])
-        chars = np.zeros((len(units), longest), np.uint64)
+        chars = np.zeros((count, longest), np.uint64)
         inside = np.arange(longest) < lengths[:, None]
         chars[inside] = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        # arcs[r, end, size]: the piece of that size that ends there; hashes grow by one character at a time
-        arcs = np.full((len(units), longest + 1, deep + 1), -1, np.int32)
-        hashed = np.zeros((len(units), longest + 1), np.uint64)
+        # arcs of each size as rows and labels, by end; hashes grow by one character at a time
+        arcs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        hashed = np.zeros((count, longest + 1), np.uint64)
         for size in range(1, deep + 1):
             hashed = hashed[:, :-1] * FACTOR + chars[:, size - 1 :] + np.uint64(1)
             found = self.index.find(hashed)
             found[~inside[:, size - 1 :]] = -1
             if size == 1:
                 found[inside & (found < 0)] = none
-            arcs[:, size:, size] = found
-        # the label with which each place is reached; the start has one of its own
-        label = np.full((len(units), longest + 1), -1, np.int32)
-        size_of = np.zeros((len(units), longest + 1), np.int8)
-        label[:, 0] = none + 1
+            ends, rows = np.nonzero(found.T >= 0)
+            arcs.append((rows, found.T[ends, rows], np.searchsorted(ends, np.arange(longest + 2 - size))))
+        cost = np.full((longest + 1, count), np.inf)
+        label = np.full((longest + 1, count), none + 1, np.int32)
+        size_of = np.zeros((longest + 1, count), np.int8)
+        cost[0] = 0.0
         for end in range(1, longest + 1):
             for size in range(min(end, deep), 0, -1):
-                rows = np.flatnonzero((label[:, end] < 0) & (arcs[:, end, size] >= 0))
-                if len(rows):
-                    arc = arcs[rows, end, size]
-                    ok = self._pass(label[rows, end - size], arc, none)
-                    label[rows[ok], end] = arc[ok]
-                    size_of[rows[ok], end] = size
-        found = []
-        for u, row, sizes in zip(units, label.tolist(), size_of.tolist()):
-            end, way = len(u), []
-            while end:
-                i = row[end]
-                way += [i] if i < none else self.labels(u[end - 1])[::-1]
-                end -= sizes[end]
-            found.append(way[::-1])
-        return found
+                rows, labels, starts = arcs[size - 1]
+                part = slice(starts[end - size], starts[end - size + 1])
+                rows, arc = rows[part], labels[part]
+                total = cost[end - size, rows] + self.costs[arc]
+                better = np.flatnonzero(total < cost[end, rows])
+                rows, arc, total = rows[better], arc[better], total[better]
+                if self.model.bpe and len(rows):
+                    ok = self._pass(label[end - size, rows], arc, none)
+                    rows, arc, total = rows[ok], arc[ok], total[ok]
+                cost[end, rows], label[end, rows], size_of[end, rows] = total, arc, size
+        return self._labels_back(units, lengths, label, size_of)
+
+    def _labels_back(self, units: list[str], lengths: np.ndarray, label: np.ndarray, size_of: np.ndarray) -> list[bytes]:
+        """Output labels of all units from their last place back to the first."""
+        every, none = np.arange(len(units)), len(self.model.pieces)
+        end, steps = lengths.copy(), []
+        while end.any():
+            steps.append((np.where(end > 0, label[end, every], -1), end))
+            end = end - size_of[end, every]
+        ids = np.array([x for x, _ in steps[::-1]], np.int32).T
+        ends = np.cumsum((ids >= 0).sum(1)) * 4
+        joined = ids[ids >= 0].tobytes()
+        out = [joined[i:j] for i, j in zip((ends - 4 * (ids >= 0).sum(1)).tolist(), ends.tolist())]
+        for row in np.flatnonzero((ids == none).any(1)).tolist():
+            way = [(x[row], e[row]) for x, e in steps[::-1] if x[row] >= 0]
+            out[row] = np.array([i for x, e in way for i in ([x] if x < none else self.labels(units[row][e - 1]))], np.int32).tobytes()
+        return out
 
     def _pass(self, before: np.ndarray, arc: np.ndarray, none: int) -> np.ndarray:
         """Which pairs of labels pass; a character without a piece passes everywhere."""
-        codes, back = np.unique(before.astype(np.int64) * (none + 2) + arc, return_inverse=True)
-        known, pieces = self.codes, self.model.pieces
-        if len(known) > KNOWN_PAIRS:
-            known.clear()
-        result = []
-        for code in codes.tolist():
-            ok = known.get(code)
-            if ok is None:
+        codes = before.astype(np.int64) * (none + 2) + arc
+        slots = (codes.astype(np.uint64) * FACTOR >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        result = self.verdicts[slots]
+        new = np.flatnonzero(self.codes[slots] != codes)
+        if len(new):
+            pieces, made = self.model.pieces, {}
+            for code in set(codes[new].tolist()):
                 a, b = divmod(code, none + 2)
-                ok = known[code] = a == none or b == none or self.follows("" if a > none else pieces[a], pieces[b])
-            result.append(ok)
-        return np.array(result, bool)[back]
+                made[code] = a == none or b == none or self.follows("" if a > none else pieces[a], pieces[b])
+            result[new] = [made[c] for c in codes[new].tolist()]
+            self.codes[slots[new]] = codes[new]
+            # of several codes in one slot the last stays, and its verdict with it
+            self.verdicts[slots[new]] = [made[c] for c in self.codes[slots[new]].tolist()]
+        return result
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Piece ids of texts."""
@@ -289,7 +314,7 @@ class Transducer:
             known.clear()
         split = [find(self.normalise(t)) for t in texts]
         new = list({u for units in split for u in units if u not in known})
-        known.update(zip(new, [np.array(ids, np.int32).tobytes() for ids in self.paths(new)]))
+        known.update(zip(new, self.paths(new)))
         out = [np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32) for units in split]
         for u in new:
             if len(u) > LONGEST_KNOWN:
@@ -297,11 +322,21 @@ class Transducer:
         return out
 
 
-def machine_of(model: PieceModel) -> Transducer:
+def shared_model(spark: SparkSession, path: str):
+    """A broadcast of plain lists, so that executors need nothing installed; ``machine`` is room for what they compile."""
+    model = load(path)
+    return spark.sparkContext.broadcast({"pieces": model.pieces, "scores": model.scores, "kinds": model.kinds, "bpe": model.bpe, "machine": None})
+
+
+def model_of(shared: dict) -> PieceModel:
+    return PieceModel(shared["pieces"], shared["scores"], shared["kinds"], shared["bpe"])
+
+
+def machine_of(shared: dict) -> Transducer:
     """The compiled machine of a model; a worker that serves several tasks keeps it, with the units it knows."""
-    if model.machine is None:
-        model.machine = Transducer(model)
-    return model.machine
+    if shared["machine"] is None:
+        shared["machine"] = Transducer(model_of(shared))
+    return shared["machine"]
 
 
 class Inverse:
@@ -327,13 +362,13 @@ class Inverse:
 
 def encoder(spark: SparkSession, path: str):
     """A column function text -> array of piece ids. The model travels whole; its size is the vocabulary's."""
-    shared = spark.sparkContext.broadcast(load(path))
+    shared = shared_model(spark, path)
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = machine_of(shared.value)
         for batch in batches:
-            for run in runs([t or "" for t in batch]):
+            for run in runs([t or "" for t in batch], RUN):
                 yield pd.Series(machine.encode(run), dtype=object)
 
     return encode
@@ -341,11 +376,11 @@ def encoder(spark: SparkSession, path: str):
 
 def decoder(spark: SparkSession, path: str):
     """A column function array of piece ids -> text."""
-    shared = spark.sparkContext.broadcast(load(path))
+    shared = shared_model(spark, path)
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine = Inverse(shared.value)
+        machine = Inverse(model_of(shared.value))
         for batch in batches:
             yield pd.Series([machine.decode(np.array([], np.int32) if ids is None else ids) for ids in batch], dtype=object)
 
@@ -355,13 +390,13 @@ def decoder(spark: SparkSession, path: str):
 def pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Adds ``ids``, and ``decoded``, what the ids read back as."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("ids", "decoded")])
-    shared = docs.sparkSession.sparkContext.broadcast(load(path))
+    shared = shared_model(docs.sparkSession, path)
 
     @F.pandas_udf("ids array<int>, decoded string")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        machine, inverse = machine_of(shared.value), Inverse(shared.value)
+        machine, inverse = machine_of(shared.value), Inverse(model_of(shared.value))
         for batch in batches:
-            for run in runs(batch.tolist()):
+            for run in runs(batch.tolist(), RUN):
                 coded = machine.encode(run)
                 yield pd.DataFrame({"ids": coded, "decoded": [inverse.decode(ids) for ids in coded]})
 

@@ -52,6 +52,12 @@ class MergeTable:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
 
+    @classmethod
+    def of(cls, parts: dict) -> MergeTable:
+        table = cls.__new__(cls)
+        vars(table).update(parts)
+        return table
+
 
 def _byte_letters() -> list[str]:
     """The letter byte-level BPE shows for each byte: printable Latin-1 as itself, others from U+0100 on."""
@@ -155,11 +161,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
     """Adds n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens)."""
     made = {"n_bytes", "n_tokens", "over_limit"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
-    shared = docs.sparkSession.sparkContext.broadcast(MergeTable(path))  # as large as the vocabulary
+    # plain arrays as large as the vocabulary; executors need nothing installed
+    shared = docs.sparkSession.sparkContext.broadcast(vars(MergeTable(path)))
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = Counter(shared.value)
+        counter = Counter(MergeTable.of(shared.value))
         for batch in batches:
             yield pd.Series([n for run in runs(batch.tolist()) for n in counter.count(run)], dtype="int64")
 
