@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and return
 had; the last one returns piece ids. ``run`` writes what a stage returns and reads it again for the next one, so a lost
 executor costs at most the current stage.
 
-Rows with a null id take part in all stages; they are never near copies of others. Rows repeating an id stay or go
-together. An empty table passes through all stages as an empty one.
+Rows with a null id take part in all stages. Near copies are judged row by row, so of rows repeating an id and a text
+one stays, and a text of its own stays whatever other rows with its id hold. An empty table passes through all stages as
+an empty one.
 """
 
 from __future__ import annotations
@@ -19,15 +20,15 @@ from foliospark.llm.queries import PIECES
 from foliospark.llm.words import whole_text
 from foliospark.plans.session import stored
 
-#: least share of the predicted language among all
-LEAST_SCORE = 0.5
+#: least share of the predicted language among all, and most cost per letter beside that of the language's own texts
+LEAST_SCORE, MOST_SURPRISE = 0.5, 3.2
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a language that can be told; those without letters or without a clear language go."""
+    """Texts in a language that can be told; those without letters, noise of letters and unknown languages go."""
     model = language_id.fit(docs, public_tokenizers.path(PIECES))
     judged = language_id.identify(docs, model)
-    known = (F.col("lang_pred") != language_id.UNDEFINED) & (F.col("score") >= LEAST_SCORE)
+    known = (F.col("lang_pred") != language_id.UNDEFINED) & (F.col("score") >= LEAST_SCORE) & (F.col("surprise") <= MOST_SURPRISE)
     return judged.where(known).select(*docs.columns)
 
 
@@ -37,10 +38,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies."""
-    groups = ngram_join.jaccard_join(docs.select("doc_id", "text"))
-    copies = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One document, that with the smallest id (null last), of each group of near copies."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "near-copy-rows")
+    groups = ngram_join.jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text"))
+    members = groups.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", F.col("doc_id").alias("_id")), "_row")
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_first")
+    kept = members.groupBy("component_id").agg(first).select("_first._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
