@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from foliospark.catalog.registry import query, sql
 from foliospark.operators import images as I
+from foliospark.operators import pixels as X
 from foliospark.operators.lines import book_text
 from foliospark.operators.recognise import recognize_pages
 from foliospark.plans.bindings import DUCK, NEEDS, Views
-from foliospark.plans.session import scratch_table, stored
+from foliospark.plans.session import bucketed, scratch_table, stored
 from foliospark.sources.images import decode_with, filter_image_files
 from foliospark.sources.tables import load_book_tables, write_book_text, write_tables
 from foliospark.streaming.imports import stream_import_rows
@@ -60,6 +61,48 @@ def _(v: Views):
     )
 
 
+DUCK["v_image_boxes"] = """
+select book_id, page_id, concat(page_id, '-', k) line_id, case k when 0 then 0 when 1 then 2.5 else img_w - 3 end::double x,
+ case k when 0 then 0 when 1 then 1.25 else -1 end::double y, case k when 0 then img_w when 1 then 4 else 9 end::double w,
+ case k when 0 then img_h when 1 then img_h / 2 else img_h + 4 end::double h
+ from v_images, range(3) t(k)"""
+DUCK["v_image_light"] = """
+select book_id, page_id, i // 4 % img_w x, i // 4 // img_w y, sum(cast(('0x' || byte) as int)) light
+ from v_bytes where i % 4 < 3 group by book_id, page_id, img_w, i // 4"""
+DUCK["v_image_profile"] = """
+select book_id, page_id, line_id, cast(y as int) y, cast(min(x) as int) min_x, cast(max(x) as int) max_x
+ from (select *, min(light) over line lo, max(light) over line hi
+  from (select p.*, line_id from v_image_light p join v_image_boxes b using (book_id, page_id)
+   where p.x >= floor(b.x) and p.x < ceil(b.x + b.w) and p.y >= floor(b.y) and p.y < ceil(b.y + b.h)) window line as (partition by line_id))
+ where hi - lo >= 120 and 2 * light < lo + hi group by book_id, page_id, line_id, y"""
+DUCK["v_image_runs"] = """
+select * exclude (w) from (select book_id, page_id, line_id, cast(min(y) as int) start_y, cast(max(y) as int) end_y, min(min_x) min_x, max(max_x) max_x
+  from (select *, y - row_number() over (partition by line_id order by y) island from v_image_profile) group by book_id, page_id, line_id, island)
+ join (select line_id, w from v_image_boxes) using (line_id)
+ where not (end_y - start_y + 1 >= w * 0.25::double and max_x - min_x + 1 <= greatest(2, w * 0.12::double))"""
+NEEDS.update(v_image_boxes=["v_images"], v_image_light=["v_bytes"], v_image_profile=["v_image_light", "v_image_boxes"], v_image_runs=["v_image_profile"])
+
+
+def image_boxes(v: Views):
+    """Three boxes per image: all of it, one with broken coordinates, and one that reaches beyond three sides."""
+    box = (
+        "posexplode(array(struct(0D x, 0D y, double(img_w) w, double(img_h) h), struct(2.5D x, 1.25D y, 4D w, img_h / 2 h),"
+        " struct(double(img_w - 3) x, -1D y, 9D w, double(img_h + 4) h))) as (k, b)"
+    )
+    return v.page_images.selectExpr(*KEYS, box).selectExpr(*KEYS, "concat(page_id, '-', k) line_id", "b.*")
+
+
+@query("image_ink_profile", sql("v_image_profile", "select * from v_image_profile"))
+def _(v: Views):
+    return X.image_ink_profile(v.page_images, image_boxes(v), KEYS)
+
+
+@query("image_ink_runs", sql("v_image_runs", "select * from v_image_runs"))
+def _(v: Views):
+    """Runs of the same boxes, from images of a table bucketed by book and page."""
+    return X.image_ink_runs(bucketed(v.page_images, KEYS, "images"), image_boxes(v), KEYS)
+
+
 def _digest(images):
     """Size and digest of each image."""
     return images.withColumn("digest", F.md5("rgba")).drop("rgba")

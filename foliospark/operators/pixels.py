@@ -1,9 +1,15 @@
-"""Pixel tables: tone levels from histograms, and ink runs that reveal a page number at the end of a tall line."""
+"""Tone levels from histograms, and ink runs that reveal a page number at the end of a tall line.
+
+Both come from pixel tables or, without one, from images: numpy reduces an image beside its boxes inside the task.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,20 +80,86 @@ def _pixels_in_boxes(pixels: DataFrame, boxes: DataFrame, keys: list[str]) -> Da
 
 
 def ink_profile(pixels: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Leftmost and rightmost ink pixel of each pixel row of a line box; nothing for boxes without contrast."""
+    """Leftmost and rightmost ink pixel of each pixel row of a line box; nothing for boxes without contrast.
+
+    Pixels are reduced, before they move, to the ends of each brightness of a pixel row; a line's threshold and its ink
+    come from those.
+    """
     keys = list(keys)
-    inside = _pixels_in_boxes(pixels, boxes, keys)
-    range_ = inside.groupBy(*keys, "line_id").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-    cut = range_.where(F.col("_hi") - F.col("_lo") >= MIN_CONTRAST).select(
-        *keys, "line_id", ((F.col("_lo") + F.col("_hi")) / F.lit(2.0)).alias("_cut")
-    )
-    dark = _pixels_in_boxes(pixels, boxes.join(cut.select(*keys, "line_id"), [*keys, "line_id"], "left_semi"), keys)
-    return (
-        dark.join(cut, [*keys, "line_id"])
-        .where(F.col("v") < F.col("_cut"))
-        .groupBy(*keys, "line_id", "y")
-        .agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"))
-    )
+    line = [*keys, "line_id"]
+    ends = _pixels_in_boxes(pixels, boxes, keys).groupBy(*line, "y", "v").agg(F.min("x").alias("_a"), F.max("x").alias("_b"))
+    whole = Window.partitionBy(*line)
+    lit = ends.withColumns({"_lo": F.min("v").over(whole), "_hi": F.max("v").over(whole)})
+    ink = (F.col("_hi") - F.col("_lo") >= MIN_CONTRAST) & (F.col("v") < (F.col("_lo") + F.col("_hi")) / F.lit(2.0))
+    return lit.where(ink).groupBy(*line, "y").agg(F.min("_a").alias("min_x"), F.max("_b").alias("max_x"))
+
+
+def box_ink(image: np.ndarray, x: float, y: float, w: float, h: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pixel rows of a box that hold ink, with their leftmost and rightmost ink pixel."""
+    top, left = max(0, math.floor(y)), max(0, math.floor(x))
+    part = image[top : max(top, math.ceil(y + h)), left : max(left, math.ceil(x + w)), :3]
+    none = np.zeros(0, int)
+    if not part.size:
+        return none, none, none
+    # the plain mean of three bytes, compared as sums
+    light = part.astype(np.int32).sum(2)
+    low, high = int(light.min()), int(light.max())
+    if high - low < 3 * MIN_CONTRAST:
+        return none, none, none
+    dark = 2 * light < low + high
+    rows = np.flatnonzero(dark.any(1))
+    return rows + top, dark[rows].argmax(1) + left, left + dark.shape[1] - 1 - dark[rows, ::-1].argmax(1)
+
+
+def box_runs(image: np.ndarray, x: float, y: float, w: float, h: float) -> list[tuple[int, int, int, int]]:
+    """Runs of consecutive pixel rows with ink: first and last row, leftmost and rightmost pixel."""
+    rows, low, high = box_ink(image, x, y, w, h)
+    if not len(rows):
+        return []
+    first = np.flatnonzero(np.diff(rows, prepend=rows[0] - 2) != 1)
+    last = np.append(first[1:], len(rows)) - 1
+    return list(zip(rows[first].tolist(), rows[last].tolist(), np.minimum.reduceat(low, first).tolist(), np.maximum.reduceat(high, first).tolist()))
+
+
+def _by_box(images: DataFrame, boxes: DataFrame, keys: list[str], found: Callable, names: list[str]) -> DataFrame:
+    """Rows that ``found`` gives for each box (line_id, x, y, w, h) of an image.
+
+    An image meets the list of its boxes; images of a table bucketed by ``keys`` stay where they are.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in (*images.schema.fields, *boxes.schema.fields)}
+    lists = boxes.groupBy(*keys).agg(F.collect_list(F.struct("line_id", *[F.col(c).cast("double").alias(c) for c in "xywh"])).alias("_boxes"))
+    rows = images.select(*keys, "img_w", "img_h", "rgba").join(lists.hint("shuffle_hash"), keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                try:
+                    image = np.frombuffer(r.rgba, np.uint8).reshape(r.img_h, r.img_w, 4)
+                except (TypeError, ValueError):  # an unreadable image has no ink
+                    continue
+                key = tuple(getattr(r, k) for k in keys)
+                for b in r[-1]:
+                    out += [(*key, b["line_id"], *row) for row in found(image, b["x"], b["y"], b["w"], b["h"])]
+            yield pd.DataFrame(out, columns=[*keys, "line_id", *names])
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in (*keys, "line_id")), *(f"{n} int" for n in names)])
+    return rows.mapInPandas(run, schema)
+
+
+def image_ink_profile(images: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``ink_profile`` from images (img_w, img_h, rgba): one row per line and pixel row with ink, and no pixel table."""
+
+    def found(image: np.ndarray, *box: float) -> Iterator[tuple[int, int, int]]:
+        return zip(*[part.tolist() for part in box_ink(image, *box)])
+
+    return _by_box(images, boxes, list(keys), found, ["y", "min_x", "max_x"])
+
+
+def image_ink_runs(images: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``ink_runs`` from images: runs are found beside the image, so one row per run leaves it."""
+    runs = _by_box(images, boxes, list(keys), box_runs, ["start_y", "end_y", "min_x", "max_x"])
+    return without_rules(runs, boxes, list(keys))
 
 
 def ink_runs(profile: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -106,6 +178,12 @@ def ink_runs(profile: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataF
         )
         .drop("_island")
     )
+    return without_rules(runs, boxes, keys)
+
+
+def without_rules(runs: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs but for thin rules: long and narrow beside their line's width."""
+    line = [*keys, "line_id"]
     width = boxes.select(*line, F.col("w").alias("_w"))
     rule = ((F.col("end_y") - F.col("start_y") + 1) >= F.col("_w") * F.lit(RULE_MIN_LENGTH)) & (
         (F.col("max_x") - F.col("min_x") + 1) <= F.greatest(F.lit(2.0), F.col("_w") * F.lit(RULE_MAX_WIDTH))

@@ -16,17 +16,16 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.geometry import recognizer_route
 from foliospark.operators.detections import assign_lines_to_blocks, detection_filter, nms_lines
-from foliospark.operators.images import _pixels, image_pixels
+from foliospark.operators.images import _pixels
 from foliospark.operators.pixels import (
     VERTICAL_ASPECT,
     accept_trailing_split,
-    ink_profile,
-    ink_runs,
+    image_ink_runs,
     trailing_splits,
 )
 from foliospark.operators.reading_order import reading_order
 from foliospark.plans.ordered import number_rows, slot
-from foliospark.plans.session import stored
+from foliospark.plans.session import bucketed, stored
 
 KEYS = ["book_id", "page_id"]
 DETECTED = (
@@ -40,6 +39,12 @@ def _error_text(e: Exception) -> str:
     return f"{type(e).__name__}: {e}"
 
 
+def _detected(box: tuple) -> tuple:
+    """A detector's row with its types; a row of another length is that page's error."""
+    x1, y1, x2, y2, score, label, char_count = box
+    return float(x1), float(y1), float(x2), float(y2), float(score), int(label), None if char_count is None else int(char_count)
+
+
 def detect(images: DataFrame, detect_fn: Callable[[np.ndarray], list[tuple]]) -> DataFrame:
     """Boxes of every page; a page whose detection fails is one row with its error."""
     names = ["det_no", "x1", "y1", "x2", "y2", "score", "label", "char_count", "error"]
@@ -50,16 +55,21 @@ def detect(images: DataFrame, detect_fn: Callable[[np.ndarray], list[tuple]]) ->
             for r in batch.itertuples(index=False):
                 try:
                     found = detect_fn(_pixels(r.rgba, r.img_w, r.img_h))
-                    rows.extend((r.book_id, r.page_id, i, *box, None) for i, box in enumerate(found))
+                    rows += [(r.book_id, r.page_id, i, *_detected(box), None) for i, box in enumerate(found)]
                 except Exception as e:  # reported per page
                     rows.append((r.book_id, r.page_id, *[None] * 8, _error_text(e)))
-            yield pd.DataFrame(rows, columns=[*KEYS, *names])
+            kinds = {"det_no": "Int32", "label": "Int32", "char_count": "Int32"}
+            yield pd.DataFrame(rows, columns=[*KEYS, *names]).astype(kinds)
 
     return images.select(*KEYS, "img_w", "img_h", "rgba").mapInPandas(run, DETECTED)
 
 
 def read_boxes(images: DataFrame, boxes: DataFrame, read_fn: Callable[[int, np.ndarray], str]) -> DataFrame:
-    """Text or error of boxes (piece_id, x, y, w, h, route). A page travels once, together with the list of its boxes."""
+    """Text or error of boxes (piece_id, x, y, w, h, route).
+
+    A page meets the list of its boxes. Pages of a table bucketed by book and page stay where they are, unsorted, and
+    only the lists move.
+    """
     lists = boxes.groupBy(*KEYS).agg(
         F.sort_array(F.collect_list(F.struct("route", "piece_id", "x", "y", "w", "h"))).alias("boxes")
     )
@@ -79,7 +89,7 @@ def read_boxes(images: DataFrame, boxes: DataFrame, read_fn: Callable[[int, np.n
                     rows.append((r.book_id, r.page_id, b["piece_id"], *answer))
             yield pd.DataFrame(rows, columns=[*KEYS, "piece_id", "text", "error"])
 
-    pages = images.select(*KEYS, "img_w", "img_h", "rgba").join(lists, KEYS)
+    pages = images.select(*KEYS, "img_w", "img_h", "rgba").join(lists.hint("shuffle_hash"), KEYS)
     return pages.mapInPandas(run, "book_id string, page_id long, piece_id string, text string, error string")
 
 
@@ -87,12 +97,18 @@ def recognize_pages(
     images: DataFrame,
     detect_fn: Callable[[np.ndarray], list[tuple]],
     read_fn: Callable[[int, np.ndarray], str],
+    prepared: bool = False,
 ) -> DataFrame:
     """Lines (line_no, line_id, box, text, edited, block_id, error) of every page image.
 
+    Images are written once, bucketed by book and page, unless ``prepared`` says that they come from such a table. After
+    that no image moves: boxes, ink and texts are found beside it, and what leaves it is boxes, runs and texts.
+
     A page without text, and one on which a model fails, is one row without a line; a failed page has its error there
     and no lines. Other pages go on.
     """
+    if not prepared:
+        images = bucketed(images.select(*KEYS, "img_w", "img_h", "rgba"), KEYS, "recognise-images")
     sizes = images.select(*KEYS, F.lit(1.0).alias("scale"), "img_w", "img_h")
     raw = stored(detect(images, detect_fn), "recognise-detected")
     found = stored(detection_filter(raw.where("error is null").drop("error"), sizes, KEYS), "recognise-boxes")
@@ -102,10 +118,8 @@ def recognize_pages(
         reading_order(placed, KEYS).withColumn("line_id", F.concat_ws("-", "page_id", "det_no")), "recognise-lines"
     )
 
-    # Only pages with a tall line are turned into pixels.
     tall = ordered.where(F.col("h") >= F.col("w") * F.lit(VERTICAL_ASPECT)).select(*KEYS, "line_id", "x", "y", "w", "h")
-    pixels = image_pixels(images.join(tall.select(*KEYS).distinct(), KEYS, "left_semi"))
-    runs = ink_runs(ink_profile(pixels, tall, KEYS), tall, KEYS)
+    runs = stored(image_ink_runs(images, tall, KEYS), "recognise-runs")
     candidates = stored(trailing_splits(runs, tall, KEYS), "recognise-candidates")
     tails = candidates.select(
         *KEYS,

@@ -69,6 +69,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Writes the rows once as a table bucketed by ``keys`` and reads it back.
+
+    Joins on these keys then leave the rows where they are, and only the other side moves. For rows that are large and
+    joined several times, such as images. The table lies in the shared folder, one file a bucket.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, table = scratch_table(spark, name), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Shuffles by key into the configured number of partitions before CPU-heavy work on small rows.
 

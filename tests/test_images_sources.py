@@ -9,7 +9,10 @@ from foliospark.operators import assets as A
 from foliospark.operators import epub as U
 from foliospark.operators import images as I
 from foliospark.operators import pages as P
+from foliospark.operators.images import image_pixels
+from foliospark.operators.pixels import image_ink_profile, image_ink_runs, ink_profile, ink_runs
 from foliospark.operators.recognise import recognize_pages
+from foliospark.plans.session import bucketed
 from foliospark.sources import images as SI
 from foliospark.sources import tables as ST
 from foliospark.streaming.imports import stream_import
@@ -240,3 +243,46 @@ def test_page_moves_and_errors(spark):
     listed = spark.createDataFrame([("b", "zz", 0)], "book_id string, page_id string, new_ord int")
     with pytest.raises(Exception, match="page not found"):
         P.reorder_pages(pages, listed).collect()
+
+
+def test_images_stay_where_they_are(spark):
+    """No image moves in a join of a bucketed table with its boxes, and none is sorted."""
+    rows = [("a", i, 8, 4, bytes(range(128))) for i in range(20)]
+    images = bucketed(spark.createDataFrame(rows, "book_id string, page_id long, img_w int, img_h int, rgba binary"), ["book_id", "page_id"], "images")
+    boxes = images.selectExpr("book_id", "page_id", "string(page_id) line_id", "0D x", "0D y", "8D w", "4D h")
+    plan = image_ink_profile(images, boxes, ["book_id", "page_id"])._jdf.queryExecution().executedPlan().toString()
+    image_side = [line for line in plan.splitlines() if "rgba" in line]
+    assert image_side and not any("Exchange" in line or "Sort" in line for line in image_side)
+    assert "ShuffledHashJoin" in plan and "SelectedBucketsCount" in plan
+
+
+def test_ink_from_images_equals_ink_from_pixels(spark):
+    rng = np.random.default_rng(6)
+    rows, boxes = [], []
+    for i in range(12):
+        w, h = int(rng.integers(3, 30)), int(rng.integers(3, 40))
+        image = rng.choice([0, 40, 200, 255], (h, w, 4), p=[0.1, 0.1, 0.2, 0.6]).astype(np.uint8)
+        rows.append(("a", i, w, h, image.tobytes()))
+        for k in range(4):
+            boxes.append(("a", i, f"{i}/{k}", *(float(v) for v in rng.uniform(-4, 30, 2)), *(float(v) for v in rng.uniform(0.2, 30, 2))))
+    boxes.append(("b", 99, "other", 0.0, 0.0, 5.0, 5.0))
+    rows.append(("c", 1, 5, 5, b"short"))
+    keys = ["book_id", "page_id"]
+    images = spark.createDataFrame(rows, "book_id string, page_id long, img_w int, img_h int, rgba binary")
+    lines = spark.createDataFrame(boxes, "book_id string, page_id long, line_id string, x double, y double, w double, h double")
+    names = [*keys, "line_id", "y", "min_x", "max_x"]
+    pixels = image_pixels(images.where("book_id = 'a'"))
+    want = ink_profile(pixels, lines, keys).select(*names)
+    got = image_ink_profile(images, lines, keys).select(*names)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count()
+    runs = [*keys, "line_id", "start_y", "end_y", "min_x", "max_x"]
+    want = ink_runs(want, lines, keys).select(*runs)
+    assert sorted(map(tuple, image_ink_runs(images, lines, keys).select(*runs).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_detector_rows_of_another_length_are_that_pages_error(spark):
+    rows = [("a", i, 40, 40, bytes([i]) * 6400) for i in range(3)]
+    images = spark.createDataFrame(rows, "book_id string, page_id long, img_w int, img_h int, rgba binary")
+    detector = lambda px: [(0.0, 0.0, 30.0, 30.0, 0.9, 2, 3)] + ([(1.0, 2.0)] if px[0, 0, 0] == 1 else [])
+    got = {r["page_id"]: (r["text"], r["error"]) for r in recognize_pages(images, detector, lambda route, px: "t").collect()}
+    assert got[0] == got[2] == ("t", None) and got[1][0] is None and got[1][1].startswith("ValueError")
