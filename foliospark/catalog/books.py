@@ -239,11 +239,55 @@ def edit_log(v: Views):
     )
 
 
-@query("replay_line_edits")
-def _(v: Views):
-    """Every page has a blank, recognised back with the same edits."""
-    back = "-1 - page_id"
+DUCK["v_replay_pages"] = """
+select source book_id, doc_id page_id from documents union all select source, -1 - doc_id from documents
+ union all select concat(source, '/copy'), doc_id from documents"""
+DUCK["v_replay_lines"] = """
+select book_id, page_id, list({'id': line_id, 'text': text, 'edited': edited} order by line_no) lines from (
+ select book_id, page_id, line_no, line_id, text, edited from v_lines
+ union all select concat(book_id, '/copy'), page_id, line_no, line_id, concat(text, '+'), edited from v_lines where page_id % 2 = 0) group by all"""
+DUCK["v_replay_log"] = """
+select p.book_id, p.page_id, list({'op': op, 'id': line_id, 'text': text, 'after': after_line_id, 'to': to_index} order by seq) edits, max(seq) last_edit
+ from (select event_page, seq, op, case when op = 'add' then concat(event_page, '+', seq) else concat(event_page, '-', cast(floor(value) as int) % 9) end line_id,
+   case when op = 'update' then concat('edit ', seq) end as text,
+   case when op = 'add' then concat(event_page, '-', cast(floor(value * 10) as int) % 9) end after_line_id,
+   case when op = 'move' then cast(floor(value * 10) as int) % 12 - 1 end to_index
+  from (select page_id event_page, seq, op, value from v_events where op <> 'undo')) e
+ join v_replay_pages p on e.event_page = case when p.page_id < 0 then -1 - p.page_id else p.page_id end group by p.book_id, p.page_id"""
+_AT = "coalesce(list_position(list_transform(s, lambda l: l.id), {}), 0)"
+_LINE = "struct_pack(id := x.id, text := {}, edited := true)"
+DUCK["v_replayed"] = f"""
+select book_id, page_id, last_edit, list_reduce(coalesce(edits, []), lambda s, x: list_transform([{_AT.format("case when x.op = 'add' then x.after else x.id end")}], lambda p:
+  case when x.op = 'add' then s[1:case when p = 0 then len(s) else p end] || [{_LINE.format("''")}] || s[case when p = 0 then len(s) else p end + 1:]
+   when p = 0 then s
+   when x.op = 'update' then s[1:p - 1] || [{_LINE.format("x.text")}] || s[p + 1:]
+   when x.op = 'delete' then s[1:p - 1] || s[p + 1:]
+   else list_transform([greatest(0, least(x."to", len(s) - 1))], lambda k: (s[1:p - 1] || s[p + 1:])[1:k] || [s[p]] || (s[1:p - 1] || s[p + 1:])[k + 1:])[1] end)[1],
+  coalesce(lines, [])) lines
+ from v_replay_pages left join v_replay_lines using (book_id, page_id) left join v_replay_log using (book_id, page_id)"""
+NEEDS.update(v_replay_pages=[], v_replay_lines=["v_lines"], v_replay_log=["v_events", "v_replay_pages"], v_replayed=["v_replay_pages", "v_replay_lines", "v_replay_log"])
+REPLAYED = """
+select book_id, page_id, cast(no - 1 as int) line_no, lines[no].id line_id, lines[no].text as text, lines[no].edited edited, last_edit
+ from (select *, unnest(range(1, len(lines) + 1)) as no from v_replayed)
+union all select book_id, page_id, null, null, null, null, last_edit from v_replayed where len(lines) = 0 and last_edit is not null"""
+
+
+def replay_input(v: Views):
+    """Lines, log and recognised pages: every page has a blank back, and a page of the same number in a second book.
+
+    Odd pages of the second book are blank. All have the same edits.
+    """
     pages = v.documents.selectExpr("source book_id", "doc_id page_id")
-    results = pages.unionByName(pages.withColumn("page_id", F.expr(back)))
-    log = edit_log(v).join(pages, "page_id")
-    return E.replay_line_edits(v.lines, log.unionByName(log.withColumn("page_id", F.expr(back))), results)
+    second = "concat(book_id, '/copy') book_id"
+    results = pages.unionByName(pages.selectExpr("book_id", "-1 - page_id page_id")).unionByName(pages.selectExpr(second, "page_id"))
+    log = edit_log(v).where("op <> 'undo'").join(pages, "page_id")
+    rest = [c for c in log.columns if c not in ("book_id", "page_id")]
+    log = log.unionByName(log.selectExpr("book_id", "-1 - page_id page_id", *rest)).unionByName(log.selectExpr(second, "page_id", *rest))
+    columns = ["book_id", "page_id", "line_no", "line_id", "text", "edited"]
+    copies = v.lines.where("page_id % 2 = 0").selectExpr(second, "page_id", "line_no", "line_id", "concat(text, '+') text", "edited")
+    return v.lines.select(*columns).unionByName(copies), log, results
+
+
+@query("replay_line_edits", sql("v_replayed", REPLAYED))
+def _(v: Views):
+    return E.replay_line_edits(*replay_input(v))

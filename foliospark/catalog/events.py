@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from foliospark.catalog.registry import query, sql
-from foliospark.catalog.books import edit_log
+from foliospark.catalog.books import REPLAYED, replay_input
 from foliospark.plans.bindings import Views
-from foliospark.plans.session import scratch_table
+from foliospark.plans.session import scratch_table, setting
 from foliospark.streaming import edits as SE
 from foliospark.streaming import events as E
 
@@ -104,27 +104,32 @@ def _(v: Views):
     return E.run_progress(events)
 
 
-EVENT_SCHEMA = "page_id long, seq long, op string, line_id string, text string, after_line_id string, to_index int"
+EVENT_SCHEMA = "book_id string, page_id long, seq long, op string, line_id string, text string, after_line_id string, to_index int"
 
 
-@query("stateful_line_edits")
+@query("stateful_line_edits", sql("v_replayed", REPLAYED))
 def _(v: Views):
-    """Runs the stream over the whole log and returns the final pages."""
-    base = v.lines.selectExpr(
-        "page_id", "cast(line_no as long) - 1000000000 seq", "'base' op", "line_id", "text",
+    """Runs the stream over all pages, lines and edits, and returns the final pages."""
+    lines, edits, results = replay_input(v)
+    columns = [part.split()[0] for part in EVENT_SCHEMA.split(", ")]
+    base = lines.selectExpr(
+        "book_id", "page_id", "cast(line_no as long) - 1000000000 seq", "'base' op", "line_id", "text",
         "cast(null as string) after_line_id", "cast(edited as int) to_index",
     )
-    known = v.lines.select("page_id").distinct()
-    log = base.unionByName(edit_log(v).join(known, "page_id", "left_semi").select(*base.columns))
+    blank = results.selectExpr(
+        "book_id", "page_id", "-2000000000L seq", "'page' op", "cast(null as string) line_id", "cast(null as string) text",
+        "cast(null as string) after_line_id", "cast(null as int) to_index",
+    )
     source, out, state = (scratch_table(v.spark, n) for n in ("edit-log", "edit-pages", "edit-state"))
-    log.write.parquet(source)
+    base.unionByName(blank).unionByName(edits.select(*columns)).write.parquet(source)
     stream = SE.stateful_line_edits(v.spark.readStream.schema(EVENT_SCHEMA).parquet(source))
-    run = (
-        stream.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, _id: batch.write.mode("append").parquet(out))
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
+    with setting(v.spark, *SE.PROVIDER):
+        run = (
+            stream.writeStream.outputMode("update")
+            .foreachBatch(lambda batch, _id: batch.write.mode("append").parquet(out))
+            .option("checkpointLocation", state)
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()
     return SE.current_pages(v.spark.read.schema(SE.OUTPUT).parquet(out))

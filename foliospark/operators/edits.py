@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,64 +83,166 @@ def move_line(lines: DataFrame, moves: DataFrame) -> DataFrame:
     return lines.join(spots, PAGE, "left").withColumn("line_no", place).drop("_from", "_to")
 
 
+BLOCK = 512
+
+
 class PageLines:
-    """The lines of one page while its log is applied."""
+    """The lines (line_id, text, edited) of one page while its log is applied.
+
+    Lines stand in blocks of at most ``2 * BLOCK``, blocks in an order, and an index names the blocks that hold an id.
+    An edit looks at one block and at the order of blocks, not at all lines. Of lines with one id the first is meant.
+    Where blocks and index are kept is up to ``_block``, ``_put``, ``_places`` and ``_put_places``.
+    """
 
     def __init__(self) -> None:
-        self.lines: list[dict] = []
+        self.order: list[int] = []
+        self.sizes: list[int] = []
+        self.made = 0
         self.last_edit: int | None = None
+        self._blocks: dict[int, list[tuple]] = {}
+        self._where: dict[str | None, list[int]] = {}
+
+    def _block(self, number: int) -> list[tuple]:
+        return self._blocks[number]
+
+    def _put(self, number: int, lines: list[tuple]) -> None:
+        if lines:
+            self._blocks[number] = lines
+        else:
+            self._blocks.pop(number, None)
+
+    def _places(self, line_id: str | None) -> list[int]:
+        """Numbers of the blocks with lines of this id, one for each line."""
+        return self._where.get(line_id, [])
 
-    def _find(self, line_id: str | None) -> int:
-        return next((i for i, line in enumerate(self.lines) if line["line_id"] == line_id), -1)
+    def _put_places(self, line_id: str | None, places: list[int]) -> None:
+        if places:
+            self._where[line_id] = places
+        else:
+            self._where.pop(line_id, None)
+
+    def lines(self) -> Iterator[tuple]:
+        for number in self.order:
+            yield from self._block(number)
+
+    def _find(self, line_id: str | None) -> tuple[int, int] | None:
+        """Place of the first line with an id: position of its block, position in the block."""
+        places = self._places(line_id)
+        if not places:
+            return None
+        at = min(map(self.order.index, set(places)))
+        block = self._block(self.order[at])
+        return at, next(i for i, line in enumerate(block) if line[0] == line_id)
+
+    def _at(self, index: int) -> tuple[int, int]:
+        """Place at which a line gets this number; beyond the last line, the end."""
+        index = max(0, index)
+        for at, size in enumerate(self.sizes):
+            if index < size or (at == len(self.sizes) - 1 and index >= size):
+                return at, min(index, size)
+            index -= size
+        return 0, 0
+
+    def _insert(self, at: int, i: int, line: tuple) -> None:
+        if not self.order:
+            self.order.append(self.made)
+            self.sizes.append(0)
+            self._blocks[self.made] = []
+            self.made += 1
+        number = self.order[at]
+        block = self._block(number)
+        block.insert(i, line)
+        self._put_places(line[0], [*self._places(line[0]), number])
+        if len(block) > 2 * BLOCK:
+            rest, new = block[BLOCK:], self.made
+            del block[BLOCK:]
+            self.made += 1
+            self.order.insert(at + 1, new)
+            self.sizes.insert(at + 1, len(rest))
+            self._put(new, rest)
+            for line_id, _, _ in rest:
+                places = list(self._places(line_id))
+                places[places.index(number)] = new
+                self._put_places(line_id, places)
+        self.sizes[at] = len(block)
+        self._put(number, block)
+
+    def _remove(self, at: int, i: int) -> tuple:
+        number = self.order[at]
+        block = self._block(number)
+        line = block.pop(i)
+        places = list(self._places(line[0]))
+        places.remove(number)
+        self._put_places(line[0], places)
+        self.sizes[at] = len(block)
+        self._put(number, block)
+        if not block:
+            del self.order[at], self.sizes[at]
+        return line
 
     def apply(self, op: str, seq: int, line_id: str | None, text: str | None, after: str | None, to_index: int | None) -> None:
         if op == "base":
-            self.lines.append({"line_id": line_id, "text": text, "edited": bool(to_index)})
+            self._insert(max(0, len(self.order) - 1), self.sizes[-1] if self.sizes else 0, (line_id, text, bool(to_index)))
             return
         if op not in ("update", "delete", "add", "move"):
             return
         self.last_edit = seq
         if op == "add":
-            at = self._find(after)
-            self.lines.insert(len(self.lines) if at < 0 else at + 1, {"line_id": line_id, "text": "", "edited": True})
+            found = self._find(after)
+            at, i = (found[0], found[1] + 1) if found else self._at(sum(self.sizes))
+            self._insert(at, i, (line_id, "", True))
             return
-        at = self._find(line_id)
-        if at < 0:
+        found = self._find(line_id)
+        if found is None:
             return
         if op == "update":
-            self.lines[at].update(text=text, edited=True)
+            block = self._block(self.order[found[0]])
+            block[found[1]] = (line_id, text, True)
+            self._put(self.order[found[0]], block)
             return
-        line = self.lines.pop(at)
+        line = self._remove(*found)
         if op == "move":
-            self.lines.insert(max(0, min(int(to_index or 0), len(self.lines))), line)
+            self._insert(*self._at(int(to_index or 0)), line)
 
 
 LOG_COLUMNS = ["seq", "op", "line_id", "text", "after_line_id", "to_index"]
 REPLAYED = "book_id string, page_id long, line_no int, line_id string, text string, edited boolean, last_edit long"
+ROWS = 20_000
 
 
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows arrive sorted by page and sequence; only the lines of the current page are held."""
-    current, page = None, PageLines()
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
+    names = [part.split()[0] for part in REPLAYED.split(", ")]
+    current, page, out = None, PageLines(), []
+
+    def leave() -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * len(names)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    def finished() -> pd.DataFrame:
-        rows = [(*current, i, x["line_id"], x["text"], x["edited"], page.last_edit) for i, x in enumerate(page.lines)]
-        if not rows and page.last_edit is not None:
-            rows = [(*current, None, None, None, None, page.last_edit)]
-        names = [*PAGE, "line_no", "line_id", "text", "edited", "last_edit"]
-        return pd.DataFrame(rows, columns=names).astype({"line_no": "Int32", "edited": "boolean", "last_edit": "Int64"})
+    def finished() -> Iterator[tuple]:
+        if page.order:
+            yield from ((*current, i, *line, page.last_edit) for i, line in enumerate(page.lines()))
+        elif page.last_edit is not None:
+            yield (*current, None, None, None, None, page.last_edit)
 
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            key = (row.book_id, row.page_id)
-            if key != current:
+        for book, number, seq, op, line_id, text, after, to_index in zip(*[c.to_pylist() for c in batch.columns]):
+            if (book, number) != current:
                 if current is not None:
-                    yield finished()
-                current, page = key, PageLines()
-            to_index = None if pd.isna(row.to_index) else int(row.to_index)
-            page.apply(row.op, int(row.seq), row.line_id, row.text, row.after_line_id, to_index)
+                    for row in finished():
+                        out.append(row)
+                        if len(out) >= ROWS:
+                            yield leave()
+                current, page = (book, number), PageLines()
+            page.apply(op, seq, line_id, text, after, to_index)
     if current is not None:
-        yield finished()
+        for row in finished():
+            out.append(row)
+            if len(out) >= ROWS:
+                yield leave()
+    yield leave()
 
 
 def replay_line_edits(lines: DataFrame, log: DataFrame, results: DataFrame | None = None) -> DataFrame:
@@ -148,7 +250,7 @@ def replay_line_edits(lines: DataFrame, log: DataFrame, results: DataFrame | Non
 
     Before the shuffle, an update that a later update of the same line replaces is dropped; the result is the same,
     and a page that was retyped very often shrinks to its lines. The rest is streamed page by page in sequence order
-    through tasks that hold one page's lines, never its log. ``results`` (book_id, page_id) names recognised pages, so
+    through tasks that hold one page's lines, never its log, and spend about the square root of the lines on an edit. ``results`` (book_id, page_id) names recognised pages, so
     that edits of one without lines count; edits of pages with neither have no effect. A page left without lines by
     its edits is one row with ``last_edit`` and nulls for the line.
     """
@@ -174,4 +276,4 @@ def replay_line_edits(lines: DataFrame, log: DataFrame, results: DataFrame | Non
         F.col("edited").cast("int").alias("to_index"),
     )
     rows = spread(base.unionByName(edits), *PAGE).sortWithinPartitions(*PAGE, "seq")
-    return rows.mapInPandas(_replay, REPLAYED)
+    return rows.select(*PAGE, *LOG_COLUMNS).mapInArrow(_replay, REPLAYED)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from foliospark.functions.text import text_file_name
+from foliospark.plans.session import cut_lineage
 
 TABLES = ("pages", "lines", "chapters", "books")
 
@@ -26,6 +29,46 @@ def write_tables(df: DataFrame, root: str, name: str) -> None:
     )
 
 
+def put_pages(
+    rows: DataFrame, root: str, name: str, replaces: Callable[[Column, Column], Column] | None = None, buckets: int = 64
+) -> list[int]:
+    """Stores rows, one per page, in place of those of the same pages; other pages stay. Returns the buckets written.
+
+    The table is laid out by a hash of the page, and only buckets that hold one of the pages are written anew, each as
+    a whole; files of others keep their names. ``replaces`` (old row, new row) may keep stored rows: without a page that
+    is to be replaced nothing is written. A writer that breaks off leaves whole buckets, old or new. One writer at a
+    time may change a table.
+    """
+    spark, path, keys = rows.sparkSession, f"{root}/{name}", ["book_id", "page_id"]
+    new = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    stored_before = exists(spark, path)
+    if stored_before:
+        old = spark.read.schema(new.schema).parquet(path)
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most the number of buckets
+        old = old.where(F.col("bucket").isin(touched))
+        columns = [c for c in new.columns if c not in (*keys, "bucket")]
+        pair = lambda side: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in columns])
+        join = [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys]
+        both = new.alias("new").join(old.alias("old"), [*join, F.col("old.bucket") == F.col("new.bucket")], "left")
+        absent = F.col("old.bucket").isNull()
+        takes = absent | replaces(pair("old"), pair("new")) if replaces else F.lit(True)
+        new = cut_lineage(both.where(takes).select("new.*"))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+        if not touched:
+            return []
+        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+        stay = old.where(F.col("bucket").isin(touched)).alias("a").join(new.alias("b"), [*same, F.col("a.bucket") == F.col("b.bucket")], "left_anti")
+        new = new.unionByName(stay.select("a.*"))
+    new.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return touched if stored_before else [r["bucket"] for r in spark.read.parquet(path).select("bucket").distinct().collect()]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
 def load_book_tables(spark: SparkSession, root: str, name: str, schema: StructType | str | None = None, merge: bool = False) -> DataFrame:
     """A stored table; files with fewer columns than ``schema`` are read with nulls.
 

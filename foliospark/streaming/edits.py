@@ -1,63 +1,175 @@
-"""Line edits as a stateful stream: one state per page, edits applied in sequence order."""
+"""Line edits as a stateful stream: keyed state per page of a book, edits applied in sequence order."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from foliospark.operators.edits import PageLines
+from foliospark.operators.edits import PAGE, PageLines
 
-STATE = "lines string, last_seq long"
-OUTPUT = "page_id long, last_seq long, late_seq long, lines string"
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+OUTPUT = (
+    "book_id string, page_id long, kind string, version long, line_no int, line_id string, text string, edited boolean,"
+    " last_edit long, late_seq long"
+)
+NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
+NO_ID = "\0"
+ROWS = 10_000
 
 
-def _advance(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Applies the batch to the page's lines; edits older than the last applied one are handed out as late.
+class _StoredPage(PageLines):
+    """Page lines whose blocks and index lie in map states; a call reads the blocks it touches and writes back changed ones."""
 
-    The edits of one page in one micro-batch are sorted together, so limit the trigger size for very busy pages.
-    """
-    page = PageLines()
-    last = -(2**62)
-    if state.exists:
-        stored, last = state.get
-        page.lines = json.loads(stored)
-    late: list[int] = []
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("seq")
-    for row in rows.itertuples(index=False):
-        if row.seq <= last:
-            late.append(int(row.seq))
-            continue
-        to_index = None if pd.isna(row.to_index) else int(row.to_index)
-        page.apply(row.op, int(row.seq), row.line_id, row.text, row.after_line_id, to_index)
-        last = int(row.seq)
-    text = json.dumps(page.lines, ensure_ascii=False)
-    state.update((text, last))
-    out = [(int(key[0]), last, None, text), *((int(key[0]), last, s, None) for s in late)]
-    frame = pd.DataFrame(out, columns=["page_id", "last_seq", "late_seq", "lines"])
-    yield frame.astype({"late_seq": "Int64"})
-
-
-def stateful_line_edits(events: DataFrame) -> DataFrame:
-    """Pages after each micro-batch, and late edits.
-
-    ``events`` (page_id, seq, op, line_id, text, after_line_id, to_index); rows with op = base bring the first lines.
-    Rows with lines are page versions, the highest last_seq being current; rows with late_seq belong to a side table.
+    def __init__(self, blocks, where) -> None:
+        super().__init__()
+        self.block_state, self.where_state = blocks, where
+        self.changed: set[int] = set()
+        self.moved: set[str | None] = set()
+
+    def _block(self, number: int) -> list[tuple]:
+        if number not in self._blocks:
+            ids, texts, edited = self.block_state.getValue((number,))
+            self._blocks[number] = list(zip(ids, texts, edited))
+        return self._blocks[number]
+
+    def _put(self, number: int, lines: list[tuple]) -> None:
+        self._blocks[number] = lines
+        self.changed.add(number)
+
+    def _places(self, line_id: str | None) -> list[int]:
+        if line_id not in self._where:
+            key = (NO_ID if line_id is None else line_id,)
+            self._where[line_id] = list(self.where_state.getValue(key)[0]) if self.where_state.containsKey(key) else []
+        return self._where[line_id]
+
+    def _put_places(self, line_id: str | None, places: list[int]) -> None:
+        self._where[line_id] = places
+        self.moved.add(line_id)
+
+    def save(self) -> None:
+        for number in self.changed:
+            lines = self._blocks[number]
+            if lines:
+                self.block_state.updateValue((number,), tuple(list(c) for c in zip(*lines)))
+            elif self.block_state.containsKey((number,)):
+                self.block_state.removeKey((number,))
+        for line_id in self.moved:
+            key, places = (NO_ID if line_id is None else line_id,), self._where[line_id]
+            if places:
+                self.where_state.updateValue(key, (places,))
+            elif self.where_state.containsKey(key):
+                self.where_state.removeKey(key)
+
+
+class LineEditor(StatefulProcessor):
+    """Keeps the lines of a page and hands out its versions, late edits and edits of unknown pages."""
+
+    def __init__(self, quiet_ms: int | None):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.blocks = handle.getMapState("blocks", "number int", "ids array<string>, texts array<string>, edited array<boolean>")
+        self.where = handle.getMapState("where", "line_id string", "blocks array<int>")
+        self.order = handle.getListState("order", "number int, size int")
+        self.head = handle.getValueState("head", "made int, last_seq long, last_edit long")
+
+    def _load(self) -> tuple[_StoredPage, int | None]:
+        page, last = _StoredPage(self.blocks, self.where), None
+        if self.head.exists():
+            page.made, last, page.last_edit = self.head.get()
+            for number, size in self.order.get():
+                page.order.append(number)
+                page.sizes.append(size)
+        return page, last
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        page, last = self._load()
+        known, late, changed = last is not None, [], False
+        # the edits of one page in one micro-batch are sorted together
+        edits = pd.concat(list(rows), ignore_index=True)[["seq", "op", "line_id", "text", "after_line_id", "to_index"]]
+        edits = edits.astype(object).where(edits.notna(), None).sort_values("seq", kind="stable")
+        for seq, op, line_id, text, after, to_index in edits.itertuples(index=False):
+            known = known or op in ("page", "base")
+            if not known:
+                late.append(("unknown", int(seq)))
+            elif last is not None and seq <= last:
+                late.append(("late", int(seq)))
+            else:
+                page.apply(op, int(seq), line_id, text, after, None if to_index is None else int(to_index))
+                last, changed = int(seq), True
+        if changed:
+            page.save()
+            self.head.update((page.made, last, page.last_edit))
+            if page.order:
+                self.order.put(list(zip(page.order, page.sizes)))
+            else:
+                self.order.clear()
+            if self.quiet_ms is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
+        yield from _frames(key, _version(page, last, "line") if changed else [], late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A quiet page leaves once more, as closed, and its state goes."""
+        page, last = self._load()
+        yield from _frames(key, list(_version(page, last, "closed")), [])
+        for state in (self.blocks, self.where, self.order, self.head):
+            state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _version(page: PageLines, last: int, kind: str) -> Iterator[tuple]:
+    if not page.order:
+        yield kind, last, None, None, None, None, page.last_edit, None
+    for i, line in enumerate(page.lines()):
+        yield kind, last, i, *line, page.last_edit, None
+
+
+def _frames(key: tuple, version: Iterator[tuple], late: list[tuple[str, int]]) -> Iterator[pd.DataFrame]:
+    rows = []
+
+    def frame() -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=NAMES).astype({"line_no": "Int32", "edited": "boolean", "last_edit": "Int64", "late_seq": "Int64", "version": "Int64"})
+        rows.clear()
+        return made
+
+    for row in version:
+        rows.append((*key, *row))
+        if len(rows) >= ROWS:
+            yield frame()
+    rows += [(*key, kind, None, None, None, None, None, None, seq) for kind, seq in late]
+    yield frame()
+
+
+def stateful_line_edits(events: DataFrame, quiet_ms: int | None = None) -> DataFrame:
+    """Pages after each micro-batch, late edits, and edits of unknown pages.
+
+    ``events`` (book_id, page_id, seq, op, line_id, text, after_line_id, to_index); rows with op = base bring the first
+    lines, and one with op = page says that a page was recognised, with lines or without. Kinds of rows: ``line`` is a
+    line of a page's version (or its emptiness, without a number), the highest version being current; ``late`` and
+    ``unknown`` carry the number of an edit that had no effect, for a side table. State holds blocks of lines, an index
+    of ids and the order of blocks, and a micro-batch reads and writes the blocks that it changes. With ``quiet_ms`` a
+    page without edits for so long leaves as ``closed`` and is forgotten; without, pages are remembered for good. The
+    state store must be RocksDB (``PROVIDER``). The edits of one page in a micro-batch are sorted together, so limit
+    the trigger size for very busy pages.
     """
-    return events.groupBy("page_id").applyInPandasWithState(
-        _advance, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout
+    return events.groupBy(*PAGE).transformWithStateInPandas(
+        LineEditor(quiet_ms), OUTPUT, "Update", "None" if quiet_ms is None else "ProcessingTime"
     )
 
 
 def current_pages(versions: DataFrame) -> DataFrame:
-    """The newest version of each page from the written output."""
-    return (
-        versions.where(F.col("lines").isNotNull())
-        .groupBy("page_id")
-        .agg(F.max_by("lines", "last_seq").alias("lines"), F.max("last_seq").alias("last_seq"))
-    )
+    """The newest version of each page from the written output, as ``replay_line_edits`` gives it."""
+    lines = versions.where("kind in ('line', 'closed')")
+    newest = lines.groupBy(*PAGE).agg(F.max("version").alias("version"))
+    rows = lines.join(newest, [*PAGE, "version"]).select(*PAGE, "line_no", "line_id", "text", "edited", "last_edit")
+    # a closed page repeats its last version
+    return rows.dropDuplicates([*PAGE, "line_no"]).where("line_no is not null or last_edit is not null")

@@ -6,14 +6,17 @@ bucket per quarter of an hour, so that one very active page or book does not end
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from foliospark.operators.pages import upsert_ocr
 from foliospark.plans.ordered import carry
+from foliospark.sources.tables import put_pages
 
 WATERMARK = "10 seconds"
 # Silence before an adjustment is written, and time to undo a delete.
@@ -89,18 +92,77 @@ def drop_stale_responses(requests: DataFrame, replies: DataFrame) -> DataFrame:
     return valid.groupBy("request_id").agg(first.alias("_r")).select("request_id", "_r.*")
 
 
+class RequestState(StatefulProcessor):
+    """One request: open since a time, with the smallest (ts, reply_no) of its final replies so far.
+
+    Once the watermark has passed that reply no smaller one can come: it leaves and the request is closed, that is,
+    forgotten, so that further replies find no open request. Replies may come before the row of their request; without
+    one they go when the watermark has passed them, as a request is never younger than its replies.
+    """
+
+    def __init__(self, open_for_ms: int | None, value: str, out: list[str]):
+        self.open_for_ms, self.value, self.out = open_for_ms, value, out
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.opened = handle.getValueState("opened", "us long")
+        self.replies = handle.getListState("replies", f"us long, reply_no long, value {self.value}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        opened = self.opened.get()[0] if self.opened.exists() else None
+        waiting = [tuple(r) for r in self.replies.get()] if self.replies.exists() else []
+        for part in rows:
+            for row in part.itertuples(index=False):
+                if row.kind == "open":
+                    opened = row.us if opened is None else min(opened, row.us)
+                else:
+                    waiting.append((row.us, row.reply_no, None if pd.isna(row.value) else row.value))
+        if opened is not None:
+            self.opened.update((int(opened),))
+            waiting = sorted((w for w in waiting if w[0] >= opened), key=lambda w: w[:2])[:1]
+        if waiting:
+            self.replies.put([(int(us), int(no), value) for us, no, value in waiting])
+        elif self.replies.exists():
+            self.replies.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        # a reply stands when the watermark is past its time; an unanswered request ends when its time is over
+        due = max((us for us, _, _ in waiting), default=None)
+        if due is None and opened is not None and self.open_for_ms is not None:
+            due = opened + 1000 * self.open_for_ms
+        if due is not None:
+            self.handle.registerTimer(int(due) // 1000 + 1)
+        yield pd.DataFrame([], columns=self.out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        opened = self.opened.get()[0] if self.opened.exists() else None
+        best = sorted(tuple(r) for r in self.replies.get()) if self.replies.exists() else []
+        inside = opened is not None and (self.open_for_ms is None or (best and best[0][0] <= opened + 1000 * self.open_for_ms))
+        rows = [(key[0], best[0][1], best[0][2])] if best and inside else []
+        self.opened.clear()
+        self.replies.clear()
+        yield pd.DataFrame(rows, columns=self.out)
+
+    def close(self) -> None:
+        pass
+
+
 def drop_stale_responses_stream(
-    requests: DataFrame, replies: DataFrame, open_for: str | None = None, watermark: str = WATERMARK
+    requests: DataFrame, replies: DataFrame, open_for_ms: int | None = None, watermark: str = WATERMARK
 ) -> DataFrame:
-    """The stream form. A reply may come at any time after its request, so requests are remembered for good unless
-    ``open_for`` bounds how long they stay open."""
-    opened = requests.select("request_id", F.col("ts").alias("opened_ts")).withWatermark("opened_ts", watermark)
-    done = replies.where("kind = 'done'").withColumnRenamed("request_id", "reply_to").withWatermark("ts", watermark)
-    until = f" and ts <= opened_ts + interval {open_for}" if open_for else ""
-    joined = opened.join(done, F.expr(f"reply_to = request_id and ts >= opened_ts{until}"))
-    answers = joined.select("request_id", "reply_no", "value", "ts")
-    once = answers.dropDuplicatesWithinWatermark(["request_id"]) if open_for else answers.dropDuplicates(["request_id"])
-    return once.drop("ts")
+    """The stream form: the smallest (ts, reply_no) of a request's final replies, once the watermark has passed it.
+
+    State holds open requests only. A request without a reply is remembered until ``open_for_ms`` has passed, or for
+    good without it; replies after that time do not count. The state store must be RocksDB.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in (*requests.schema.fields, *replies.schema.fields)}
+    nothing = [F.lit(None).cast("long").alias("reply_no"), F.lit(None).cast(kinds["value"]).alias("value")]
+    opened = requests.select("request_id", "ts", F.lit("open").alias("kind"), *nothing)
+    done = replies.where("kind = 'done'").select("request_id", "ts", "kind", F.col("reply_no").cast("long").alias("reply_no"), "value")
+    events = opened.unionByName(done).withColumn("us", micros()).withWatermark("ts", watermark)
+    out = ["request_id", "reply_no", "value"]
+    schema = f"request_id {kinds['request_id']}, reply_no long, value {kinds['value']}"
+    return events.groupBy("request_id").transformWithStateInPandas(RequestState(open_for_ms, kinds["value"], out), schema, "Append", "EventTime")
 
 
 def latest_page_result(results: DataFrame) -> DataFrame:
@@ -110,6 +172,31 @@ def latest_page_result(results: DataFrame) -> DataFrame:
     return results.groupBy("book_id", "page_id").agg(newest).select("book_id", "page_id", "_r.*")
 
 
+def keep_page_results(
+    results: DataFrame, pages: Callable[[], DataFrame], root: str, checkpoint: str, name: str = "results", buckets: int = 64, overwrite_edited: bool = False
+) -> StreamingQuery:
+    """Keeps the newest result of each page in a table of buckets of pages.
+
+    ``results`` has one row per page result: book_id, page_id, updated_at, result_no and ``lines``, an array of structs
+    with ``edited``; an empty array is a page without text and replaces lines as well. A result replaces an older one of
+    a page that exists, unless that holds an edited line and ``overwrite_edited`` is off. Only buckets with such pages
+    are written anew. A result that is stored already is not newer than itself, so a repeated batch changes nothing, and
+    one that broke off is completed.
+    """
+
+    def merge(batch: DataFrame, _batch_id: int) -> None:
+        newest = latest_page_result(batch).join(pages().select("book_id", "page_id").distinct(), ["book_id", "page_id"], "left_semi")
+
+        def replaces(old: Column, new: Column) -> Column:
+            key = lambda r: F.struct(r["updated_at"], r["result_no"])
+            edited = F.exists(old["lines"], lambda line: F.coalesce(line["edited"], F.lit(False)))
+            return (key(new) > key(old)) & (F.lit(overwrite_edited) | ~F.coalesce(edited, F.lit(False)))
+
+        put_pages(newest, root, name, replaces, buckets)
+
+    return results.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def keep_latest_results(
     results: DataFrame,
     read_current: Callable[[], DataFrame],

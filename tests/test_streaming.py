@@ -1,9 +1,13 @@
 """Streaming forms against their batch forms."""
 
-import json
+import random
+import time
 
 from pyspark.sql import functions as F
 
+from foliospark.operators import edits
+from foliospark.plans.session import setting
+from foliospark.sources.tables import put_pages
 from foliospark.streaming import edits as SE
 from foliospark.streaming import events as E
 
@@ -74,13 +78,50 @@ def test_stale_responses(spark, tmp_path):
     batch = E.drop_stale_responses(req_df, spark.createDataFrame(rep, REPLY))
     expected = {(r.request_id, r.reply_no) for r in batch.collect()}
     assert expected == {(1, 1), (2, 4)}
-    write_in_order(spark, requests, "request_id long, ts timestamp", f"{tmp_path}/req", chunks=1)
-    write_in_order(spark, rep, REPLY, f"{tmp_path}/rep", chunks=1)
-    out = E.drop_stale_responses_stream(
-        stream(spark, f"{tmp_path}/req", "request_id long, ts timestamp"), stream(spark, f"{tmp_path}/rep", REPLY)
-    )
-    got = run(out, f"{tmp_path}/cp")
-    assert {r.request_id for r in got} == {1, 2} and len(got) == 2
+    far = at(spark, 9000)
+    write_in_order(spark, [*requests, (99, far)], "request_id long, ts timestamp", f"{tmp_path}/req", chunks=1)
+    write_in_order(spark, [*rep, (99, 99, far, "stage", 0.0)], REPLY, f"{tmp_path}/rep", chunks=1)
+    assert {(r.request_id, r.reply_no) for r in reply_stream(spark, tmp_path)} == expected
+
+
+def reply_stream(spark, tmp_path, **options):
+    with setting(spark, *SE.PROVIDER):
+        requests = stream(spark, f"{tmp_path}/req", "request_id long, ts timestamp")
+        return run(E.drop_stale_responses_stream(requests, stream(spark, f"{tmp_path}/rep", REPLY), **options), f"{tmp_path}/cp")
+
+
+def test_replies_in_any_order_give_the_batch_values(spark, tmp_path):
+    """A smaller reply in a later batch counts, one before its request's row too, and one after the close does not."""
+    steps = [
+        ([(1, 10)], [(1, 5, 14, "done"), (2, 6, 15, "done"), (3, 1, 14, "done")]),  # replies 6 and 1 are before their requests' rows
+        ([(2, 12)], [(1, 3, 13, "done"), (1, 4, 14, "done"), (1, 2, 9, "done")]),
+        ([(4, 100)], [(4, 8, 101, "stage")]),  # moves the watermark past the replies above
+        ([(3, 95)], [(1, 7, 96, "done"), (3, 9, 97, "done")]),  # request 1 is closed; reply 1 was before request 3
+        ([(5, 9000)], []),
+    ]
+    asked, answered, got = [], [], []
+    for requests, replies in steps:
+        opened = [(q, at(spark, t)) for q, t in requests]
+        done = [(q, n, at(spark, t), k, float(n)) for q, n, t, k in replies]
+        asked, answered = asked + opened, answered + done
+        spark.createDataFrame(opened, "request_id long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/req")
+        spark.createDataFrame(done, REPLY).coalesce(1).write.mode("append").parquet(f"{tmp_path}/rep")
+        got += [tuple(r) for r in reply_stream(spark, tmp_path)]
+    batch = E.drop_stale_responses(spark.createDataFrame(asked, "request_id long, ts timestamp"), spark.createDataFrame(answered, REPLY))
+    assert sorted(got) == sorted(map(tuple, batch.select("request_id", "reply_no", "value").collect())) == [(1, 3, 3.0), (2, 6, 6.0), (3, 9, 9.0)]
+
+
+def test_requests_leave_the_state(spark, tmp_path):
+    got = []
+    for opened, replies in [([(q, 10) for q in range(20)], [(q, q, 11, "done") for q in range(0, 20, 2)]), ([(50, 5000)], []), ([(51, 9000)], [])]:
+        spark.createDataFrame([(q, at(spark, t)) for q, t in opened], "request_id long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/req")
+        rows = [(q, n, at(spark, t), k, float(n)) for q, n, t, k in replies]
+        spark.createDataFrame(rows, REPLY).coalesce(1).write.mode("append").parquet(f"{tmp_path}/rep")
+        got += reply_stream(spark, tmp_path, open_for_ms=60_000)
+    assert sorted(r.request_id for r in got) == list(range(0, 20, 2))
+    with setting(spark, *SE.PROVIDER):
+        state = spark.read.format("statestore").option("path", f"{tmp_path}/cp").option("stateVarName", "opened").load()
+    assert state.count() <= 2  # only what was asked last is remembered
 
 
 def test_latest_results_upsert(spark, tmp_path):
@@ -106,6 +147,46 @@ def test_latest_results_upsert(spark, tmp_path):
     assert got == {(1, "v2"), (2, "mine"), (3, "gone soon")}
 
 
+PAGE_RESULT = "book_id string, page_id long, updated_at long, result_no long, lines array<struct<text:string,edited:boolean>>"
+
+
+def page_results(spark, root):
+    return {(r.book_id, r.page_id): (r.result_no, [x.text for x in r.lines]) for r in spark.read.schema(PAGE_RESULT + ", bucket int").parquet(f"{root}/results").collect()}
+
+
+def test_page_results_are_kept_by_bucket(spark, tmp_path):
+    pages = spark.createDataFrame([(b, p) for b in "xy" for p in range(40)], "book_id string, page_id long")
+    root, source = f"{tmp_path}/store", f"{tmp_path}/in"
+
+    def step(rows, checkpoint="cp"):
+        if rows:
+            spark.createDataFrame(rows, PAGE_RESULT).coalesce(1).write.mode("append").parquet(source)
+        E.keep_page_results(spark.readStream.schema(PAGE_RESULT).parquet(source), lambda: pages, root, f"{tmp_path}/{checkpoint}", buckets=8).awaitTermination()
+        return {f.relative_to(root) for f in (tmp_path / "store").rglob("*.parquet")}
+
+    first = [(b, p, 1, 1, [(f"{b}{p}", p == 3)]) for b in "xy" for p in range(40)] + [("x", 99, 1, 1, [("no page", False)])]
+    files = step(first)
+    assert len(page_results(spark, root)) == 80
+    after = step([("x", 1, 2, 5, []), ("x", 3, 9, 6, [("lost", False)]), ("y", 1, 0, 0, [("old", False)])])
+    stored = page_results(spark, root)
+    assert stored["x", 1] == (5, []) and stored["x", 3] == (1, ["x3"]) and stored["y", 1] == (1, ["y1"]) and len(stored) == 80
+    changed = {f.parent for f in files ^ after}
+    assert len(changed) == 1  # the other buckets' files keep their names
+    assert step([]) == after
+    assert step([], "another-checkpoint") == after  # all batches once more
+    assert page_results(spark, root) == stored
+
+
+def test_put_pages_replaces_single_pages(spark, tmp_path):
+    schema = "book_id string, page_id long, text string"
+    rows = [("x", 1, "a"), ("x", 2, "b"), (None, 1, "c"), ("y", 1, "d")]
+    assert put_pages(spark.createDataFrame(rows, schema), str(tmp_path), "t", buckets=4)
+    assert len(put_pages(spark.createDataFrame([("x", 2, "B"), (None, 1, "C")], schema), str(tmp_path), "t", buckets=4)) in (1, 2)
+    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/t").select("book_id", "page_id", "text").collect()}
+    assert got == {("x", 1, "a"), ("x", 2, "B"), (None, 1, "C"), ("y", 1, "d")}
+    assert put_pages(spark.createDataFrame([], schema), str(tmp_path), "t", buckets=4) == []
+
+
 def test_run_progress_stream(spark, tmp_path):
     schema = "run_id string, seq long, kind string, total int, stage string"
     rows = [("r", i, "done" if i % 2 else "stage", 4, f"s{i}") for i in range(6)]
@@ -122,19 +203,105 @@ def test_valid_undo_points(spark):
     assert got == {"a": (True, True), "b": (False, False), "c": (True, False)}
 
 
+EDITS = "book_id string, page_id long, seq long, op string, line_id string, text string, after_line_id string, to_index int"
+
+
+def edit_stream(spark, tmp_path, parts):
+    """Runs the stream once per part over a growing folder and returns all its rows."""
+    with setting(spark, *SE.PROVIDER):
+        for part in parts:
+            spark.createDataFrame(part, EDITS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            rows = run(SE.stateful_line_edits(spark.readStream.schema(EDITS).parquet(f"{tmp_path}/in")), f"{tmp_path}/cp", "update")
+            spark.createDataFrame(rows, SE.OUTPUT).write.mode("append").parquet(f"{tmp_path}/out")
+    return spark.read.parquet(f"{tmp_path}/out")
+
+
 def test_stateful_edits_over_several_batches(spark, tmp_path):
-    schema = "page_id long, seq long, op string, line_id string, text string, after_line_id string, to_index int"
-    base = [(1, -2, "base", "a", "A", None, 0), (1, -1, "base", "b", "B", None, 0), (2, -1, "base", "z", "Z", None, 0)]
-    first = [(1, 5, "add", "n", None, "a", None), (2, 6, "delete", "z", None, None, None)]
-    second = [(1, 8, "move", "b", None, None, 0), (1, 4, "update", "a", "late", None, None), (1, 9, "update", "n", "N", None, None)]
-    for part in (base, first, second):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        rows = run(SE.stateful_line_edits(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/cp", "update")
-        spark.createDataFrame(rows, SE.OUTPUT).write.mode("append").parquet(f"{tmp_path}/out")
-    out = spark.read.parquet(f"{tmp_path}/out")
-    pages = {r.page_id: [(x["line_id"], x["text"]) for x in json.loads(r.lines)] for r in SE.current_pages(out).collect()}
-    assert pages == {1: [("b", "B"), ("a", "A"), ("n", "N")], 2: []}
-    assert [r.late_seq for r in out.where(F.col("late_seq").isNotNull()).collect()] == [4]
+    base = [("x", 1, -2, "base", "a", "A", None, 0), ("x", 1, -1, "base", "b", "B", None, 0), ("x", 2, -1, "base", "z", "Z", None, 0)]
+    base += [("y", 1, -9, "page", None, None, None, None)]
+    first = [("x", 1, 5, "add", "n", None, "a", None), ("x", 2, 6, "delete", "z", None, None, None), ("y", 1, 5, "add", "own", None, None, None), ("y", 7, 3, "add", "q", None, None, None)]
+    second = [("x", 1, 8, "move", "b", None, None, 0), ("x", 1, 4, "update", "a", "late", None, None), ("x", 1, 9, "update", "n", "N", None, None)]
+    out = edit_stream(spark, tmp_path, (base, first, second))
+    pages = {}
+    for r in SE.current_pages(out).orderBy("line_no").collect():
+        pages.setdefault((r.book_id, r.page_id, r.last_edit), []).append((r.line_id, r.text, r.edited))
+    assert pages == {("x", 1, 9): [("b", "B", False), ("a", "A", False), ("n", "N", True)], ("x", 2, 6): [(None, None, None)], ("y", 1, 5): [("own", "", True)]}
+    assert sorted((r.book_id, r.page_id, r.kind, r.late_seq) for r in out.where("late_seq is not null").collect()) == [("x", 1, "late", 4), ("y", 7, "unknown", 3)]
+
+
+def test_stateful_edits_equal_the_replay_over_many_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(edits, "BLOCK", 4)
+    rng = random.Random(8)
+    base = [("x", p, i - 1000, "base", f"l{i}", f"t{i}", None, i % 2) for p in (1, 2) for i in range(40)]
+    log = []
+    for seq in range(400):
+        op = rng.choice(["add", "update", "delete", "move"])
+        target = f"n{rng.randrange(seq + 1)}" if rng.random() < 0.5 else f"l{rng.randrange(42)}"
+        log.append(("x", 1 + seq % 2, seq, op, f"n{seq}" if op == "add" else target, f"e{seq}", target, rng.randrange(-2, 60)))
+    out = edit_stream(spark, tmp_path, (base, log[:150], log[150:170], log[170:]))
+    names = ["book_id", "page_id", "line_no", "line_id", "text", "edited", "last_edit"]
+    lines = spark.createDataFrame(base, EDITS).selectExpr("book_id", "page_id", "cast(seq + 1000 as int) line_no", "line_id", "text", "to_index = 1 edited")
+    want = edits.replay_line_edits(lines, spark.createDataFrame(log, EDITS)).select(*names)
+    assert sorted(map(tuple, SE.current_pages(out).select(*names).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_quiet_pages_leave_and_are_forgotten(spark, tmp_path):
+    """Timers of processing time need a running stream; it ends here once the page has been closed and edited again."""
+    out, source = [], f"{tmp_path}/in"
+    spark.createDataFrame([("x", 1, -1, "base", "a", "A", None, 0)], EDITS).coalesce(1).write.mode("append").parquet(source)
+    with setting(spark, *SE.PROVIDER):
+        edited = SE.stateful_line_edits(spark.readStream.schema(EDITS).parquet(source), quiet_ms=500)
+        query = edited.writeStream.outputMode("update").foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/cp").start()
+    try:
+        wait(lambda: any(r.kind == "closed" for r in out), query)
+        spark.createDataFrame([("x", 1, 5, "update", "a", "new", None, None)], EDITS).coalesce(1).write.mode("append").parquet(source)
+        wait(lambda: any(r.kind == "unknown" for r in out), query)
+    finally:
+        query.stop()
+    assert [(r.kind, r.text, r.late_seq) for r in out] == [("line", "A", None), ("closed", "A", None), ("unknown", None, 5)]
+
+
+def wait(done, query, seconds=90):
+    until = time.monotonic() + seconds
+    while not done():
+        assert time.monotonic() < until and query.isActive
+        time.sleep(0.2)
+
+
+def test_line_blocks_by_plain_list(monkeypatch):
+    monkeypatch.setattr(edits, "BLOCK", 3)
+    for seed in range(60):
+        rng, page, plain = random.Random(seed), edits.PageLines(), []
+        for seq in range(120):
+            op = rng.choice(["base", "add", "add", "update", "delete", "move"] if seq > 5 else ["base"])
+            known = [line[0] for line in plain] + ["nobody", None]
+            new = op in ("add", "base") and rng.random() > 0.1
+            target, after, to = f"n{seq}" if new else rng.choice(known), rng.choice(known), rng.randrange(-3, 40)
+            page.apply(op, seq, target, f"t{seq}", after, to)
+            ids = [line[0] for line in plain]
+            at = ids.index(target) if target in ids else -1
+            if op == "base":
+                plain.append((target, f"t{seq}", bool(to)))
+            elif op == "add":
+                plain.insert(ids.index(after) + 1 if after in ids else len(plain), (target, "", True))
+            elif at >= 0 and op == "update":
+                plain[at] = (target, f"t{seq}", True)
+            elif at >= 0:
+                line = plain.pop(at)
+                if op == "move":
+                    plain.insert(max(0, min(to, len(plain))), line)
+            assert list(page.lines()) == plain and page.sizes == [len(page._block(n)) for n in page.order]
+
+
+def test_many_edits_of_one_page_are_fast():
+    rng, page = random.Random(1), edits.PageLines()
+    start = time.perf_counter()
+    for seq in range(50_000):
+        page.apply("base", seq, f"l{seq}", "x", None, 0)
+    for seq in range(100_000):
+        op = rng.choice(["add", "update", "delete", "move"])
+        page.apply(op, seq, f"n{seq}" if op == "add" else f"l{rng.randrange(50_000)}", "t", f"l{rng.randrange(50_000)}", rng.randrange(50_000))
+    assert time.perf_counter() - start < 60 and page.last_edit == 99_999
 
 
 def test_pages_of_two_books_are_apart(spark):
