@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliospark.llm.pieces import SPACE, load
+from foliospark.llm.sentencepiece_fst import FACTOR, Index
 from foliospark.llm.token_counts import runs
 from foliospark.llm.words import whole_text
 
@@ -43,10 +44,10 @@ PART = 40
 ROUNDS = 3
 SMOOTH = 0.05
 #: numbers (words times languages) and words kept between texts
-KNOWN_CELLS, KNOWN = 2_000_000, 200_000
+KNOWN_CELLS, KNOWN = 2_000_000, 300_000
 LONGEST_KNOWN = 40
 #: characters of texts scored together, and words whose lattices are held at once
-RUN, LATTICE = 400_000, 5_000
+RUN, LATTICE = 600_000, 20_000
 #: probability of a character that is no piece
 FOREIGN = 1e-7
 NUMERIC = re.compile(r"[^\W\d_]+")
@@ -64,27 +65,26 @@ def text_words(text: str) -> list[str]:
 class Lattice:
     """Pieces of many words as arrays. Words of one length form a block: for every end and length of a piece its row."""
 
-    def __init__(self, rows: dict[str, int], words: list[str]):
+    def __init__(self, rows: dict[str, int], words: list[str], index: Index | None = None):
         self.words = words
         self.longest = max(map(len, rows), default=1)
         self.blocks = []
+        index = index or (Index(rows) if rows else None)
         none = len(rows)  # the row of no piece; the next one is that of a foreign character
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w) + 1, []).append(i)
-        get = rows.get
         for n, members in by_length.items():
             deep = min(n, self.longest)
+            text = "".join(SPACE + words[i] for i in members).encode("utf-32-le", "surrogatepass")
+            chars = np.frombuffer(text, np.uint32).reshape(len(members), n).astype(np.uint64)
             at = np.full((len(members), n + 1, deep + 1), none, np.int32)
-            for r, i in enumerate(members):
-                w = SPACE + words[i]
-                for end in range(1, n + 1):
-                    for size in range(1, min(end, deep) + 1):
-                        p = get(w[end - size : end])
-                        if p is not None:
-                            at[r, end, size] = p
-                        elif size == 1:
-                            at[r, end, 1] = none + 1
+            hashed = np.zeros((len(members), n + 1), np.uint64)
+            for size in range(1, deep + 1):
+                # hashes of all parts of this size grow by one character
+                hashed = hashed[:, :-1] * FACTOR + chars[:, size - 1 :] + np.uint64(1)
+                found = index.find(hashed) if index else np.full(hashed.shape, -1)
+                at[:, size:, size] = np.where(found >= 0, found, none + 1 if size == 1 else none)
             self.blocks.append((np.array(members), at))
 
     def forward(self, prob: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
@@ -155,6 +155,7 @@ def learn(rows: dict[str, int], languages: list[str], words: list[str], weight:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
+        self.index = Index(model.rows) if model.rows else None
         self.known: dict[str, int] = {}
         self.table = np.empty((0, len(model.languages)))
 
@@ -186,7 +187,7 @@ class Scorer:
         long = [w for w in new if len(w) > LONGEST_KNOWN]
         parts = [self.table]
         for at in range(0, len(short), LATTICE):
-            parts.append(Lattice(self.model.rows, short[at : at + LATTICE]).forward(self.model.prob, keep=False)[0])
+            parts.append(Lattice(self.model.rows, short[at : at + LATTICE], self.index).forward(self.model.prob, keep=False)[0])
         if long:
             parts.append(np.array([self.long_word(w) for w in long]))
         self.table = np.concatenate(parts)
