@@ -36,22 +36,69 @@ def _(v: Views):
     return E.confirmed_deletes(v.events, 24 * HOUR).select("book_id", "page_id", "seq")
 
 
-@query(
-    "drop_stale_responses",
-    sql(
-        "v_events",
-        """with req as (select seq request_id, ts from v_events where op = 'update'),
+STALE = sql(
+    "v_events",
+    """with req as (select seq request_id, ts from v_events where op = 'update'),
         rep as (select seq - 3 + seq % 5 request_id, seq reply_no, ts, case when op = 'move' then 'stage' else 'done' end kind, value from v_events where op <> 'update')
         select request_id, arg_min(reply_no, (r.ts, reply_no)) reply_no, arg_min(value, (r.ts, reply_no)) as value
         from rep r join req q using (request_id) where kind = 'done' and r.ts >= q.ts group by 1""",
-    ),
 )
-def _(v: Views):
+
+
+def requests_and_replies(v: Views):
     requests = v.events.where("op = 'update'").selectExpr("seq request_id", "ts")
     replies = v.events.where("op <> 'update'").selectExpr(
         "seq - 3 + seq % 5 request_id", "seq reply_no", "ts", "case when op = 'move' then 'stage' else 'done' end kind", "value"
     )
-    return E.drop_stale_responses(requests, replies)
+    return requests, replies
+
+
+@query("drop_stale_responses", STALE)
+def _(v: Views):
+    return E.drop_stale_responses(*requests_and_replies(v))
+
+
+@query("drop_stale_responses_stream", STALE)
+def _(v: Views):
+    """Streams all requests and replies; a last request far ahead moves the watermark past every reply."""
+    requests, replies = requests_and_replies(v)
+    last = requests.selectExpr("-1L request_id", "ts").agg(F.min("request_id").alias("request_id"), (F.max("ts") + F.expr("interval 400 days")).alias("ts"))
+    asked, answered, out, state = (scratch_table(v.spark, n) for n in ("requests", "replies", "answers", "answer-state"))
+    kinds = {n: t for n, t in requests.dtypes}
+    requests.unionByName(last.select(*[F.col(c).cast(kinds[c]).alias(c) for c in requests.columns])).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(asked)
+    replies.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(answered)
+    read = lambda path: v.spark.readStream.schema(v.spark.read.parquet(path).schema).parquet(path)
+    with setting(v.spark, *SE.PROVIDER):
+        stream = E.drop_stale_responses_stream(read(asked), read(answered))
+        run = (
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+            .trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
+    return v.spark.read.schema(stream.schema).parquet(out)
+
+
+KEPT = """with r as (select book_id, page_id, ts, seq, op, cast(seq % 3 as int) n from v_events where op in ('update', 'add') and page_id % 4 <> 0),
+ newest as (select book_id, page_id, arg_max(seq, (ts, seq)) result_no, arg_max(n, (ts, seq)) n_lines from r group by 1, 2)
+ select book_id, page_id, result_no, n_lines, case when n_lines > 0 then concat('line 0 of ', result_no) end first_line from newest"""
+
+
+@query("keep_page_results", sql("v_events", KEPT))
+def _(v: Views):
+    """Streams page results of none to two lines into the bucketed table, then all of them once more."""
+    pages = v.events.where("page_id % 4 <> 0").select("book_id", "page_id").distinct()
+    line = "transform(sequence(1, cast(seq % 3 as int)), k -> struct(concat('line ', k - 1, ' of ', seq) as text, false as edited))"
+    none = "cast(array() as array<struct<text:string,edited:boolean>>)"
+    results = v.events.where("op in ('update', 'add')").selectExpr(
+        "book_id", "page_id", "ts updated_at", "seq result_no", f"case when seq % 3 = 0 then {none} else {line} end lines"
+    )
+    source, root, state = (scratch_table(v.spark, n) for n in ("results", "result-table", "result-state"))
+    results.write.parquet(source)
+    for again in ("", "-again"):
+        stream = v.spark.readStream.schema(results.schema).parquet(source)
+        E.keep_page_results(stream, lambda: pages, root, state + again).awaitTermination()
+    kept = v.spark.read.parquet(f"{root}/results")
+    return kept.selectExpr("book_id", "page_id", "result_no", "size(lines) n_lines", "get(lines, 0).text first_line")
 
 
 @query(

@@ -12,20 +12,72 @@ from foliospark.operators.lines import book_text
 from foliospark.operators.recognise import recognize_pages
 from foliospark.plans.bindings import DUCK, NEEDS, Views
 from foliospark.plans.session import bucketed, scratch_table, stored
-from foliospark.sources.images import decode_with, filter_image_files
+from foliospark.sources.images import decode_images, decode_with, scan_image_files, write_files
 from foliospark.sources.tables import load_book_tables, write_book_text, write_tables
-from foliospark.streaming.imports import stream_import_rows
+from foliospark.streaming.imports import stream_import, stream_import_rows
 
 KEYS = ["book_id", "page_id"]
-FILE = "case doc_id % 5 when 0 then concat(source, '/a/', doc_id, '.JPG') when 1 then concat(source, '/', doc_id, '.png') when 2 then concat(doc_id, '.txt') when 3 then concat(doc_id, '.pdf.webp') else concat('png/', doc_id) end"
+FILE = (
+    "case doc_id % 5 when 0 then concat(source, '/a/', doc_id, '.BMP') when 1 then concat(source, '/', doc_id, '.bmp') when 2 then concat(doc_id, '.txt')"
+    " when 3 then concat('deep/', doc_id % 7, '/', doc_id, '.pdf.bmp') else concat('bmp/', doc_id) end"
+)
+DUCK["v_files"] = f"""
+select doc_id, path, doc_id % 6 <> 4 ok, h, case when doc_id % 6 <> 4 then substring(hex(encode(repeat(text, cast(1 + ceil(24.0 / n) as int)))), 1, h * 48) end hx,
+ case when doc_id % 6 <> 4 then 54 + h * 24 else octet_length(encode(concat('no image ', doc_id))) end length
+ from (select doc_id, text, {FILE} path, octet_length(encode(text)) n, cast(ceil(octet_length(encode(text)) / 24.0) as int) h from documents)"""
+NEEDS.update(v_files=[])
 
 
-@query(
-    "scan_image_files",
-    sql("", f"select doc_id, {FILE} path from documents where doc_id % 5 in (0, 1, 3)"),
-)
+def file_rows(v: Views):
+    """Files of nested folders whose bytes are a document: a bitmap of eight pixels a row, top row first; some are no image."""
+    number = lambda value: F.expr(f"unhex(concat_ws('', transform(array(7, 5, 3, 1), i -> substring(right(lpad(hex({value}), 16, '0'), 8), i, 2))))")
+    docs = v.documents.selectExpr("doc_id", "text", f"{FILE} path", "octet_length(text) n").withColumn("h", F.expr("cast(ceil(n / 24.0) as int)"))
+    head = F.concat(F.lit(b"BM"), number("54 + h * 24"), number("0"), number("54"), number("40"), number("8"), number("-h"))
+    head = F.concat(head, F.unhex(F.lit("01001800")), *[number("0")] * 6)
+    body = F.expr("substring(encode(repeat(text, cast(1 + ceil(24.0 / n) as int)), 'UTF-8'), 1, h * 24)")
+    broken = F.concat(F.lit("no image "), F.col("doc_id").cast("string")).cast("binary")
+    return docs.select("path", F.when(F.col("doc_id") % 6 == 4, broken).otherwise(F.concat(head, body)).alias("content"))
+
+
+def image_files(v: Views) -> str:
+    """A folder with the files written."""
+    folder = scratch_table(v.spark, "image-files")
+    write_files(file_rows(v), folder).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def below(folder_column: str = "path"):
+    """The part of a path below the folder, whatever its scheme looks like."""
+    return F.regexp_extract(folder_column, "image-files-[0-9a-f]+/(.*)$", 1).alias("path")
+
+
+@query("scan_image_files", sql("v_files", "select path, length from v_files where regexp_matches(lower(path), '[.]bmp$')"))
+def _(v: Views):
+    """Scans the folder that holds every document as a file."""
+    return scan_image_files(v.spark, image_files(v)).select(below(), "length")
+
+
+DECODED_FILES = """select path, ok, case when ok then 8 end width, case when ok then h end height, case when ok then 3 end channels, case when ok then md5(hx) end digest from v_files"""
+
+
+def _decoded_files(rows):
+    return rows.select(below(), "ok", "width", "height", "channels", F.md5(F.hex("data").cast("binary")).alias("digest"))
+
+
+@query("decode_images", sql("v_files", DECODED_FILES))
 def _(v: Views):
-    return filter_image_files(v.documents.selectExpr("doc_id", f"{FILE} path"))
+    """Opens the folder with the image source; files that are no image are reported and the others go on."""
+    return _decoded_files(decode_images(v.spark, image_files(v)))
+
+
+@query("stream_import", sql("v_files", DECODED_FILES))
+def _(v: Views):
+    """Streams the folder's images as they are found and returns what was registered or reported."""
+    out, state = scratch_table(v.spark, "import-out"), scratch_table(v.spark, "import-state")
+    stream = _decoded_files(stream_import(v.spark, image_files(v)))
+    run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return v.spark.read.schema(stream.schema).parquet(out)
 
 
 DUCK["v_images"] = """
@@ -165,12 +217,12 @@ def _decoded(rows):
     return rows.select(*KEYS, "ok", "img_w", "img_h", F.md5(F.hex("rgba").cast("binary")).alias("digest"), "error")
 
 
-@query("decode_images", sql("v_images", DECODED))
+@query("decode_rows", sql("v_images", DECODED))
 def _(v: Views):
     return _decoded(decode_with(_raw_files(v), _raw_decoder))
 
 
-@query("stream_import", sql("v_images", DECODED))
+@query("stream_import_rows", sql("v_images", DECODED))
 def _(v: Views):
     """Streams the encoded files through the decoder and returns what was registered or reported."""
     source, out, state = (scratch_table(v.spark, n) for n in ("import-in", "import-out", "import-state"))

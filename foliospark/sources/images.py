@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +12,30 @@ from pyspark.sql import functions as F
 from foliospark.functions.text import is_image_name
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes ``content`` to ``path`` below a folder of any store that Arrow reaches; returns path and length per file.
+
+    The files are written when the result is read. Each gets its name once it is complete, so a repeated task replaces
+    it by the same bytes and a failed one leaves no file under its name.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                target = f"{root}/{path}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                part = f"{target.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}"  # names that begin so are no input to Spark
+                with store.open_output_stream(part) as out:
+                    out.write(content)
+                store.move(part, target)
+            yield pd.DataFrame({"path": batch["path"], "length": batch["content"].map(len)})
+
+    return files.select("path", "content").mapInPandas(run, "path string, length long")
+
+
 def filter_image_files(files: DataFrame) -> DataFrame:
     """Files whose name says they are images (column path)."""
     return files.where(is_image_name("path"))
