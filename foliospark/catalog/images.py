@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from foliospark.catalog.registry import query, sql
 from foliospark.operators import images as I
 from foliospark.operators import pixels as X
-from foliospark.operators.lines import book_text
+from foliospark.operators.lines import book_text, page_text
 from foliospark.operators.recognise import recognize_pages
 from foliospark.plans.bindings import DUCK, NEEDS, Views
 from foliospark.plans.session import bucketed, scratch_table, stored
+from foliospark.sources.book_files import write_book_files
 from foliospark.sources.images import decode_images, decode_with, scan_image_files, write_files
 from foliospark.sources.tables import load_book_tables, write_book_text, write_tables
 from foliospark.streaming.imports import stream_import, stream_import_rows
@@ -155,6 +156,24 @@ def _(v: Views):
     return X.image_ink_runs(bucketed(v.page_images, KEYS, "images"), image_boxes(v), KEYS)
 
 
+@query(
+    "image_auto_levels",
+    sql(
+        "v_bytes",
+        """with light as (select book_id, page_id, cast(round_even(0.299::double * sum(case i % 4 when 0 then v else 0 end) + 0.587::double * sum(case i % 4 when 1 then v else 0 end)
+           + 0.114::double * sum(case i % 4 when 2 then v else 0 end), 0) as int) bin
+          from (select *, cast(('0x' || byte) as int) v from v_bytes where i % 4 < 3) group by book_id, page_id, i // 4),
+        cum as (select book_id, page_id, bin, sum(count(*)) over (partition by book_id, page_id order by bin) c, sum(count(*)) over (partition by book_id, page_id) n from light group by 1, 2, 3),
+        ends as (select book_id, page_id, min(bin) filter (c > floor(n * 0.01::double)) lo, min(bin) filter (c >= ceil(n * 0.99::double)) hi from cum group by 1, 2),
+        con as (select *, greatest(-100, least(100, greatest(0.1::double, least(4, 255.0::double / greatest(hi - lo, 1))) * 100 - 100)) contrast from ends)
+        select book_id, page_id, lo, hi, cast(floor(greatest(-100, least(100, -((lo + hi) / 2.0::double - 128) * (100 + contrast) / 100)) + 0.5) as int) brightness,
+         cast(floor(contrast + 0.5) as int) contrast from con""",
+    ),
+)
+def _(v: Views):
+    return X.image_auto_levels(v.page_images, KEYS)
+
+
 def _digest(images):
     """Size and digest of each image."""
     return images.withColumn("digest", F.md5("rgba")).drop("rgba")
@@ -297,16 +316,16 @@ def _(v: Views):
     return both.selectExpr(*KEYS, "ord", *names, "quality")
 
 
-@query(
-    "write_book_text",
-    sql(
+BOOK_TEXT = sql(
         "v_pages v_lines",
         """with paras as (select book_id, page_id, min(line_no) para_no, string_agg(text, '' order by line_no) as text from v_lines group by book_id, page_id, coalesce(block_id, line_id)),
         texts as (select book_id, page_id, string_agg(case when text <> '' then text end, chr(10) order by para_no) as text from paras group by 1, 2)
         select book_id, concat('Book ', substring(book_id, 4), '_.txt') file_name, string_agg(case when text <> '' then text end, chr(10) || chr(10) order by ord) as text
         from v_pages left join texts using (book_id, page_id) group by 1""",
-    ),
-)
+    )
+
+
+@query("write_book_text", BOOK_TEXT)
 def _(v: Views):
     """Writes the text files and reads them back whole."""
     books = v.pages.select("book_id").distinct().withColumn(
@@ -320,3 +339,17 @@ def _(v: Views):
         .groupBy("book_id", "file_name")
         .agg(F.regexp_replace(F.expr("listagg(text, '') within group (order by part)"), r"\n\z", "").alias("text"))
     )
+
+
+@query("write_book_files", BOOK_TEXT)
+def _(v: Views):
+    """Writes one file per book and reads the files back as they are."""
+    books = v.pages.select("book_id").distinct().withColumn("title", F.concat(F.lit("Book "), F.expr("substring(book_id, 4)"), F.lit("?")))
+    texts = v.pages.select(*KEYS, "ord").join(page_text(v.lines), KEYS, "left")
+    path = scratch_table(v.spark, "book-files")
+    write_book_files(texts, books, path)
+    files = v.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    place = F.regexp_extract("path", "/book-([^/]*)/([^/]*)$", 1), F.regexp_extract("path", "/book-([^/]*)/([^/]*)$", 2)
+    names = [F.url_decode(p).alias(n) for p, n in zip(place, ("book_id", "file_name"))]
+    text = F.col("content").cast("string")
+    return files.select(*names, F.when(text != "", text).alias("text"))

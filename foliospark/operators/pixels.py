@@ -27,6 +27,8 @@ RULE_MIN_LENGTH = 0.25
 RULE_MAX_WIDTH = 0.12
 PAD = 2
 
+PIXELS = 1 << 20
+
 
 def auto_levels(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Brightness and contrast that stretch the 1st..99th percentile of luminance.
@@ -34,7 +36,40 @@ def auto_levels(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     Pixels are reduced to at most 256 counts per image before the shuffle; the window runs over those counts.
     """
     keys = list(keys)
-    bins = pixels.groupBy(*keys, tone_luminance("r", "g", "b").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return _levels(pixels.groupBy(*keys, tone_luminance("r", "g", "b").alias("bin")).agg(F.count(F.lit(1)).alias("n")), keys)
+
+
+def image_histograms(images: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts of luminance (bin, n) per image (img_w, img_h, rgba), in one pass beside the image; unreadable ones have none."""
+    keys = list(keys)
+    kinds = {f.name: f.dataType.simpleString() for f in images.schema.fields}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.rgba is None or len(r.rgba) != r.img_w * r.img_h * 4:
+                    continue
+                counts = np.zeros(256, np.int64)
+                pixels = np.frombuffer(r.rgba, np.uint8).reshape(-1, 4)
+                for at in range(0, len(pixels), PIXELS):  # a large scan is counted in bands
+                    red, green, blue = pixels[at : at + PIXELS, :3].T.astype(np.float64)
+                    light = np.rint(0.299 * red + 0.587 * green + 0.114 * blue)
+                    counts += np.bincount(np.clip(light, 0, 255).astype(np.int64), minlength=256)
+                out += [(*(getattr(r, k) for k in keys), b, int(counts[b])) for b in np.flatnonzero(counts).tolist()]
+            yield pd.DataFrame(out, columns=[*keys, "bin", "n"])
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "bin int, n long"])
+    return images.select(*keys, "img_w", "img_h", "rgba").mapInPandas(run, schema)
+
+
+def image_auto_levels(images: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``auto_levels`` from images or thumbnails: 256 counts leave an image, and rows of one key add up."""
+    bins = image_histograms(images, keys).groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    return _levels(bins, list(keys))
+
+
+def _levels(bins: DataFrame, keys: list[str]) -> DataFrame:
     image = Window.partitionBy(*keys)
     bins = bins.withColumn("cum", F.sum("n").over(image.orderBy("bin"))).withColumn("total", F.sum("n").over(image))
     low = F.min(F.when(F.col("cum") > F.floor(F.col("total") * F.lit(0.01)), F.col("bin")))

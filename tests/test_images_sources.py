@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.catalog.images import toy_detector
 from foliospark.operators import assets as A
@@ -10,10 +11,11 @@ from foliospark.operators import epub as U
 from foliospark.operators import images as I
 from foliospark.operators import pages as P
 from foliospark.operators.images import image_pixels
-from foliospark.operators.pixels import image_ink_profile, image_ink_runs, ink_profile, ink_runs
+from foliospark.operators.pixels import auto_levels, image_auto_levels, image_ink_profile, image_ink_runs, ink_profile, ink_runs
 from foliospark.operators.recognise import recognize_pages
 from foliospark.plans.session import bucketed
 from foliospark.sources import images as SI
+from foliospark.sources.book_files import write_book_files
 from foliospark.sources import tables as ST
 from foliospark.streaming.imports import stream_import
 
@@ -286,3 +288,46 @@ def test_detector_rows_of_another_length_are_that_pages_error(spark):
     detector = lambda px: [(0.0, 0.0, 30.0, 30.0, 0.9, 2, 3)] + ([(1.0, 2.0)] if px[0, 0, 0] == 1 else [])
     got = {r["page_id"]: (r["text"], r["error"]) for r in recognize_pages(images, detector, lambda route, px: "t").collect()}
     assert got[0] == got[2] == ("t", None) and got[1][0] is None and got[1][1].startswith("ValueError")
+
+
+def test_levels_from_images_equal_levels_from_pixels(spark):
+    rng = np.random.default_rng(9)
+    rows = [("a", i, w, h, rng.integers(0, 256, (h, w, 4)).astype(np.uint8).tobytes()) for i, (w, h) in enumerate([(5, 7), (30, 20), (1, 1), (64, 3)])]
+    images = spark.createDataFrame([*rows, ("a", 9, 5, 5, b"short"), ("a", 10, 5, 5, None)], "book_id string, page_id long, img_w int, img_h int, rgba binary")
+    keys = ["book_id", "page_id"]
+    want = auto_levels(image_pixels(images.where("page_id < 9")), keys).collect()
+    assert sorted(map(tuple, image_auto_levels(images, keys).collect())) == sorted(map(tuple, want)) and len(want) == 4
+
+
+def read_books(path):
+    return {f.relative_to(path).as_posix(): f.read_bytes().decode() for f in path.rglob("*") if f.is_file()}
+
+
+def test_one_file_per_book(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    pages = [("long", i, f"page {i}" if rng.random() < 0.9 else rng.choice(["", None])) for i in range(5000)]
+    pages = [(b, i, None if t is None else str(t)) for b, i, t in pages] + [("a/b", 1, "second"), ("a/b", 0, "first\n"), ("blank", 0, ""), ("blank", 1, None), ("nobody", 0, "x")]
+    texts = spark.createDataFrame(pages, "book_id string, ord int, text string").repartition(7)
+    books = spark.createDataFrame([("long", "Long: title?"), ("a/b", None), ("blank", "B")], "book_id string, title string")
+    path = tmp_path / "out"
+    write_book_files(texts, books, str(path))
+    want = "\n\n".join(t for b, _, t in pages if b == "long" and t)
+    assert read_books(path) == {"book-long/Long_ title_.txt": want, "book-a%2Fb/ocr.txt": "first\n\n\nsecond", "book-blank/B.txt": ""}
+    write_book_files(texts.where("book_id = 'blank'").withColumn("text", F.lit("now")), books, str(path))
+    assert read_books(path)["book-blank/B.txt"] == "now\n\nnow" and len(read_books(path)) == 3
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    texts = spark.range(400).selectExpr("concat('b', id % 4) book_id", "int(id) ord", "if(id = 399, raise_error('bad page'), 'text') text")
+    books = spark.createDataFrame([(f"b{i}", f"t{i}") for i in range(4)], "book_id string, title string")
+    with pytest.raises(Exception, match="bad page"):
+        write_book_files(texts, books, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists() or read_books(tmp_path / "out") == {}
+
+
+def test_written_files_are_whole(spark, tmp_path):
+    rows = [("a/1.bin", b"one"), ("a/b/2.bin", b""), ("3.bin", b"\0" * 100)]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    for _ in range(2):
+        assert sorted(map(tuple, SI.write_files(files, str(tmp_path)).collect())) == sorted((p, len(c)) for p, c in rows)
+    assert {f.relative_to(tmp_path).as_posix(): f.read_bytes() for f in tmp_path.rglob("*") if f.is_file()} == dict(rows)
