@@ -98,6 +98,8 @@ def fit_splits(sample: np.ndarray, trees: int, levels: int, seed: int) -> tuple[
 
 def unit(values) -> np.ndarray:
     x = np.stack([np.asarray(v, dtype=np.float64) for v in values])
+    # scaled first, so that squares of very large or very small entries stay in range
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -187,11 +189,11 @@ def _leaves(classes: DataFrame, trees: int, leaf: int, seed: int) -> DataFrame:
         )
 
     fitted = (
-        sample.join(numbered.select("group", "levels"), "group")
+        sample.join(numbered.where("levels > 0").select("group", "levels"), "group")
         .groupBy("group")
         .applyInPandas(fit, "group string, t array<int>, node array<long>, point array<double>, middle array<double>")
     )
-    # A group without sample is split at the origin of its directions. Split points have at most one sixteenth of the
+    # Groups small enough to be one leaf need no splits; a larger one without sample is split at the origin of its directions. Split points have at most one sixteenth of the
     # sample's rows per tree and level, so this table is as bounded as the sample.
     fitted = {
         r["group"]: (dict(zip(zip(r["t"], r["node"]), r["point"])), np.array(r["middle"]).reshape(trees, POOL)) for r in fitted.collect()

@@ -66,6 +66,12 @@ def test_forest_finds_links(spark, monkeypatch, block):
     assert rp_forest.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_extreme_finite_vectors(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.0001e200]), (3, [1e-200, 1e-200]), (4, [1.0, 1.0]), (5, [1e-310, -1e-310]), (6, [3.0, -3.0]), (7, [1e308, 0.0]), (8, [1e308, 1e308])]
+    got = rp_forest.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 8: (4, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
 def brute(rows, percent=80):
     sets = {}
     for i, text in rows:

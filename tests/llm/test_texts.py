@@ -119,6 +119,20 @@ def test_expected_counts_are_derivatives():
         assert counts[i] == pytest.approx((total(moved) - total(prob)) / 1e-6, rel=1e-3, abs=1e-4)
 
 
+def test_signs_that_are_no_letters():
+    assert language_id.text_words("½ ² ① 12 _") == [] and language_id.text_words("A½b x²") == ["a", "b", "x"]
+    model = language_id.Model({"▁": 0, "a": 1}, ["x", "y"], np.full((4, 2), 0.1))
+    assert language_id.Scorer(model).predict(["½", "12 ² ①", "a"])[0] == ["und", "und", "x"]
+
+
+def test_language_bounds(spark):
+    rows = [(i, f"word{chr(97 + i % 26)} text", f"l{i % 30}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language_id.fit(docs, MODEL, words=3).languages) == 30
+    with pytest.raises(ValueError, match="29 languages"):
+        language_id.fit(docs, MODEL, languages=29)
+
+
 def test_languages_held_out(spark, odd_docs):
     rng = random.Random(9)
     syllables = {"xx": ["ba", "do", "ki", "lu"], "yy": ["ent", "str", "ing", "ou"], "zz": ["ñá", "éo", "ía", "ba"]}
