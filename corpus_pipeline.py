@@ -24,8 +24,20 @@ from foliospark.plans.session import stored
 LEAST_SCORE, MOST_SURPRISE = 0.5, 3.2
 
 
+#: rows that travel to Python at once: a row is a whole document, and batches take memory on both sides
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of documents small where the session has larger ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a language that can be told; those without letters, noise of letters and unknown languages go."""
+    small_batches(spark)
     model = language_id.fit(docs, public_tokenizers.path(PIECES))
     judged = language_id.identify(docs, model)
     known = (F.col("lang_pred") != language_id.UNDEFINED) & (F.col("score") >= LEAST_SCORE) & (F.col("surprise") <= MOST_SURPRISE)
@@ -39,6 +51,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id (null last), of each group of near copies."""
+    small_batches(spark)
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "near-copy-rows")
     groups = ngram_join.jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text"))
     members = groups.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", F.col("doc_id").alias("_id")), "_row")
@@ -54,6 +67,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether they read back as the text."""
+    small_batches(spark)
     coded = sentencepiece_fst.pieces(docs, public_tokenizers.path(PIECES))
     return coded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("decoded") == whole_text()).alias("same_text")
