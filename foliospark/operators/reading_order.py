@@ -6,7 +6,7 @@ The work is split so that only small, bounded data reaches Python:
    of two 51-bit words per grid line. ``bit_or`` combines them before and after the shuffle, so a group has at most
    101 rows whatever the number of its boxes.
 2. ``_cut_regions`` (Python, per group) cuts the painted grid into leaf regions.
-3. Spark gives each box the leaf with the highest overlap and counts boxes per leaf.
+3. Spark gives each box the leaf with the highest overlap, found on common grid lines, and counts boxes per leaf.
 4. ``_leaf_order`` (Python, per group) turns leaf counts into the order of the leaves.
 5. Spark numbers the boxes by leaf and position with the bucketed numbering.
 """
@@ -179,7 +179,7 @@ def rank_boxes(boxes: DataFrame, keys: Sequence[str], item: str, name: str) -> D
     nx0, nx1 = along("x", "w", "_x0", "_gx", "_pw", "_w")
     ny0, ny1 = along("y", "h", "_y0", "_gy", "_ph", "_h")
     cells = [nx0.alias("_nx0"), ny0.alias("_ny0"), nx1.alias("_nx1"), ny1.alias("_ny1")]
-    grid = stored(scaled.select(*boxes.columns, "_w", "_h", *cells), "order-grid")
+    grid = scaled.select(*boxes.columns, "_w", "_h", *cells)
 
     # Paint. A shape that occurs often is painted once.
     shapes = grid.select(*keys, "_w", "_h", "_nx0", "_ny0", "_nx1", "_ny1").distinct()
@@ -210,18 +210,7 @@ def rank_boxes(boxes: DataFrame, keys: Sequence[str], item: str, name: str) -> D
     )
     trees = stored(trees, "order-trees")
 
-    def overlap(leaf):
-        ix = F.least(F.col("_nx1"), leaf["x1"]) - F.greatest(F.col("_nx0"), leaf["x0"])
-        iy = F.least(F.col("_ny1"), leaf["y1"]) - F.greatest(F.col("_ny0"), leaf["y0"])
-        inter = F.greatest(F.lit(0), ix) * F.greatest(F.lit(0), iy)
-        own = (F.col("_nx1") - F.col("_nx0")) * (F.col("_ny1") - F.col("_ny0"))
-        other = (leaf["x1"] - leaf["x0"]) * (leaf["y1"] - leaf["y0"])
-        return F.when(inter > 0, inter / (own + other - inter)).otherwise(F.lit(0.0))
-
-    best = F.array_max(
-        F.transform("_tree", lambda t: F.struct(overlap(t).alias("iou"), (-t["leaf"]).alias("first")))
-    )
-    placed = stored(grid.join(trees, keys).withColumn("_leaf", -best["first"]).drop("_tree"), "order-placed")
+    placed = stored(_best_leaves(grid, trees, keys), "order-placed")
     tall = (F.col("_nx1") - F.col("_nx0")) < (F.col("_ny1") - F.col("_ny0"))
     counts = (
         placed.groupBy(*keys, "_leaf")
@@ -241,20 +230,43 @@ def rank_boxes(boxes: DataFrame, keys: Sequence[str], item: str, name: str) -> D
     return numbered.select(*boxes.columns, name).unionByName(alone)
 
 
+CELLS = ["_nx0", "_ny0", "_nx1", "_ny1"]
+
+
+def _best_leaves(grid: DataFrame, trees: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``_leaf``: the first leaf with the highest overlap (intersection over union) of each box, 0 without any.
+
+    Leaves and distinct shapes of boxes are unfolded to grid lines and meet by an equal key, (group, line): a line holds
+    a few leaves beside each other. Their common cells, summed by shape and leaf, are the intersection. So a box meets
+    the leaves around it, and no list of leaves travels with it.
+    """
+    leaves = trees.select(*keys, F.explode("_tree").alias("_l")).select(*keys, "_l.leaf", "_l.x0", "_l.y0", "_l.x1", "_l.y1")
+    bands = leaves.withColumn("_y", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)))
+    shapes = grid.select(*keys, *CELLS).distinct()
+    lines = shapes.withColumn("_y", F.explode(F.sequence(F.col("_ny0"), F.col("_ny1") - 1)))
+    common = F.least(F.col("_nx1"), F.col("x1")) - F.greatest(F.col("_nx0"), F.col("x0"))
+    met = lines.join(bands, [*keys, "_y"]).where(common > 0)
+    other = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    sums = met.groupBy(*keys, *CELLS, "leaf").agg(F.sum(common).alias("_in"), F.first(other).alias("_other"))
+    own = (F.col("_nx1") - F.col("_nx0")) * (F.col("_ny1") - F.col("_ny0"))
+    share = F.col("_in") / (own + F.col("_other") - F.col("_in"))
+    best = sums.groupBy(*keys, *CELLS).agg(F.max_by("leaf", F.struct(share, -F.col("leaf"))).alias("_best"))
+    return grid.join(best, [*keys, *CELLS], "left").withColumn("_leaf", F.coalesce("_best", F.lit(0))).drop("_best")
+
+
 def reading_order(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds ``line_no``: lines in reading order, first by block group, then inside the group.
 
     ``lines`` come from ``assign_lines_to_blocks``. Lines without a block are groups of their own.
     """
     keys = list(keys)
-    # Groups are listed by block first, in the order of the block ids, then single lines; this decides ties.
+    # Groups are listed by block first, in the order of the block ids, then single lines; this decides ties. Blocks are
+    # numbered below zero and single lines from zero on, so the two never meet.
     block_seq = F.regexp_extract("block_id", "([0-9]+)$", 1).try_cast("long")
     by_score = lines.withColumn("_neg_score", -F.col("score"))
     rank = number_rows(by_score, keys, [F.col("_neg_score"), slot("det_no")], [F.col("det_no")], "_in_order")
     members = stored(
-        rank.drop("_neg_score").withColumn(
-            "_group", F.coalesce(block_seq, F.lit(1_000_000_000).cast("long") + F.col("_in_order"))
-        ),
+        rank.drop("_neg_score").withColumn("_group", F.coalesce(block_seq - F.lit(2**50), F.col("_in_order"))),
         "order-members",
     )
     groups = members.groupBy(*keys, "_group").agg(

@@ -1,9 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import types as T
 
 from foliospark.operators import detections as D
+from foliospark.operators import reading_order as RO
 from foliospark.operators.reading_order import rank_boxes, reading_order
 
 BOX = "page_id long, det_no int, x double, y double, w double, h double, score double"
@@ -212,3 +215,32 @@ def test_ranks_match_brute_force(spark):
         got.setdefault(r.page_id, {})[r.det_no] = r.place
     for page, rows in pages.items():
         assert [got[page][i] for i in range(len(rows))] == slow_rank(rows), page
+
+
+def test_best_leaves_by_brute_force(spark):
+    """Overlaps counted on common grid lines equal those of every box with every leaf."""
+    rng = random.Random(12)
+    grid_rows, tree_rows, want = [], [], {}
+    for group in range(8):
+        w, h = rng.randrange(2, 60), rng.randrange(2, 60)
+        mesh = np.zeros((h, w), int)
+        shapes = []
+        for _ in range(25):
+            x, y = rng.randrange(w), rng.randrange(h)
+            shapes.append((x, y, x + rng.randrange(1, 12), y + rng.randrange(1, 12)))
+            mesh[y : shapes[-1][3], x : shapes[-1][2]] = 1
+        shapes += shapes[:5]
+        leaves = [(i, *box, path) for i, (*box, path) in enumerate(RO._cut_regions(mesh))]
+        tree_rows.append((group, leaves))
+        for no, (a, b, c, d) in enumerate(shapes):
+            grid_rows.append((group, no, a, b, c, d))
+            scores = []
+            for leaf, x0, y0, x1, y1, _ in leaves:
+                inter = max(0, min(c, x1) - max(a, x0)) * max(0, min(d, y1) - max(b, y0))
+                scores.append((inter / ((c - a) * (d - b) + (x1 - x0) * (y1 - y0) - inter) if inter else 0.0, -leaf))
+            want[group, no] = -max(scores)[1]
+    trees = spark.createDataFrame(tree_rows, T.StructType([T.StructField("g", T.IntegerType()), T.StructField("_tree", T.ArrayType(RO.LEAF))]))
+    grid = spark.createDataFrame(grid_rows, "g int, no int, _nx0 int, _ny0 int, _nx1 int, _ny1 int")
+    placed = RO._best_leaves(grid, trees, ["g"])
+    assert {(r["g"], r["no"]): r["_leaf"] for r in placed.collect()} == want
+    assert "_tree" not in placed.columns
