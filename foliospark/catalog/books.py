@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from foliospark.catalog.registry import query, sql
-from foliospark.catalog.toc import exported, with_outside
+from foliospark.catalog.toc import with_outside
 from foliospark.functions import text as X
 from foliospark.operators import edits as E
 from foliospark.operators import epub as U
@@ -64,7 +64,7 @@ DUCK["v_nav"] = f"""
 select *, case when not root then max(case when root then no end) over (partition by book_id order by no rows between unbounded preceding and 1 preceding) end par,
  lead(root) over (partition by book_id order by no) next_root from
  (select *, level < 2 or no = 0 root, concat('<li><a href="text/page-', page_index + 1, '.xhtml">', {ESCAPE.format('title')}, '</a>') link from
-  (select *, row_number() over (partition by book_id order by node_no) - 1 no from v_export where page_index % 3 <> 1 and book_id not like '%5'))"""
+  (select *, row_number() over (partition by book_id order by node_no) - 1 no from v_export))"""
 DUCK["v_nav_lists"] = """
 select book_id, 'nav' list, cast(no // 4096 as int) part_no, string_agg(case when root and next_root = false then concat('      ', link, chr(10), '        <ol>')
  when root then concat('      ', link, '</li>') when coalesce(next_root, true) then concat('          ', link, '</li>', chr(10), '        </ol>', chr(10), '      </li>')
@@ -74,10 +74,6 @@ select book_id, 'nav' list, cast(no // 4096 as int) part_no, string_agg(case whe
   '    <item id="page', ord + 1, '" href="text/page-', ord + 1, '.xhtml" media-type="application/xhtml+xml"/>'), chr(10) order by ord) from v_toc_pages group by 1, ord // 4096
  union all select book_id, 'spine', cast(ord // 4096 as int), string_agg(concat('    <itemref idref="page', ord + 1, '"/>'), chr(10) order by ord) from v_toc_pages group by 1, ord // 4096"""
 NEEDS.update(v_size=["v_toc_pages"], v_nav=["v_export"], v_nav_lists=["v_nav", "v_toc_pages"])
-# The same over all exported chapters.
-DUCK["v_nav_whole"] = DUCK["v_nav"].replace(" where page_index % 3 <> 1 and book_id not like '%5'", "")
-DUCK["v_nav_lists_whole"] = DUCK["v_nav_lists"].replace("v_nav", "v_nav_whole")
-NEEDS.update(v_nav_whole=["v_export"], v_nav_lists_whole=["v_nav_whole", "v_toc_pages"])
 
 
 def sized_pages(v: Views):
@@ -86,16 +82,8 @@ def sized_pages(v: Views):
     )
 
 
-def nav_chapters(v: Views):
-    return exported(v).where("page_index % 3 <> 1 and book_id not like '%5'")
-
-
 @query("epub_lists", sql("v_nav_lists", "select * from v_nav_lists"))
-def _(v: Views):
-    return U.epub_lists(sized_pages(v), nav_chapters(v))
-
-
-@query("epub_lists_whole", sql("v_nav_lists_whole", "select * from v_nav_lists_whole"))
+@query("epub_lists_whole", sql("v_nav_lists", "select * from v_nav_lists"))
 def _(v: Views):
     """All exported chapters, among others that lie before and behind the book."""
     return U.epub_lists(sized_pages(v), with_outside(v))
@@ -144,11 +132,7 @@ def package(v: Views, chapters):
 
 
 @query("epub_package_rows", sql("v_nav_lists v_size", PACKAGE))
-def _(v: Views):
-    return package(v, nav_chapters(v))
-
-
-@query("epub_package_rows_whole", sql("v_nav_lists_whole v_size", PACKAGE.replace("v_nav_lists", "v_nav_lists_whole")))
+@query("epub_package_rows_whole", sql("v_nav_lists v_size", PACKAGE))
 def _(v: Views):
     return package(v, with_outside(v))
 

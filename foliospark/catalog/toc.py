@@ -317,19 +317,6 @@ def _(v: Views):
     return exported(v)
 
 
-@query(
-    "outline_range_filter",
-    sql(
-        "v_export v_toc_pages",
-        """select book_id, node_no, title, page_index - 2 page_index, level from v_export
-        where page_index - 2 >= 0 and page_index - 2 < (select count(*) from v_toc_pages p where p.book_id = v_export.book_id and ord % 2 = 0)""",
-    ),
-)
-def _(v: Views):
-    shifted = exported(v).withColumn("page_index", F.col("page_index") - 2)
-    return C.outline_range_filter(shifted, v.toc_pages.where("ord % 2 = 0"))
-
-
 def with_outside(v: Views):
     """All exported chapters, each beside one that lies before its book and one that lies behind it."""
     n = v.toc_pages.groupBy("book_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
@@ -338,6 +325,7 @@ def with_outside(v: Views):
     return rows.drop("n")
 
 
+@query("outline_range_filter", sql("v_export", "select book_id, node_no, title, page_index, level from v_export"))
 @query("outline_range_filter_whole", sql("v_export", "select book_id, node_no, title, page_index, level from v_export"))
 def _(v: Views):
     return C.outline_range_filter(with_outside(v), v.toc_pages)
