@@ -96,7 +96,8 @@ def _pixels_in_boxes(pixels: DataFrame, boxes: DataFrame, keys: list[str]) -> Da
     """Pixels of each line box.
 
     A box is unfolded to its pixel rows, which makes this an equal-key join on (image, y) with a check of x, instead
-    of comparing every pixel of an image with every box.
+    of comparing every pixel of an image with every box. Both sides are shuffled: Spark's estimates do not see the
+    unfolding, so it would take boxes or even pixels for small enough to broadcast.
     """
     rows = boxes.select(
         *keys,
@@ -111,7 +112,7 @@ def _pixels_in_boxes(pixels: DataFrame, boxes: DataFrame, keys: list[str]) -> Da
         ).alias("y"),
     )
     light = pixels.select(*keys, "x", "y", ink_luminance("r", "g", "b").alias("v"))
-    return light.join(rows, [*keys, "y"]).where((F.col("x") >= F.col("_xa")) & (F.col("x") < F.col("_xb")))
+    return light.join(rows.hint("shuffle_hash"), [*keys, "y"]).where((F.col("x") >= F.col("_xa")) & (F.col("x") < F.col("_xb")))
 
 
 def ink_profile(pixels: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -223,7 +224,7 @@ def without_rules(runs: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFra
     rule = ((F.col("end_y") - F.col("start_y") + 1) >= F.col("_w") * F.lit(RULE_MIN_LENGTH)) & (
         (F.col("max_x") - F.col("min_x") + 1) <= F.greatest(F.lit(2.0), F.col("_w") * F.lit(RULE_MAX_WIDTH))
     )
-    return runs.join(width, line).where(~rule).drop("_w")
+    return runs.join(width.hint("merge"), line).where(~rule).drop("_w")
 
 
 def trailing_splits(runs: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -235,7 +236,7 @@ def trailing_splits(runs: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> D
     rest = down.rowsBetween(0, Window.unboundedFollowing)
     tall = boxes.where(F.col("h") >= F.col("w") * F.lit(VERTICAL_ASPECT)).select(*line, "x", "y", "w", "h")
     rows = (
-        runs.join(tall, line)
+        runs.join(tall.hint("merge"), line)
         .withColumns(
             {
                 "_prev_end": F.lag("end_y").over(down),
@@ -281,7 +282,7 @@ def accept_trailing_split(boxes: DataFrame, read_candidates: DataFrame, keys: Se
         .agg(F.min_by(F.array(head, tail), "cand_no").alias("_pieces"))
     )
     whole = F.array(F.struct("x", "y", "w", "h", F.lit("whole").alias("kind"), F.lit(None).cast("string").alias("text")))
-    joined = boxes.join(chosen, line, "left")
+    joined = boxes.join(chosen.hint("merge"), line, "left")
     pieces = F.posexplode(F.coalesce("_pieces", whole)).alias("piece_no", "_piece")
     rest = [c for c in boxes.columns if c not in {*line, "x", "y", "w", "h"}]
     return joined.select(*line, *rest, pieces).select(*line, *rest, "piece_no", "_piece.*")

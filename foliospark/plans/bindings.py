@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.plans.ordered import number_rows, slot
-from foliospark.plans.session import stored
+from foliospark.plans.session import spread, stored
 
 CHARSET = ["x", "y", "z", "a", "b", "c", "d"]
 
@@ -196,7 +196,8 @@ class Views:
     def ink_pixels(self) -> DataFrame:
         """Pixels of the line boxes: glyphs, sometimes a thin rule, and a short tail below."""
         return (
-            self.table("part")
+            # a small file of parts unfolds to very many pixels, so parts are spread before
+            spread(self.table("part").select("p_partkey"), "p_partkey")
             .selectExpr("p_partkey p", "explode(sequence(0, 63)) y")
             .selectExpr("p", "y", "explode(sequence(0, 6)) xo")
             .selectExpr("p", "y", "xo", f"{INK_RULE} ink")

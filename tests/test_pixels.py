@@ -106,3 +106,12 @@ def test_accept_split(spark):
     got = P.accept_trailing_split(boxes, cands, KEY).orderBy("line_id", "piece_no").collect()
     assert [(r.line_id, r.piece_no, r.kind, r.text, r.x) for r in got] == [(1, 0, "head", None, 8.0), (1, 1, "tail", "二一", 12.0), (2, 0, "whole", None, 20.0)]
     assert F is not None
+
+
+@pytest.mark.parametrize("name", ["ink_profile", "ink_runs", "trailing_splits", "accept_trailing_split"])
+def test_unfolded_rows_are_not_broadcast(spark, name):
+    """Estimates do not see that a few parts unfold to many pixels and box rows; broadcasting these fails on larger tables."""
+    from foliospark.catalog import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
