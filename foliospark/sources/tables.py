@@ -86,14 +86,23 @@ def write_book_text(texts: DataFrame, books: DataFrame, path: str) -> None:
 
     ``texts`` (book_id, part_no, text) from ``book_text``. Parts are range-partitioned by book and part, so a long
     book is written by several tasks and its files, in name order, are the book's text, ended by a newline (the text
-    sink ends every record with one; a later part adds the second newline of the blank line between pages).
+    sink ends every record with one; a later part adds the second newline of the blank line between pages). Parts
+    without text are left out, but for one of a book without any. Inside a task rows are sorted by the folder columns
+    first, else the sink sorts them again by these alone and loses the order of the parts.
     """
-    named = texts.join(
-        books.select("book_id", text_file_name("title").alias("file_name")), "book_id"
-    ).withColumn("value", F.when(F.col("part_no") > 0, F.concat(F.lit("\n"), F.col("text"))).otherwise(F.col("text")))
+    filled = F.col("text") != ""
+    ends = texts.groupBy("book_id").agg(F.min(F.when(filled, F.col("part_no"))).alias("_first"), F.min("part_no").alias("_least"))
+    ends = ends.select("book_id", F.coalesce("_first", "_least").alias("_first"))
+    later = F.col("part_no") > F.col("_first")
+    named = (
+        texts.join(ends, "book_id")
+        .where((F.col("part_no") == F.col("_first")) | (later & filled))
+        .join(books.select("book_id", text_file_name("title").alias("file_name")), "book_id")
+        .withColumn("value", F.when(later, F.concat(F.lit("\n"), F.col("text"))).otherwise(F.col("text")))
+    )
     (
         named.repartitionByRange("book_id", "part_no")
-        .sortWithinPartitions("book_id", "part_no")
+        .sortWithinPartitions("book_id", "file_name", "part_no")
         .select("book_id", "file_name", "value")
         .write.mode("overwrite")
         .partitionBy("book_id", "file_name")

@@ -331,3 +331,18 @@ def test_written_files_are_whole(spark, tmp_path):
     for _ in range(2):
         assert sorted(map(tuple, SI.write_files(files, str(tmp_path)).collect())) == sorted((p, len(c)) for p, c in rows)
     assert {f.relative_to(tmp_path).as_posix(): f.read_bytes() for f in tmp_path.rglob("*") if f.is_file()} == dict(rows)
+
+
+def test_book_text_parts_keep_their_order(spark, tmp_path):
+    """Parts of several books in one task, and parts without text before, between and after others."""
+    parts = [(f"b{b}", n, "" if (b + n) % 5 == 0 else f"{b}/{n} " + "x" * (97 * n % 300)) for b in range(12) for n in range(40)]
+    parts += [("blank", n, "") for n in range(3)]
+    texts = spark.createDataFrame(parts, "book_id string, part_no int, text string").repartition(3)
+    books = texts.select("book_id", F.col("book_id").alias("title")).distinct()
+    ST.write_book_text(texts, books, f"{tmp_path}/texts")
+    got = {}
+    for file in sorted((tmp_path / "texts").glob("book_id=*/*/part-*"), key=lambda f: f.name):
+        book = file.parts[-3].removeprefix("book_id=")
+        got[book] = got.get(book, "") + file.read_text()
+    want = {b: "\n\n".join(t for book, _, t in parts if book == b and t) + "\n" for b in {p[0] for p in parts}}
+    assert got == want
