@@ -63,13 +63,17 @@ def image_histograms(images: DataFrame, keys: Sequence[str]) -> DataFrame:
     return images.select(*keys, "img_w", "img_h", "rgba").mapInPandas(run, schema)
 
 
-def image_auto_levels(images: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``auto_levels`` from images or thumbnails: 256 counts leave an image, and rows of one key add up."""
+def image_auto_levels(images: DataFrame, keys: Sequence[str], percent_last: bool = False) -> DataFrame:
+    """``auto_levels`` from images or thumbnails: 256 counts leave an image, and rows of one key add up.
+
+    With ``percent_last`` the brightness is multiplied by the contrast in percent and divided by 100 after that. The two
+    orders differ in the last bit, and by one after rounding for twelve pairs of ends.
+    """
     bins = image_histograms(images, keys).groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
-    return _levels(bins, list(keys))
+    return _levels(bins, list(keys), percent_last)
 
 
-def _levels(bins: DataFrame, keys: list[str]) -> DataFrame:
+def _levels(bins: DataFrame, keys: list[str], percent_last: bool = False) -> DataFrame:
     image = Window.partitionBy(*keys)
     bins = bins.withColumn("cum", F.sum("n").over(image.orderBy("bin"))).withColumn("total", F.sum("n").over(image))
     low = F.min(F.when(F.col("cum") > F.floor(F.col("total") * F.lit(0.01)), F.col("bin")))
@@ -81,8 +85,9 @@ def _levels(bins: DataFrame, keys: list[str]) -> DataFrame:
 
     spread = F.greatest(F.col("hi") - F.col("lo"), F.lit(1))
     contrast = clamp(clamp(F.lit(255.0) / spread, 0.1, 4.0) * 100 - 100, -100.0, 100.0)
-    factor = (F.lit(100) + contrast) / F.lit(100.0)
-    brightness = clamp(-((F.col("lo") + F.col("hi")) / F.lit(2.0) - 128) * factor, -100.0, 100.0)
+    percent, middle = F.lit(100) + contrast, -((F.col("lo") + F.col("hi")) / F.lit(2.0) - 128)
+    moved = middle * percent / F.lit(100.0) if percent_last else middle * (percent / F.lit(100.0))
+    brightness = clamp(moved, -100.0, 100.0)
     return ends.select(
         *keys,
         "lo",

@@ -115,3 +115,22 @@ def test_unfolded_rows_are_not_broadcast(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_image_levels_follow_their_sql(spark, tmp_path):
+    """Documents whose bytes give ends on which the two orders of multiplication differ."""
+    import duckdb
+
+    from foliospark.catalog import ORACLES, QUERIES
+
+    # an image of doc_id 1 mod 9 has nine pixels a row: half of them an ASCII tone, half two letters of two bytes
+    tone = lambda r, g, b: round(0.299 * r + 0.587 * g + 0.114 * b)
+    upper = {tone(r, g, b): bytes([r, g, b, 0x80]).decode() for r in range(0xC2, 0xE0) for g in range(0x80, 0xC0) for b in range(0xC2, 0xE0)}
+    pairs = [(7, 172), (7, 194), (12, 186), (32, 176), (7, 173), (65, 160)]
+    rows = [(1 + 9 * i, chr(lo) * 72 + upper[hi] * 18, "s") for i, (lo, hi) in enumerate(pairs)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con, columns = duckdb.connect(), "page_id, lo, hi, brightness, contrast"
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"select {columns} from ({ORACLES['image_auto_levels']})").fetchall()
+    got = QUERIES["image_auto_levels"](spark, str(tmp_path)).select(*columns.split(", ")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and [(lo, hi) for _, lo, hi, _, _ in sorted(want)] == pairs
