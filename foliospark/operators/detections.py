@@ -37,7 +37,7 @@ def detection_filter(dets: DataFrame, images: DataFrame, keys: Sequence[str]) ->
 
 
 def rescale_detections(dets: DataFrame, images: DataFrame, keys: Sequence[str]) -> DataFrame:
-    rows = dets.join(images.select(*keys, "scale", "img_w", "img_h"), list(keys))
+    rows = dets.join(images.select(*keys, "scale", "img_w", "img_h").hint("merge"), list(keys))
     is_block = (F.col("label") - 1) == BLOCK_CLASS
     top, bottom = F.col("y1") / F.col("scale"), F.col("y2") / F.col("scale")
     left, right = F.col("x1") / F.col("scale"), F.col("x2") / F.col("scale")
@@ -93,7 +93,8 @@ def _overlaps(boxes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     outer = _cells(sized, F.col("_own"))
     names = ["det_no", "score", "x", "y", "w", "h", "_own"]
     one, two = ({n: f"{n}{i}" for n in names} for i in (1, 2))
-    both = inner.withColumnsRenamed(one).join(outer.withColumnsRenamed(two), grid)
+    # a shuffle is asked for, as estimates do not see how many cells boxes unfold to
+    both = inner.withColumnsRenamed(one).join(outer.withColumnsRenamed(two).hint("shuffle_hash"), grid)
     box = lambda i: tuple(F.col(f"{c}{i}") for c in "xywh")
     begins = (_cell(F.greatest("x1", "x2"), F.col("_level")) == F.col("_cx")) & (_cell(F.greatest("y1", "y2"), F.col("_level")) == F.col("_cy"))
     once = (F.col("_own1") < F.col("_own2")) | ((F.col("_own1") == F.col("_own2")) & (F.col("det_no1") < F.col("det_no2")))
@@ -147,16 +148,16 @@ def assign_lines_to_blocks(lines: DataFrame, blocks: DataFrame, keys: Sequence[s
     cells = _cells(shapes, _level(F.greatest("w", "h")))
     levels = shapes.select(*keys, _level(F.greatest("w", "h")).alias("_level")).distinct()
     here = (F.col("x"), F.col("y"), F.col("w"), F.col("h"))
-    at = lines.select(*keys, "det_no", *here).join(levels, keys)
+    at = lines.select(*keys, "det_no", *here).join(levels.hint("merge"), keys)
     at = at.withColumn("_cx", _cell(F.col("x") + F.col("w") / 2, F.col("_level"))).withColumn("_cy", _cell(F.col("y") + F.col("h") / 2, F.col("_level")))
     around = cells.select(*keys, "_level", "_cx", "_cy", "no", F.struct("x", "y", "w", "h").alias("_block"))
     hits = (
-        at.join(around, [*keys, "_level", "_cx", "_cy"])
+        at.join(around.hint("shuffle_hash"), [*keys, "_level", "_cx", "_cy"])
         .where(box_center_in(here, _box(F.col("_block"))))
         .groupBy(*keys, "det_no")
         .agg(F.min("no").alias("_hit"))
     )
-    placed = lines.join(hits, [*keys, "det_no"], "left")
+    placed = lines.join(hits.hint("merge"), [*keys, "det_no"], "left")
 
     first = F.min(F.struct((-F.col("score")).alias("rank"), "det_no"))
     per_block = placed.groupBy(*keys, "_hit").agg(F.count(F.lit(1)).alias("_n"), first.alias("_first"))

@@ -164,7 +164,7 @@ def rank_boxes(boxes: DataFrame, keys: Sequence[str], item: str, name: str) -> D
         }
     )
     # A box alone in its group needs no cutting.
-    everything = boxes.join(frame, keys)
+    everything = boxes.join(frame.hint("merge"), keys)
     alone = everything.where(F.col("_n") == 1).select(*boxes.columns, F.lit(0).alias(name))
     scaled = everything.where(F.col("_n") > 1)
 
@@ -245,13 +245,14 @@ def _best_leaves(grid: DataFrame, trees: DataFrame, keys: list[str]) -> DataFram
     shapes = grid.select(*keys, *CELLS).distinct()
     lines = shapes.withColumn("_y", F.explode(F.sequence(F.col("_ny0"), F.col("_ny1") - 1)))
     common = F.least(F.col("_nx1"), F.col("x1")) - F.greatest(F.col("_nx0"), F.col("x0"))
-    met = lines.join(bands, [*keys, "_y"]).where(common > 0)
+    # Estimates do not see the unfolding, so the join asks for a shuffle: a broadcast would hold all lines in the driver.
+    met = lines.join(bands.hint("shuffle_hash"), [*keys, "_y"]).where(common > 0)
     other = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     sums = met.groupBy(*keys, *CELLS, "leaf").agg(F.sum(common).alias("_in"), F.first(other).alias("_other"))
     own = (F.col("_nx1") - F.col("_nx0")) * (F.col("_ny1") - F.col("_ny0"))
     share = F.col("_in") / (own + F.col("_other") - F.col("_in"))
     best = sums.groupBy(*keys, *CELLS).agg(F.max_by("leaf", F.struct(share, -F.col("leaf"))).alias("_best"))
-    return grid.join(best, [*keys, *CELLS], "left").withColumn("_leaf", F.coalesce("_best", F.lit(0))).drop("_best")
+    return grid.join(best.hint("merge"), [*keys, *CELLS], "left").withColumn("_leaf", F.coalesce("_best", F.lit(0))).drop("_best")
 
 
 def reading_order(lines: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -244,3 +244,18 @@ def test_best_leaves_by_brute_force(spark):
     placed = RO._best_leaves(grid, trees, ["g"])
     assert {(r["g"], r["no"]): r["_leaf"] for r in placed.collect()} == want
     assert "_tree" not in placed.columns
+
+
+def test_unfolded_boxes_are_not_broadcast(spark):
+    """Estimates do not see that boxes unfold to cells and grid lines, so the driver would hold them all."""
+    from foliospark.operators import detections as D
+    from foliospark.operators import reading_order as R
+
+    boxes = spark.createDataFrame([(1, 1, 0.9, 0.0, 0.0, 20.0, 20.0)], "page_id long, det_no int, score double, x double, y double, w double, h double")
+    grid = spark.createDataFrame([(1, 0, 0, 2, 2)], "page_id long, _nx0 int, _ny0 int, _nx1 int, _ny1 int")
+    tree = "array(named_struct('leaf', 0, 'x0', 0, 'y0', 0, 'x1', 2, 'y1', 2, 'path', array(0))) _tree"
+    found = D._overlaps(boxes, ["page_id"], 0.5), R._best_leaves(grid, spark.sql(f"select 1L page_id, {tree}"), ["page_id"])
+    for rows in (*found, D.assign_lines_to_blocks(boxes, boxes, ["page_id"])):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan
+    assert all("Broadcast" not in rows._jdf.queryExecution().executedPlan().toString() for rows in found)
