@@ -93,54 +93,78 @@ def drop_stale_responses(requests: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 class RequestState(StatefulProcessor):
-    """One request: open since a time, with the smallest (ts, reply_no) of its final replies so far.
+    """A block of requests: each open since a time, with the smallest (ts, reply_no) of its final replies so far.
 
     Once the watermark has passed that reply no smaller one can come: it leaves and the request is closed, that is,
     forgotten, so that further replies find no open request. Replies may come before the row of their request; without
     one they go when the watermark has passed them, as a request is never younger than its replies.
+
+    A block is read and written as one list, with one timer for its next request, as each call to the store takes longer
+    than the work on a request.
     """
 
-    def __init__(self, open_for_ms: int | None, value: str, out: list[str]):
-        self.open_for_ms, self.value, self.out = open_for_ms, value, out
+    def __init__(self, open_for_ms: int | None, request: str, value: str, out: list[str]):
+        self.open_for_ms, self.request, self.value, self.out = open_for_ms, request, value, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.opened = handle.getValueState("opened", "us long")
-        self.replies = handle.getListState("replies", f"us long, reply_no long, value {self.value}")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        opened = self.opened.get()[0] if self.opened.exists() else None
-        waiting = [tuple(r) for r in self.replies.get()] if self.replies.exists() else []
-        for part in rows:
-            for row in part.itertuples(index=False):
-                if row.kind == "open":
-                    opened = row.us if opened is None else min(opened, row.us)
-                else:
-                    waiting.append((row.us, row.reply_no, None if pd.isna(row.value) else row.value))
-        if opened is not None:
-            self.opened.update((int(opened),))
-            waiting = sorted((w for w in waiting if w[0] >= opened), key=lambda w: w[:2])[:1]
-        if waiting:
-            self.replies.put([(int(us), int(no), value) for us, no, value in waiting])
-        elif self.replies.exists():
-            self.replies.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        # a reply stands when the watermark is past its time; an unanswered request ends when its time is over
+        self.opened = handle.getListState("opened", f"request_id {self.request}, opened long, us long, reply_no long, value {self.value}")
+
+    def _load(self) -> dict:
+        """Request id to the time it was opened, if known, and its replies (us, reply_no, value)."""
+        requests: dict = {}
+        for request_id, opened, us, reply_no, value in self.opened.get() if self.opened.exists() else ():
+            known = requests.setdefault(request_id, [opened, []])
+            if us is not None:
+                known[1].append((us, reply_no, value))
+        return requests
+
+    def _due(self, opened: int | None, waiting: list[tuple]) -> int | None:
+        """When a reply stands, as the watermark is past its time, or when the time of an unanswered request is over."""
         due = max((us for us, _, _ in waiting), default=None)
         if due is None and opened is not None and self.open_for_ms is not None:
             due = opened + 1000 * self.open_for_ms
+        return None if due is None else due // 1000 + 1
+
+    def _save(self, requests: dict) -> None:
+        rows = [(q, opened, *reply) for q, (opened, waiting) in requests.items() for reply in waiting or [(None, None, None)]]
+        if rows:
+            self.opened.put(rows)
+        elif self.opened.exists():
+            self.opened.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        due = min((d for d in (self._due(*r) for r in requests.values()) if d is not None), default=None)
         if due is not None:
-            self.handle.registerTimer(int(due) // 1000 + 1)
+            self.handle.registerTimer(due)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        requests, touched = self._load(), set()
+        for part in rows:
+            for request_id, kind, us, reply_no, value in zip(*[part[c].tolist() for c in ("request_id", "kind", "us", "reply_no", "value")]):
+                known = requests.setdefault(request_id, [None, []])
+                touched.add(request_id)
+                if kind == "open":
+                    known[0] = us if known[0] is None else min(known[0], us)
+                else:
+                    known[1].append((us, reply_no, None if pd.isna(value) else value))
+        for known in map(requests.get, touched):
+            if known[0] is not None:
+                known[1] = sorted((w for w in known[1] if w[0] >= known[0]), key=lambda w: w[:2])[:1]
+        self._save(requests)
         yield pd.DataFrame([], columns=self.out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        opened = self.opened.get()[0] if self.opened.exists() else None
-        best = sorted(tuple(r) for r in self.replies.get()) if self.replies.exists() else []
-        inside = opened is not None and (self.open_for_ms is None or (best and best[0][0] <= opened + 1000 * self.open_for_ms))
-        rows = [(key[0], best[0][1], best[0][2])] if best and inside else []
-        self.opened.clear()
-        self.replies.clear()
+        now, requests, rows = timerValues.getCurrentWatermarkInMs(), self._load(), []
+        for request_id, (opened, waiting) in list(requests.items()):
+            due = self._due(opened, waiting)
+            if due is None or due > now:
+                continue
+            del requests[request_id]
+            best = min(waiting, key=lambda w: w[:2], default=None)
+            if best and opened is not None and (self.open_for_ms is None or best[0] <= opened + 1000 * self.open_for_ms):
+                rows.append((request_id, best[1], best[2]))
+        self._save(requests)
         yield pd.DataFrame(rows, columns=self.out)
 
     def close(self) -> None:
@@ -148,21 +172,24 @@ class RequestState(StatefulProcessor):
 
 
 def drop_stale_responses_stream(
-    requests: DataFrame, replies: DataFrame, open_for_ms: int | None = None, watermark: str = WATERMARK
+    requests: DataFrame, replies: DataFrame, open_for_ms: int | None = None, watermark: str = WATERMARK, blocks: int = 1024
 ) -> DataFrame:
     """The stream form: the smallest (ts, reply_no) of a request's final replies, once the watermark has passed it.
 
     State holds open requests only. A request without a reply is remembered until ``open_for_ms`` has passed, or for
-    good without it; replies after that time do not count. The state store must be RocksDB.
+    good without it; replies after that time do not count. The state store must be RocksDB. Requests are kept in
+    ``blocks`` by a hash of their id, and a micro-batch writes the blocks that it touches; give more blocks where very many
+    requests stay open. Their number belongs to a checkpoint.
     """
     kinds = {f.name: f.dataType.simpleString() for f in (*requests.schema.fields, *replies.schema.fields)}
-    nothing = [F.lit(None).cast("long").alias("reply_no"), F.lit(None).cast(kinds["value"]).alias("value")]
+    nothing = [F.lit(0).cast("long").alias("reply_no"), F.lit(None).cast(kinds["value"]).alias("value")]
     opened = requests.select("request_id", "ts", F.lit("open").alias("kind"), *nothing)
     done = replies.where("kind = 'done'").select("request_id", "ts", "kind", F.col("reply_no").cast("long").alias("reply_no"), "value")
-    events = opened.unionByName(done).withColumn("us", micros()).withWatermark("ts", watermark)
+    events = opened.unionByName(done).where("request_id is not null").withColumn("us", micros()).withWatermark("ts", watermark)
+    events = events.withColumn("_block", F.pmod(F.xxhash64("request_id"), F.lit(blocks)))
     out = ["request_id", "reply_no", "value"]
     schema = f"request_id {kinds['request_id']}, reply_no long, value {kinds['value']}"
-    return events.groupBy("request_id").transformWithStateInPandas(RequestState(open_for_ms, kinds["value"], out), schema, "Append", "EventTime")
+    return events.groupBy("_block").transformWithStateInPandas(RequestState(open_for_ms, kinds["request_id"], kinds["value"], out), schema, "Append", "EventTime")
 
 
 def latest_page_result(results: DataFrame) -> DataFrame:

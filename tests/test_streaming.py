@@ -310,3 +310,15 @@ def test_pages_of_two_books_are_apart(spark):
     events = spark.createDataFrame(rows, keyed)
     assert [r.seq for r in E.confirmed_deletes(events).collect()] == [0]
     assert {r.seq for r in E.debounce_adjustments(events.where("op = 'update'")).collect()} == {2, 3}
+
+
+def test_requests_share_a_block_of_state(spark, tmp_path):
+    """Many requests take few keys of state, and requests of one block leave one after the other."""
+    got = []
+    steps = [([(q, 10) for q in range(300)], [(q, q, 11 + q, "done") for q in range(300)]), ([(-1, 200)], []), ([(-2, 9000)], [])]
+    for opened, replies in steps:
+        spark.createDataFrame([(q, at(spark, t)) for q, t in opened], "request_id long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/req")
+        rows = [(q, n, at(spark, t), k, float(n)) for q, n, t, k in replies]
+        spark.createDataFrame(rows, REPLY).coalesce(1).write.mode("append").parquet(f"{tmp_path}/rep")
+        got.append(sorted(r.request_id for r in reply_stream(spark, tmp_path, blocks=3)))
+    assert sorted(sum(got, [])) == list(range(300)) and 0 < len(got[0]) < 300
