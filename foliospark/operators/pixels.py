@@ -28,6 +28,7 @@ RULE_MAX_WIDTH = 0.12
 PAD = 2
 
 PIXELS = 1 << 20
+ROWS = 20_000  # found rows that leave a task together
 
 
 def auto_levels(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -172,6 +173,7 @@ def _by_box(images: DataFrame, boxes: DataFrame, keys: list[str], found: Callabl
     rows = images.select(*keys, "img_w", "img_h", "rgba").join(lists.hint("shuffle_hash"), keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [*keys, "line_id", *names]
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
@@ -182,7 +184,10 @@ def _by_box(images: DataFrame, boxes: DataFrame, keys: list[str], found: Callabl
                 key = tuple(getattr(r, k) for k in keys)
                 for b in r[-1]:
                     out += [(*key, b["line_id"], *row) for row in found(image, b["x"], b["y"], b["w"], b["h"])]
-            yield pd.DataFrame(out, columns=[*keys, "line_id", *names])
+                    if len(out) >= ROWS:  # a batch of images has many times its rows
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+            yield pd.DataFrame(out, columns=columns)
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in (*keys, "line_id")), *(f"{n} int" for n in names)])
     return rows.mapInPandas(run, schema)

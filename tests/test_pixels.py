@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,23 @@ def test_image_levels_follow_their_sql(spark, tmp_path):
     want = con.execute(f"select {columns} from ({ORACLES['image_auto_levels']})").fetchall()
     got = QUERIES["image_auto_levels"](spark, str(tmp_path)).select(*columns.split(", ")).collect()
     assert sorted(map(tuple, got)) == sorted(want) and [(lo, hi) for _, lo, hi, _, _ in sorted(want)] == pairs
+
+
+def test_found_rows_leave_in_bounded_frames(spark, monkeypatch):
+    """The rows of many images of one batch are not held together."""
+    monkeypatch.setattr(P, "ROWS", 100)
+    sizes = []
+
+    def seen(self, function, schema):
+        row = np.zeros((50, 4, 4), np.uint8)
+        row[:, :2] = 255
+        box = {"line_id": 1, "x": 0.0, "y": 0.0, "w": 4.0, "h": 50.0}
+        batch = pd.DataFrame([(n, 4, 50, row.tobytes(), [box]) for n in range(40)], columns=["page_id", "img_w", "img_h", "rgba", "_boxes"])
+        sizes.extend(len(frame) for frame in function(iter([batch])))
+        return self
+
+    images = spark.createDataFrame([], "page_id long, img_w int, img_h int, rgba binary")
+    boxes = spark.createDataFrame([], "page_id long, line_id long, x double, y double, w double, h double")
+    monkeypatch.setattr(type(images), "mapInPandas", seen)
+    P.image_ink_profile(images, boxes, KEY)
+    assert sum(sizes) == 40 * 50 and max(sizes) <= 150
