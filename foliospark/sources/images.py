@@ -23,11 +23,15 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
+        made = set()
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 target = f"{root}/{path}"
-                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                part = f"{target.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}"  # names that begin so are no input to Spark
+                place = target.rsplit("/", 1)[0]
+                if place not in made:
+                    store.create_dir(place, recursive=True)
+                    made.add(place)
+                part = f"{place}/_{uuid.uuid4().hex}"  # names that begin so are no input to Spark
                 with store.open_output_stream(part) as out:
                     out.write(content)
                 store.move(part, target)
@@ -41,10 +45,23 @@ def filter_image_files(files: DataFrame) -> DataFrame:
     return files.where(is_image_name("path"))
 
 
+FILES_TOGETHER = 16
+
+
+def _fewer_tasks(files: DataFrame) -> DataFrame:
+    """Merges the tasks of a scan of files.
+
+    Opening a file counts as reading 4 MB, so small files come in tasks of 32, and the driver spends more time on handing
+    out tasks than they take. Every core keeps several tasks.
+    """
+    tasks, least = files.rdd.getNumPartitions(), 4 * files.sparkSession.sparkContext.defaultParallelism
+    return files.coalesce(max(least, tasks // FILES_TOGETHER)) if tasks > least else files
+
+
 def scan_image_files(spark: SparkSession, folder: str) -> DataFrame:
     """Image files below a folder: path, length, modification time. File contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return filter_image_files(files.select("path", "length", "modificationTime"))
+    return filter_image_files(_fewer_tasks(files.select("path", "length", "modificationTime")))
 
 
 def decoded_columns(frames: DataFrame) -> DataFrame:

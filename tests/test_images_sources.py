@@ -13,7 +13,7 @@ from foliospark.operators import pages as P
 from foliospark.operators.images import image_pixels
 from foliospark.operators.pixels import auto_levels, image_auto_levels, image_ink_profile, image_ink_runs, ink_profile, ink_runs
 from foliospark.operators.recognise import recognize_pages
-from foliospark.plans.session import bucketed
+from foliospark.plans.session import bucketed, setting
 from foliospark.sources import images as SI
 from foliospark.sources.book_files import write_book_files
 from foliospark.sources import tables as ST
@@ -346,3 +346,11 @@ def test_book_text_parts_keep_their_order(spark, tmp_path):
         got[book] = got.get(book, "") + file.read_text()
     want = {b: "\n\n".join(t for book, _, t in parts if book == b and t) + "\n" for b in {p[0] for p in parts}}
     assert got == want
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(160):
+        (tmp_path / f"{i}.bmp").write_bytes(b"x")
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "4194304"):
+        scanned = SI.scan_image_files(spark, str(tmp_path))
+        assert scanned.count() == 160 and scanned.rdd.getNumPartitions() < 160
