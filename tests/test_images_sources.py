@@ -354,3 +354,36 @@ def test_small_files_share_tasks(spark, tmp_path):
     with setting(spark, "spark.sql.files.maxPartitionBytes", "4194304"):
         scanned = SI.scan_image_files(spark, str(tmp_path))
         assert scanned.count() == 160 and scanned.rdd.getNumPartitions() < 160
+
+
+def bitmap(width, height, depth=24):
+    """A bitmap whose bytes count up; a negative height is top row first."""
+    body = bytes(i % 251 for i in range((width * depth // 8 + 3) // 4 * 4 * abs(height)))
+    return b"BM" + struct.pack("<IIIIiiHHIIIIII", 54 + len(body), 0, 54, 40, width, height, 1, depth, 0, 0, 0, 0, 0, 0) + body
+
+
+def bitmap_folder(tmp_path):
+    """Bitmaps in both directions, with and without bytes at the end of a row, and two files that are none."""
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for i, size in enumerate([(4, 3), (4, -3), (5, 2), (7, -1), (1, 1)]):
+        (tmp_path / "in" / "sub" / f"{i}.bmp").write_bytes(bitmap(*size))
+    (tmp_path / "in" / "short").write_bytes(b"BM")
+    (tmp_path / "in" / "text.bmp").write_bytes(b"no image")
+    return f"{tmp_path}/in"
+
+
+def image_rows(rows):
+    return sorted((r.path, r.ok, r.width, r.height, r.channels, r.data and bytes(r.data)) for r in rows)
+
+
+def test_bitmaps_equal_the_image_source(spark, tmp_path):
+    folder = bitmap_folder(tmp_path)
+    got = SI.decode_images(spark, folder, SI.decode_bitmap)
+    assert image_rows(got.collect()) == image_rows(SI.decode_images(spark, folder).withColumn("path", F.replace("path", F.lit("file:///"), F.lit("file:/"))).collect())
+    assert got.where("ok").count() == 5
+
+
+@pytest.mark.parametrize("content", [b"", b"BM", bitmap(4, 3)[:-1], bitmap(4, 3, 32), bitmap(0, 3), bitmap(4, 0), b"\x89PNG" + bytes(60)])
+def test_other_files_are_no_plain_bitmaps(content):
+    with pytest.raises(ValueError):
+        SI.decode_bitmap(content)
