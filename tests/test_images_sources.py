@@ -17,7 +17,7 @@ from foliospark.plans.session import bucketed, setting
 from foliospark.sources import images as SI
 from foliospark.sources.book_files import write_book_files
 from foliospark.sources import tables as ST
-from foliospark.streaming.imports import stream_import
+from foliospark.streaming.imports import FEWER_LISTINGS, LARGER_READS, stream_import
 
 
 def png(width, height, rgb):
@@ -387,3 +387,17 @@ def test_bitmaps_equal_the_image_source(spark, tmp_path):
 def test_other_files_are_no_plain_bitmaps(content):
     with pytest.raises(ValueError):
         SI.decode_bitmap(content)
+
+
+def test_stream_import_of_many_small_files(spark, tmp_path):
+    """One micro-batch, and a listing of it in at most 64 tasks; the rows are those of the batch form."""
+    folder = bitmap_folder(tmp_path)
+    for i in range(1100):
+        (tmp_path / "in" / f"{i}").write_bytes(bitmap(2, 2))
+    batches = []
+    frames = stream_import(spark, folder, decode_fn=SI.decode_bitmap)
+    with setting(spark, *FEWER_LISTINGS), setting(spark, *LARGER_READS):
+        query = frames.writeStream.foreachBatch(lambda b, _: batches.append(b.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert len(batches) == 1
+    assert image_rows(batches[0]) == image_rows(SI.decode_images(spark, folder, SI.decode_bitmap).collect())
