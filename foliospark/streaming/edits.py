@@ -1,7 +1,8 @@
-"""Line edits as a stateful stream: keyed state per page of a book, edits applied in sequence order."""
+"""Line edits as a stateful stream: keyed state per group of pages, edits applied in sequence order."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from foliospark.operators.edits import PAGE, PageLines
+from foliospark.operators.edits import LOG_COLUMNS, PAGE, PageLines
 
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 OUTPUT = (
@@ -17,22 +18,36 @@ OUTPUT = (
     " last_edit long, late_seq long"
 )
 NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
-NO_ID = "\0"
 ROWS = 10_000
 
 
+INDEX = 64
+
+
+def _part(line_id: str | None) -> int:
+    """Part of a page's index in which an id stands; the same in every process."""
+    return zlib.crc32(b"" if line_id is None else line_id.encode()) % INDEX
+
+
 class _StoredPage(PageLines):
-    """Page lines whose blocks and index lie in map states; a call reads the blocks it touches and writes back changed ones."""
+    """Page lines whose blocks and index lie in map states; a call reads the blocks it touches and writes back changed ones.
+
+    A page of one block needs no index. That of a larger one is stored in ``INDEX`` parts by a hash of the ids, as each
+    call to the store takes longer than the work on a line.
+    """
 
-    def __init__(self, blocks, where) -> None:
+    def __init__(self, key: tuple, blocks, index) -> None:
         super().__init__()
-        self.block_state, self.where_state = blocks, where
+        self.key, self.block_state, self.index_state = key, blocks, index
         self.changed: set[int] = set()
-        self.moved: set[str | None] = set()
+        self.parts: set[int] = set()
+        self.read: set[int] = set()
+        self.indexed = False  # whether the store holds an index
+        self.known = 0  # blocks in the store
 
     def _block(self, number: int) -> list[tuple]:
         if number not in self._blocks:
-            ids, texts, edited = self.block_state.getValue((number,))
+            ids, texts, edited = self.block_state.getValue((*self.key, number))
             self._blocks[number] = list(zip(ids, texts, edited))
         return self._blocks[number]
 
@@ -40,60 +55,109 @@ class _StoredPage(PageLines):
         self._blocks[number] = lines
         self.changed.add(number)
 
+    def open(self) -> None:
+        """Makes the index of a page that is stored without one, before its lines change."""
+        if not self.indexed:
+            self.read.update(range(INDEX))
+            for number in self.order:
+                for line_id, _, _ in self._block(number):
+                    self._where.setdefault(line_id, []).append(number)
+
+    def _read(self, part: int) -> None:
+        if part in self.read:
+            return
+        self.read.add(part)
+        key = (*self.key, part)
+        if self.index_state.containsKey(key):
+            for line_id, numbers in zip(*self.index_state.getValue(key)):
+                self._where[line_id] = list(numbers)
+
     def _places(self, line_id: str | None) -> list[int]:
-        if line_id not in self._where:
-            key = (NO_ID if line_id is None else line_id,)
-            self._where[line_id] = list(self.where_state.getValue(key)[0]) if self.where_state.containsKey(key) else []
-        return self._where[line_id]
+        self._read(_part(line_id))
+        return self._where.get(line_id, [])
 
     def _put_places(self, line_id: str | None, places: list[int]) -> None:
+        self._read(_part(line_id))
         self._where[line_id] = places
-        self.moved.add(line_id)
+        self.parts.add(_part(line_id))
 
     def save(self) -> None:
         for number in self.changed:
             lines = self._blocks[number]
             if lines:
-                self.block_state.updateValue((number,), tuple(list(c) for c in zip(*lines)))
-            elif self.block_state.containsKey((number,)):
-                self.block_state.removeKey((number,))
-        for line_id in self.moved:
-            key, places = (NO_ID if line_id is None else line_id,), self._where[line_id]
-            if places:
-                self.where_state.updateValue(key, (places,))
-            elif self.where_state.containsKey(key):
-                self.where_state.removeKey(key)
+                self.block_state.updateValue((*self.key, number), tuple(list(c) for c in zip(*lines)))
+            elif number < self.known:
+                self.block_state.removeKey((*self.key, number))
+        if not self.indexed and len(self.order) <= 1:
+            return
+        parts = self.parts if self.indexed else set(range(INDEX))
+        held: dict[int, list[tuple]] = {part: [] for part in parts}
+        for line_id, numbers in self._where.items():
+            if numbers and (part := _part(line_id)) in held:
+                held[part].append((line_id, numbers))
+        for part, rows in held.items():
+            if rows:
+                self.index_state.updateValue((*self.key, part), tuple(list(c) for c in zip(*rows)))
+            elif self.indexed and self.index_state.containsKey((*self.key, part)):
+                self.index_state.removeKey((*self.key, part))
+        self.indexed = True
+
+    def clear(self) -> None:
+        """Removes the page from the store."""
+        for number in self.order:
+            self.block_state.removeKey((*self.key, number))
+        if self.indexed:
+            for part in range(INDEX):
+                if self.index_state.containsKey((*self.key, part)):
+                    self.index_state.removeKey((*self.key, part))
 
 
 class LineEditor(StatefulProcessor):
-    """Keeps the lines of a page and hands out its versions, late edits and edits of unknown pages."""
+    """Keeps the lines of the pages of a group and hands out their versions, late edits and edits of unknown pages.
+
+    A call works on all edited pages of a group, as each call and each frame has a cost of its own.
+    """
 
     def __init__(self, quiet_ms: int | None):
         self.quiet_ms = quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.blocks = handle.getMapState("blocks", "number int", "ids array<string>, texts array<string>, edited array<boolean>")
-        self.where = handle.getMapState("where", "line_id string", "blocks array<int>")
-        self.order = handle.getListState("order", "number int, size int")
-        self.head = handle.getValueState("head", "made int, last_seq long, last_edit long")
-
-    def _load(self) -> tuple[_StoredPage, int | None]:
-        page, last = _StoredPage(self.blocks, self.where), None
-        if self.head.exists():
-            page.made, last, page.last_edit = self.head.get()
-            for number, size in self.order.get():
-                page.order.append(number)
-                page.sizes.append(size)
-        return page, last
+        page = "book_id string, page_id long"
+        self.blocks = handle.getMapState("blocks", f"{page}, number int", "ids array<string>, texts array<string>, edited array<boolean>")
+        self.index = handle.getMapState("where", f"{page}, part int", "ids array<string>, blocks array<array<int>>")
+        self.heads = handle.getMapState("heads", page, "made int, last_seq long, last_edit long, numbers array<int>, sizes array<int>, indexed boolean, due long")
+        self.due = handle.getMapState("due", "due long", "books array<string>, pages array<long>")
+
+    def _load(self, key: tuple) -> tuple[_StoredPage, int | None, int | None]:
+        """A page, the number of its last edit and the time at which it is closed."""
+        page = _StoredPage(key, self.blocks, self.index)
+        if not self.heads.containsKey(key):
+            page.open()
+            return page, None, None
+        page.made, last, page.last_edit, numbers, sizes, page.indexed, due = self.heads.getValue(key)
+        page.order, page.sizes, page.known = list(numbers), list(sizes), page.made
+        page.open()
+        return page, last, due
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        page, last = self._load()
-        known, late, changed = last is not None, [], False
         # the edits of one page in one micro-batch are sorted together
-        edits = pd.concat(list(rows), ignore_index=True)[["seq", "op", "line_id", "text", "after_line_id", "to_index"]]
+        edits = pd.concat(list(rows), ignore_index=True)[[*PAGE, *LOG_COLUMNS]]
         edits = edits.astype(object).where(edits.notna(), None).sort_values("seq", kind="stable")
-        for seq, op, line_id, text, after, to_index in edits.itertuples(index=False):
+        pages: dict[tuple, list[tuple]] = {}
+        for book, number, *edit in edits.itertuples(index=False, name=None):
+            pages.setdefault((book, None if number is None else int(number)), []).append(edit)
+        due = None if self.quiet_ms is None else timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms
+        yield from _frames(row for page, log in pages.items() for row in self._edit(page, log, due))
+        if due is not None:
+            books, numbers = self.due.getValue((due,)) if self.due.containsKey((due,)) else ([], [])
+            self.due.updateValue((due,), ([*books, *[p[0] for p in pages]], [*numbers, *[p[1] for p in pages]]))
+            self.handle.registerTimer(due)
+
+    def _edit(self, key: tuple, log: list[tuple], due: int | None) -> Iterator[tuple]:
+        page, last, _ = self._load(key)
+        known, late, changed = last is not None, [], False
+        for seq, op, line_id, text, after, to_index in log:
             known = known or op in ("page", "base")
             if not known:
                 late.append(("unknown", int(seq)))
@@ -104,23 +168,25 @@ class LineEditor(StatefulProcessor):
                 last, changed = int(seq), True
         if changed:
             page.save()
-            self.head.update((page.made, last, page.last_edit))
-            if page.order:
-                self.order.put(list(zip(page.order, page.sizes)))
-            else:
-                self.order.clear()
-            if self.quiet_ms is not None:
-                for timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
-        yield from _frames(key, _version(page, last, "line") if changed else [], late)
+            self.heads.updateValue(key, (page.made, last, page.last_edit, page.order, page.sizes, page.indexed, due))
+            yield from ((*key, *row) for row in _version(page, last, "line"))
+        for kind, seq in late:
+            yield (*key, kind, None, None, None, None, None, None, seq)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """A quiet page leaves once more, as closed, and its state goes."""
-        page, last = self._load()
-        yield from _frames(key, list(_version(page, last, "closed")), [])
-        for state in (self.blocks, self.where, self.order, self.head):
-            state.clear()
+        """Pages that were quiet leave once more, as closed, and their state goes."""
+        time = expiredTimerInfo.getExpiryTimeInMs()
+        pages = list(zip(*self.due.getValue((time,)))) if self.due.containsKey((time,)) else []
+        yield from _frames(row for page in pages for row in self._close((page[0], page[1]), time))
+        if pages:
+            self.due.removeKey((time,))
+
+    def _close(self, key: tuple, time: int) -> Iterator[tuple]:
+        page, last, due = self._load(key)
+        if due == time:  # else it was edited since
+            yield from ((*key, *row) for row in _version(page, last, "closed"))
+            page.clear()
+            self.heads.removeKey(key)
 
     def close(self) -> None:
         pass
@@ -133,23 +199,23 @@ def _version(page: PageLines, last: int, kind: str) -> Iterator[tuple]:
         yield kind, last, i, *line, page.last_edit, None
 
 
-def _frames(key: tuple, version: Iterator[tuple], late: list[tuple[str, int]]) -> Iterator[pd.DataFrame]:
+def _frames(found: Iterator[tuple]) -> Iterator[pd.DataFrame]:
     rows = []
 
     def frame() -> pd.DataFrame:
-        made = pd.DataFrame(rows, columns=NAMES).astype({"line_no": "Int32", "edited": "boolean", "last_edit": "Int64", "late_seq": "Int64", "version": "Int64"})
+        made = pd.DataFrame(rows, columns=NAMES)
+        made = made.astype({"page_id": "Int64", "line_no": "Int32", "edited": "boolean", "last_edit": "Int64", "late_seq": "Int64", "version": "Int64"})
         rows.clear()
         return made
 
-    for row in version:
-        rows.append((*key, *row))
+    for row in found:
+        rows.append(row)
         if len(rows) >= ROWS:
             yield frame()
-    rows += [(*key, kind, None, None, None, None, None, None, seq) for kind, seq in late]
     yield frame()
 
 
-def stateful_line_edits(events: DataFrame, quiet_ms: int | None = None) -> DataFrame:
+def stateful_line_edits(events: DataFrame, quiet_ms: int | None = None, groups: int = 4096) -> DataFrame:
     """Pages after each micro-batch, late edits, and edits of unknown pages.
 
     ``events`` (book_id, page_id, seq, op, line_id, text, after_line_id, to_index); rows with op = base bring the first
@@ -158,10 +224,11 @@ def stateful_line_edits(events: DataFrame, quiet_ms: int | None = None) -> DataF
     ``unknown`` carry the number of an edit that had no effect, for a side table. State holds blocks of lines, an index
     of ids and the order of blocks, and a micro-batch reads and writes the blocks that it changes. With ``quiet_ms`` a
     page without edits for so long leaves as ``closed`` and is forgotten; without, pages are remembered for good. The
-    state store must be RocksDB (``PROVIDER``). The edits of one page in a micro-batch are sorted together, so limit
-    the trigger size for very busy pages.
+    state store must be RocksDB (``PROVIDER``). Pages come in ``groups`` by a hash, whose number belongs to a checkpoint;
+    the edits of one group in a micro-batch are sorted together, so limit the trigger size for very busy pages.
     """
-    return events.groupBy(*PAGE).transformWithStateInPandas(
+    grouped = events.withColumn("_group", F.pmod(F.xxhash64(*PAGE), F.lit(groups)))
+    return grouped.groupBy("_group").transformWithStateInPandas(
         LineEditor(quiet_ms), OUTPUT, "Update", "None" if quiet_ms is None else "ProcessingTime"
     )
 

@@ -322,3 +322,24 @@ def test_requests_share_a_block_of_state(spark, tmp_path):
         spark.createDataFrame(rows, REPLY).coalesce(1).write.mode("append").parquet(f"{tmp_path}/rep")
         got.append(sorted(r.request_id for r in reply_stream(spark, tmp_path, blocks=3)))
     assert sorted(sum(got, [])) == list(range(300)) and 0 < len(got[0]) < 300
+
+
+def test_pages_share_calls_and_large_ones_keep_an_index(spark, tmp_path, monkeypatch):
+    """Small pages take a head and a block of state, a page of many blocks few parts of an index; copied ids stay right."""
+    monkeypatch.setattr(edits, "BLOCK", 4)
+    base = [("x", p, -100 + i, "base", f"l{i % 3}", f"t{i}", None, 0) for p in range(30) for i in range(4)]
+    base += [("y", 1, -1000 + i, "base", f"l{i}", f"t{i}", None, 0) for i in range(600)]
+    more = [("x", p, seq, op, "l0", f"e{seq}", "l0", 9) for p in range(30) for seq, op in enumerate(["delete", "move", "update", "delete", "add", "base"])]
+    log = [("y", 1, seq, ["move", "delete", "add", "update"][seq % 4], f"l{seq * 7 % 640}", f"e{seq}", f"l{seq * 11 % 640}", seq * 13 % 600) for seq in range(300)]
+    later = [("x", p, 10 + seq, op, "l0", f"e{seq}", "l1", 0) for p in range(30) for seq, op in enumerate(["delete", "update", "add", "update"])]
+    out = edit_stream(spark, tmp_path, (base, more + log[:200], later + log[200:]))
+    want: dict = {}
+    for row in sorted(base + more + later + log, key=lambda r: r[2]):
+        want.setdefault(row[:2], edits.PageLines()).apply(row[3], row[2], *row[4:])
+    got: dict = {}
+    for r in SE.current_pages(out).where("line_no is not null").orderBy("line_no").collect():
+        got.setdefault((r.book_id, r.page_id), []).append((r.line_id, r.text, r.edited))
+    assert got == {key: list(page.lines()) for key, page in want.items() if page.order}
+    with setting(spark, *SE.PROVIDER):
+        state = lambda name: spark.read.format("statestore").option("path", f"{tmp_path}/cp").option("stateVarName", name).load()
+        assert state("heads").count() == 31 and state("where").count() <= SE.INDEX
