@@ -32,8 +32,8 @@ def _part(line_id: str | None) -> int:
 class _StoredPage(PageLines):
     """Page lines whose blocks and index lie in map states; a call reads the blocks it touches and writes back changed ones.
 
-    A page of one block needs no index. That of a larger one is stored in ``INDEX`` parts by a hash of the ids, as each
-    call to the store takes longer than the work on a line.
+    A page of one block is held by its group and needs no index. That of a larger one is stored in ``INDEX`` parts by a
+    hash of the ids, as each call to the store takes longer than the work on a line.
     """
 
     def __init__(self, key: tuple, blocks, index) -> None:
@@ -43,7 +43,7 @@ class _StoredPage(PageLines):
         self.parts: set[int] = set()
         self.read: set[int] = set()
         self.indexed = False  # whether the store holds an index
-        self.known = 0  # blocks in the store
+        self.known = 0  # numbers below were blocks in the store
 
     def _block(self, number: int) -> list[tuple]:
         if number not in self._blocks:
@@ -82,14 +82,16 @@ class _StoredPage(PageLines):
         self.parts.add(_part(line_id))
 
     def save(self) -> None:
+        if not self.indexed:
+            if len(self.order) <= 1:
+                return
+            self.changed = set(self.order)
         for number in self.changed:
             lines = self._blocks[number]
             if lines:
                 self.block_state.updateValue((*self.key, number), tuple(list(c) for c in zip(*lines)))
             elif number < self.known:
                 self.block_state.removeKey((*self.key, number))
-        if not self.indexed and len(self.order) <= 1:
-            return
         parts = self.parts if self.indexed else set(range(INDEX))
         held: dict[int, list[tuple]] = {part: [] for part in parts}
         for line_id, numbers in self._where.items():
@@ -103,10 +105,10 @@ class _StoredPage(PageLines):
         self.indexed = True
 
     def clear(self) -> None:
-        """Removes the page from the store."""
-        for number in self.order:
-            self.block_state.removeKey((*self.key, number))
+        """Removes a page of many blocks from the store."""
         if self.indexed:
+            for number in self.order:
+                self.block_state.removeKey((*self.key, number))
             for part in range(INDEX):
                 if self.index_state.containsKey((*self.key, part)):
                     self.index_state.removeKey((*self.key, part))
@@ -115,7 +117,8 @@ class _StoredPage(PageLines):
 class LineEditor(StatefulProcessor):
     """Keeps the lines of the pages of a group and hands out their versions, late edits and edits of unknown pages.
 
-    A call works on all edited pages of a group, as each call and each frame has a cost of its own.
+    The heads of a group's pages, and the lines of those of one block, are read and written as one list, as each call to the
+    store and each frame has a cost of its own.
     """
 
     def __init__(self, quiet_ms: int | None):
@@ -126,17 +129,27 @@ class LineEditor(StatefulProcessor):
         page = "book_id string, page_id long"
         self.blocks = handle.getMapState("blocks", f"{page}, number int", "ids array<string>, texts array<string>, edited array<boolean>")
         self.index = handle.getMapState("where", f"{page}, part int", "ids array<string>, blocks array<array<int>>")
-        self.heads = handle.getMapState("heads", page, "made int, last_seq long, last_edit long, numbers array<int>, sizes array<int>, indexed boolean, due long")
+        head = "made int, last_seq long, last_edit long, numbers array<int>, sizes array<int>, indexed boolean, due long"
+        self.pages = handle.getListState("pages", f"{page}, {head}, ids array<string>, texts array<string>, edited array<boolean>")
         self.due = handle.getMapState("due", "due long", "books array<string>, pages array<long>")
 
-    def _load(self, key: tuple) -> tuple[_StoredPage, int | None, int | None]:
+    def _heads(self) -> dict[tuple, tuple]:
+        return {(row[0], row[1]): tuple(row[2:]) for row in self.pages.get()} if self.pages.exists() else {}
+
+    def _put_heads(self, heads: dict[tuple, tuple]) -> None:
+        if heads:
+            self.pages.put([(*key, *head) for key, head in heads.items()])
+        elif self.pages.exists():
+            self.pages.clear()
+
+    def _load(self, key: tuple, head: tuple | None) -> tuple[_StoredPage, int | None, int | None]:
         """A page, the number of its last edit and the time at which it is closed."""
-        page = _StoredPage(key, self.blocks, self.index)
-        if not self.heads.containsKey(key):
-            page.open()
-            return page, None, None
-        page.made, last, page.last_edit, numbers, sizes, page.indexed, due = self.heads.getValue(key)
-        page.order, page.sizes, page.known = list(numbers), list(sizes), page.made
+        page, last, due = _StoredPage(key, self.blocks, self.index), None, None
+        if head is not None:
+            page.made, last, page.last_edit, numbers, sizes, page.indexed, due, *lines = head
+            page.order, page.sizes, page.known = list(numbers), list(sizes), page.made
+            if not page.indexed and page.order:
+                page._blocks[page.order[0]] = list(zip(*lines))
         page.open()
         return page, last, due
 
@@ -148,14 +161,16 @@ class LineEditor(StatefulProcessor):
         for book, number, *edit in edits.itertuples(index=False, name=None):
             pages.setdefault((book, None if number is None else int(number)), []).append(edit)
         due = None if self.quiet_ms is None else timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms
-        yield from _frames(row for page, log in pages.items() for row in self._edit(page, log, due))
+        heads = self._heads()
+        yield from _frames(row for page, log in pages.items() for row in self._edit(page, log, due, heads))
+        self._put_heads(heads)
         if due is not None:
             books, numbers = self.due.getValue((due,)) if self.due.containsKey((due,)) else ([], [])
             self.due.updateValue((due,), ([*books, *[p[0] for p in pages]], [*numbers, *[p[1] for p in pages]]))
             self.handle.registerTimer(due)
 
-    def _edit(self, key: tuple, log: list[tuple], due: int | None) -> Iterator[tuple]:
-        page, last, _ = self._load(key)
+    def _edit(self, key: tuple, log: list[tuple], due: int | None, heads: dict[tuple, tuple]) -> Iterator[tuple]:
+        page, last, _ = self._load(key, heads.get(key))
         known, late, changed = last is not None, [], False
         for seq, op, line_id, text, after, to_index in log:
             known = known or op in ("page", "base")
@@ -168,7 +183,8 @@ class LineEditor(StatefulProcessor):
                 last, changed = int(seq), True
         if changed:
             page.save()
-            self.heads.updateValue(key, (page.made, last, page.last_edit, page.order, page.sizes, page.indexed, due))
+            lines = ([], [], []) if page.indexed else tuple([line[i] for line in page.lines()] for i in range(3))
+            heads[key] = (page.made, last, page.last_edit, list(page.order), list(page.sizes), page.indexed, due, *lines)
             yield from ((*key, *row) for row in _version(page, last, "line"))
         for kind, seq in late:
             yield (*key, kind, None, None, None, None, None, None, seq)
@@ -177,16 +193,18 @@ class LineEditor(StatefulProcessor):
         """Pages that were quiet leave once more, as closed, and their state goes."""
         time = expiredTimerInfo.getExpiryTimeInMs()
         pages = list(zip(*self.due.getValue((time,)))) if self.due.containsKey((time,)) else []
-        yield from _frames(row for page in pages for row in self._close((page[0], page[1]), time))
+        heads = self._heads()
+        yield from _frames(row for page in pages for row in self._close((page[0], page[1]), time, heads))
         if pages:
+            self._put_heads(heads)
             self.due.removeKey((time,))
 
-    def _close(self, key: tuple, time: int) -> Iterator[tuple]:
-        page, last, due = self._load(key)
+    def _close(self, key: tuple, time: int, heads: dict[tuple, tuple]) -> Iterator[tuple]:
+        page, last, due = self._load(key, heads.get(key))
         if due == time:  # else it was edited since
             yield from ((*key, *row) for row in _version(page, last, "closed"))
             page.clear()
-            self.heads.removeKey(key)
+            del heads[key]
 
     def close(self) -> None:
         pass
@@ -221,8 +239,9 @@ def stateful_line_edits(events: DataFrame, quiet_ms: int | None = None, groups:
     ``events`` (book_id, page_id, seq, op, line_id, text, after_line_id, to_index); rows with op = base bring the first
     lines, and one with op = page says that a page was recognised, with lines or without. Kinds of rows: ``line`` is a
     line of a page's version (or its emptiness, without a number), the highest version being current; ``late`` and
-    ``unknown`` carry the number of an edit that had no effect, for a side table. State holds blocks of lines, an index
-    of ids and the order of blocks, and a micro-batch reads and writes the blocks that it changes. With ``quiet_ms`` a
+    ``unknown`` carry the number of an edit that had no effect, for a side table. State holds a
+    list of the small pages of a group, which a micro-batch reads and writes as a whole, and blocks of lines and an index of
+    ids for larger pages, of which it reads and writes what it changes; give more groups where pages are very many. With ``quiet_ms`` a
     page without edits for so long leaves as ``closed`` and is forgotten; without, pages are remembered for good. The
     state store must be RocksDB (``PROVIDER``). Pages come in ``groups`` by a hash, whose number belongs to a checkpoint;
     the edits of one group in a micro-batch are sorted together, so limit the trigger size for very busy pages.
