@@ -6,8 +6,10 @@ Boxes of one image share ``keys`` (for example book_id and page_id). ``det_no``
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +23,7 @@ MIN_BOX_PX = 10.0
 LINE_CLASSES = [1, 2, 3, 4, 5, 16]
 BLOCK_CLASS = 0
 IOU_THRESHOLD = 0.5
+CROWDED = 128  # boxes of an image that are suppressed in one task at most
 BLOCK_COVERAGE = 0.7
 
 
@@ -108,12 +111,57 @@ def _overlaps(boxes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
 def nms_lines(lines: DataFrame, keys: Sequence[str], threshold: float = IOU_THRESHOLD) -> DataFrame:
     """Greedy non-maximum suppression per image; returns the kept rows of ``lines``.
 
+    Images of at most ``CROWDED`` boxes are shuffled once and suppressed in Arrow batches of many images. Those with more
+    boxes are counted before and go through rounds of joins on a grid, so no task holds a crowded image.
+    """
+    keys = list(keys)
+    counts = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    crowded = cut_lineage(counts.where(F.col("_n") > CROWDED).select(*keys))
+    if crowded.isEmpty():
+        return _suppressed(lines, keys, threshold)
+    few, many = lines.join(crowded, keys, "left_anti"), lines.join(crowded, keys, "left_semi")
+    return _suppressed(few, keys, threshold).unionByName(_suppressed_in_rounds(many, keys, threshold))
+
+
+def _suppressed(lines: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Boxes are taken best first in all images of a batch at once; what an undropped box overlaps or copies is dropped."""
+    rest = [c for c in lines.columns if c not in {*keys, "det_no"}]
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("_rank"), "det_no", *rest)))
+    columns = lines.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_lines")
+            sizes, found = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
+            image = np.repeat(np.arange(len(sizes)), sizes)
+            head = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            place = np.arange(len(image)) - head
+            x, y, w, h = (found.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "w", "h"))
+            kept, left = np.ones(len(image), bool), np.arange(len(image))
+            for k in range(int(sizes.max(initial=0))):
+                left = left[(place[left] > k) & kept[left]]
+                b = left[kept[head[left] + k]]
+                a = head[b] + k
+                across = np.maximum(0.0, np.minimum(x[a] + w[a], x[b] + w[b]) - np.maximum(x[a], x[b]))
+                down = np.maximum(0.0, np.minimum(y[a] + h[a], y[b] + h[b]) - np.maximum(y[a], y[b]))
+                common = across * down
+                union = w[a] * h[a] + w[b] * h[b] - common
+                over = np.divide(common, union, out=np.zeros(len(a)), where=union > 0) > threshold
+                kept[b[over | ((x[a] == x[b]) & (y[a] == y[b]) & (w[a] == w[b]) & (h[a] == h[b]))]] = False
+            rows, images = found.filter(pa.array(kept)), pa.array(image[kept])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(images) if c in keys else rows.field(c) for c in columns], columns)
+
+    return lines.groupBy(*keys).agg(ranked.alias("_lines")).mapInArrow(run, lines.schema)
+
+
+def _suppressed_in_rounds(lines: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Suppression without an image in a task.
+
     Exact copies of a box are reduced to the best one before the shuffle: whatever a copy would be compared with, it
     overlaps fully with the better one. Overlapping pairs are then found once, on a grid. In each round the boxes that
     no better undecided box overlaps are kept, and what they overlap goes. Rounds follow the longest chain of
-    overlapping boxes, whatever an image's number of boxes, and no task holds an image.
+    overlapping boxes, whatever an image's number of boxes.
     """
-    keys = list(keys)
     boxes = cut_lineage(_distinct(lines, keys))
     live = cut_lineage(_overlaps(boxes, keys, threshold))
     removed = live.select(*keys, F.col("_b").alias("det_no")).where("false")

@@ -259,3 +259,22 @@ def test_unfolded_boxes_are_not_broadcast(spark):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "ShuffledHashJoin" in plan
     assert all("Broadcast" not in rows._jdf.queryExecution().executedPlan().toString() for rows in found)
+
+
+def test_suppression_of_small_and_crowded_images_agrees(spark, monkeypatch):
+    """Small images need no join; rounds of joins, for crowded ones, keep the same rows. Copies and equal scores are among them."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for page in range(12):
+        for n in range(3 * page):
+            x, y = (float(v) for v in rng.integers(0, 60, 2))
+            w, h = (float(v) for v in rng.integers(0, 40, 2))
+            rows += [(page, 2 * n + i, float(rng.integers(0, 5)) / 4, x, y, w, h, f"{page}/{n}/{i}") for i in range(1 + n % 2)]
+    lines = spark.createDataFrame(rows, "page_id long, det_no int, score double, x double, y double, w double, h double, note string")
+    small = D.nms_lines(lines, ["page_id"])
+    assert "Join" not in small._jdf.queryExecution().executedPlan().toString() and small.columns == lines.columns
+    got = sorted(map(tuple, small.collect()))
+    for limit in (0, 10):
+        monkeypatch.setattr(D, "CROWDED", limit)
+        assert sorted(map(tuple, D.nms_lines(lines, ["page_id"]).collect())) == got
+    assert 12 <= len(got) < len(rows)
