@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 from foliospark.functions.geometry import fit_within, jpeg_quality, target_size
 
 
-def _pixels(rgba: bytes, w: int, h: int) -> np.ndarray:
-    return np.frombuffer(rgba, dtype=np.uint8).reshape(h, w, 4)
+def _pixels(rgba: bytes, w: float, h: float) -> np.ndarray:
+    """Sizes are floats in a batch that has a null among them."""
+    return np.frombuffer(rgba, dtype=np.uint8).reshape(int(h), int(w), 4)
+
+
+def _readable(rgba: bytes | None, w: float, h: float) -> bool:
+    return rgba is not None and len(rgba) == w * h * 4
 
 
 def _to_bytes(values: np.ndarray) -> np.ndarray:
@@ -75,7 +80,8 @@ IMAGE_NAMES = ["img_w", "img_h", "rgba"]
 
 def _with_plan(images: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     """Images with the tone and the output size of their page, and its quality where pages have one."""
-    size = target_size("img_w", "img_h", "resize_mode", "resize_width", "resize_height")
+    sides = [F.nullif(c, F.lit(0)) for c in ("img_w", "img_h")]
+    size = target_size(*sides, "resize_mode", "resize_width", "resize_height")
     more = [jpeg_quality("quality").alias("_quality")] if "quality" in pages.columns else []
     plan = pages.select(*keys, "brightness", "contrast", "resize_mode", "resize_width", "resize_height", *more)
     kept = [c for c in plan.columns if c == "_quality"]
@@ -86,15 +92,22 @@ def _with_plan(images: DataFrame, pages: DataFrame, keys: list[str]) -> DataFram
 
 
 def _adjusted(r) -> np.ndarray:
-    toned = _tone(_pixels(r.rgba, r.img_w, r.img_h), int(r.brightness), int(r.contrast))
-    return _resample(toned, int(r.out_w), int(r.out_h))
+    image = _pixels(r.rgba, r.img_w, r.img_h)
+    if not image.size:  # there is nothing to resize
+        return image
+    return _resample(_tone(image, int(r.brightness), int(r.contrast)), int(r.out_w), int(r.out_h))
 
 
 def adjust_images(images: DataFrame, pages: DataFrame, keys: Sequence[str] = ("book_id", "page_id")) -> DataFrame:
-    """Applies each page's tone, then its resize rule."""
+    """Applies each page's tone, then its resize rule.
+
+    An image without pixels stays as it is; an unreadable one keeps its size and has no bytes.
+    """
     keys = list(keys)
 
     def change(r) -> tuple:
+        if not _readable(r.rgba, r.img_w, r.img_h):
+            return r.img_w, r.img_h, None
         out = _adjusted(r)
         return out.shape[1], out.shape[0], out.tobytes()
 
@@ -102,7 +115,10 @@ def adjust_images(images: DataFrame, pages: DataFrame, keys: Sequence[str] = ("b
 
 
 def downscale_images(images: DataFrame, max_edge: int, keys: Sequence[str] = ("book_id", "page_id")) -> DataFrame:
-    """Images with their longest side at most ``max_edge``; the original size stays as columns."""
+    """Images with their longest side at most ``max_edge``; the original size stays as columns.
+
+    Images without pixels and unreadable ones are as in ``adjust_images``.
+    """
     fit = fit_within("img_w", "img_h", max_edge)
     rows = images.select(
         *keys,
@@ -114,7 +130,10 @@ def downscale_images(images: DataFrame, max_edge: int, keys: Sequence[str] = ("b
     )
 
     def change(r) -> tuple:
-        out = _resample(_pixels(r.rgba, r.img_w, r.img_h), int(r.out_w), int(r.out_h))
+        if not _readable(r.rgba, r.img_w, r.img_h):
+            return r.img_w, r.img_h, None
+        image = _pixels(r.rgba, r.img_w, r.img_h)
+        out = _resample(image, int(r.out_w), int(r.out_h)) if image.size else image
         return out.shape[1], out.shape[0], out.tobytes()
 
     return _map_images(rows, [*keys, "original_w", "original_h"], change, IMAGE, IMAGE_NAMES)
@@ -123,7 +142,8 @@ def downscale_images(images: DataFrame, max_edge: int, keys: Sequence[str] = ("b
 def merge_spread_images(pairs: DataFrame, images: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Left and right page of a pair (book_id, merged_id, left_id, right_id) side by side on white, top aligned.
 
-    With ``pages``, tone and resize rule of each page are applied first, as when it is shown.
+    With ``pages``, tone and resize rule of each page are applied first, as when it is shown. A pair with an unreadable
+    page is a row without an image.
     """
     if pages is not None:
         images = adjust_images(images, pages)
@@ -132,27 +152,33 @@ def merge_spread_images(pairs: DataFrame, images: DataFrame, pages: DataFrame |
     rows = pairs.join(left, ["book_id", "left_id"]).join(right, ["book_id", "right_id"])
 
     def change(r) -> tuple:
-        sheet = np.full((max(r.lh, r.rh), r.lw + r.rw, 4), 255, dtype=np.uint8)
-        sheet[: r.lh, : r.lw] = _pixels(r.lp, r.lw, r.lh)
-        sheet[: r.rh, r.lw :] = _pixels(r.rp, r.rw, r.rh)
+        if not (_readable(r.lp, r.lw, r.lh) and _readable(r.rp, r.rw, r.rh)):
+            return None, None, None
+        left, right = _pixels(r.lp, r.lw, r.lh), _pixels(r.rp, r.rw, r.rh)
+        sheet = np.full((max(len(left), len(right)), left.shape[1] + right.shape[1], 4), 255, dtype=np.uint8)
+        sheet[: len(left), : left.shape[1]] = left
+        sheet[: len(right), left.shape[1] :] = right
         return sheet.shape[1], sheet.shape[0], sheet.tobytes()
 
     return _map_images(rows, ["book_id", "merged_id"], change, IMAGE, IMAGE_NAMES)
 
 
 def image_pixels(images: DataFrame, keys: Sequence[str] = ("book_id", "page_id")) -> DataFrame:
-    """One row per pixel (x, y, r, g, b), for the histogram and ink operators."""
+    """One row per pixel (x, y, r, g, b), for the histogram and ink operators; unreadable images have none."""
     keys = list(keys)
     pixels_at_once = 1 << 18
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
+                if not _readable(r.rgba, r.img_w, r.img_h):
+                    continue
                 image = _pixels(r.rgba, r.img_w, r.img_h)
-                step = max(1, pixels_at_once // r.img_w)
-                for top in range(0, r.img_h, step):  # a large scan leaves in bands of image lines
+                height, width = image.shape[:2]
+                step = max(1, pixels_at_once // max(1, width))
+                for top in range(0, height, step):  # a large scan leaves in bands of image lines
                     band = image[top : top + step]
-                    y, x = np.divmod(np.arange(band.shape[0] * r.img_w, dtype=np.int32), r.img_w)
+                    y, x = np.divmod(np.arange(band.shape[0] * width, dtype=np.int32), np.int32(width))
                     flat = band.reshape(-1, 4).astype(np.int32)
                     frame = {"x": x, "y": y + top, "r": flat[:, 0], "g": flat[:, 1], "b": flat[:, 2]}
                     yield pd.DataFrame({**{k: getattr(r, k) for k in keys}, **frame})

@@ -178,7 +178,7 @@ def _by_box(images: DataFrame, boxes: DataFrame, keys: list[str], found: Callabl
             out = []
             for r in batch.itertuples(index=False):
                 try:
-                    image = np.frombuffer(r.rgba, np.uint8).reshape(r.img_h, r.img_w, 4)
+                    image = np.frombuffer(r.rgba, np.uint8).reshape(int(r.img_h), int(r.img_w), 4)
                 except (TypeError, ValueError):  # an unreadable image has no ink
                     continue
                 key = tuple(getattr(r, k) for k in keys)

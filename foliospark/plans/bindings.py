@@ -213,11 +213,14 @@ class Views:
 
     @cached_property
     def page_images(self) -> DataFrame:
-        """RGBA images whose bytes are the whole text of a document, row by row; the rest of the last rows repeats it."""
+        """RGBA images whose bytes are the whole text of a document, row by row; the rest of the last rows repeats it.
+
+        An empty text gives an image without rows, and a missing one neither height nor bytes.
+        """
         return (
             self.table("documents")
             .selectExpr("source book_id", "doc_id page_id", "text", "octet_length(text) n", "cast(8 + doc_id % 9 as int) img_w")
-            .selectExpr("*", "cast(4*ceil(n/(img_w*16.0)) as int) img_h", "cast(1 + ceil(img_w*16.0/n) as int) times")
+            .selectExpr("*", "cast(4*ceil(n/(img_w*16.0)) as int) img_h", "cast(1 + ceil(img_w*16.0/greatest(n, 1)) as int) times")
             .selectExpr("book_id", "page_id", "img_w", "img_h", "substring(encode(repeat(text, times), 'UTF-8'), 1, img_w*img_h*4) rgba")
         )
 
