@@ -170,5 +170,5 @@ def _(v: Views):
 @query("reading_order")
 def _(v: Views):
     rows = stored(boxes(v), "boxes")
-    lines = stored(D.assign_lines_to_blocks(kept_lines(v, rows), rows.where("kind = 'block'"), KEY), "placed-lines")
+    lines = D.assign_lines_to_blocks(kept_lines(v, rows), rows.where("kind = 'block'"), KEY)
     return reading_order(lines, KEY).select("page_id", "det_no", "block_id", "line_no")

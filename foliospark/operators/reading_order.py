@@ -9,22 +9,28 @@ The work is split so that only small, bounded data reaches Python:
 3. Spark gives each box the leaf with the highest overlap, found on common grid lines, and counts boxes per leaf.
 4. ``_leaf_order`` (Python, per group) turns leaf counts into the order of the leaves.
 5. Spark numbers the boxes by leaf and position with the bucketed numbering.
+
+Most images hold few lines. ``reading_order`` shuffles those once and ranks the boxes of many of them together
+(``box_ranks``); the steps above are left for crowded ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.operators.box_ranks import GRID, ranks
+from foliospark.operators.detections import CROWDED
 from foliospark.plans.ordered import number_rows, slot
-from foliospark.plans.session import spread, stored
+from foliospark.plans.session import cut_lineage, spread, stored
 
-GRID = 100  # fixed value: cells along the longer side
+BLOCKS = 2**50  # blocks are numbered below zero by so much
 WORD = 51  # bits per word; two words cover 0..101
 
 LEAF = T.StructType(
@@ -258,16 +264,67 @@ def _best_leaves(grid: DataFrame, trees: DataFrame, keys: list[str]) -> DataFram
 def reading_order(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds ``line_no``: lines in reading order, first by block group, then inside the group.
 
-    ``lines`` come from ``assign_lines_to_blocks``. Lines without a block are groups of their own.
+    ``lines`` come from ``assign_lines_to_blocks``. Lines without a block are groups of their own. Images of at most
+    ``CROWDED`` lines are shuffled once; in larger ones, and where a box has no number on a side, Spark orders the lines.
     """
     keys = list(keys)
+    lines = stored(lines, "order-lines")
+    numbers = F.abs(F.col("x") + F.col("y") + F.col("w") + F.col("h")) < F.lit(float("inf"))
+    counts = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(numbers).alias("_good"))
+    crowded = cut_lineage(counts.where((F.col("_n") > CROWDED) | (F.col("_good") < F.col("_n"))).select(*keys))
+    if crowded.isEmpty():
+        return _ordered(lines, keys)
+    few, many = lines.join(crowded, keys, "left_anti"), lines.join(crowded, keys, "left_semi")
+    return _ordered(few, keys).unionByName(_ordered_by_joins(many, keys))
+
+
+def _block_seq():
+    return F.regexp_extract("block_id", "([0-9]+)$", 1).try_cast("long")
+
+
+def _ordered(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Orders the lines of all images of an Arrow batch together."""
+    columns = lines.columns
+    rest = [c for c in columns if c not in {*keys, "det_no"}]
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("_rank"), "det_no", _block_seq().alias("_block"), *rest)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_lines")
+            sizes, found = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
+            if not len(found):
+                continue
+            image = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(image)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            # blocks come first, in the order of their ids, then single lines; this decides ties
+            block = found.field("_block")
+            group = np.where(block.is_valid().to_numpy(zero_copy_only=False), block.fill_null(0).to_numpy() - BLOCKS, place)
+            order = np.lexsort((place, group, image))
+            image, group, place = image[order], group[order], place[order]
+            x, y, w, h = (found.field(c).to_numpy(zero_copy_only=False)[order] for c in ("x", "y", "w", "h"))
+            heads = np.flatnonzero((np.diff(image, prepend=-1) != 0) | (np.diff(group, prepend=group[0]) != 0))
+            members = np.diff(np.append(heads, len(image)))
+            left, top = np.minimum.reduceat(x, heads), np.minimum.reduceat(y, heads)
+            wide, high = np.maximum.reduceat(x + w, heads) - left, np.maximum.reduceat(y + h, heads) - top
+            outer = ranks(np.bincount(image[heads], minlength=len(sizes)), left, top, wide, high)
+            order = order[np.lexsort((ranks(members, x, y, w, h), np.repeat(outer, members), image))]
+            number = (np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            rows, images = found.take(pa.array(order)), pa.array(image)
+            data = [batch.column(c).take(images) if c in keys else rows.field(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*data, pa.array(number)], [*columns, "line_no"])
+
+    schema = T.StructType([*lines.schema.fields, T.StructField("line_no", T.IntegerType())])
+    return lines.groupBy(*keys).agg(listed.alias("_lines")).mapInArrow(run, schema)
+
+
+def _ordered_by_joins(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The same without an image in a task."""
     # Groups are listed by block first, in the order of the block ids, then single lines; this decides ties. Blocks are
     # numbered below zero and single lines from zero on, so the two never meet.
-    block_seq = F.regexp_extract("block_id", "([0-9]+)$", 1).try_cast("long")
     by_score = lines.withColumn("_neg_score", -F.col("score"))
     rank = number_rows(by_score, keys, [F.col("_neg_score"), slot("det_no")], [F.col("det_no")], "_in_order")
     members = stored(
-        rank.drop("_neg_score").withColumn("_group", F.coalesce(block_seq - F.lit(2**50), F.col("_in_order"))),
+        rank.drop("_neg_score").withColumn("_group", F.coalesce(_block_seq() - F.lit(BLOCKS), F.col("_in_order"))),
         "order-members",
     )
     groups = members.groupBy(*keys, "_group").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from foliospark.operators import detections as D
 from foliospark.operators import reading_order as RO
+from foliospark.operators.box_ranks import ranks
 from foliospark.operators.reading_order import rank_boxes, reading_order
 
 BOX = "page_id long, det_no int, x double, y double, w double, h double, score double"
@@ -278,3 +279,50 @@ def test_suppression_of_small_and_crowded_images_agrees(spark, monkeypatch):
         monkeypatch.setattr(D, "CROWDED", limit)
         assert sorted(map(tuple, D.nms_lines(lines, ["page_id"]).collect())) == got
     assert 12 <= len(got) < len(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_order_of_few_and_of_crowded_images_agrees(spark, monkeypatch, seed):
+    """Images that are ordered together in one task have the order of those that Spark joins."""
+    rng = random.Random(seed)
+    rows = []
+    for page in range(60):
+        for no in range(rng.choice([1, 2, 3, 4, 7, 12, 30])):
+            long, short = float(rng.randrange(40, 200)), float(rng.randrange(10, 30))
+            w, h = (short, long) if rng.random() < page % 5 / 4 else (long, short)
+            block = f"block-{rng.randrange(3)}" if page % 3 == 0 and rng.random() < 0.6 else None
+            if page % 4 == 0:
+                at = float(rng.randrange(4) * 60), float(rng.randrange(5) * 40)
+            else:
+                at = rng.uniform(0, 400), rng.uniform(0, 500)
+            rows.append((page, no, rng.randrange(5) / 5, *at, 0.0 if page == 7 else w, h, block))
+    lines = spark.createDataFrame(rows, "page_id long, det_no int, score double, x double, y double, w double, h double, block_id string")
+    want = sorted(map(tuple, RO._ordered_by_joins(lines, ["page_id"]).select(*lines.columns, "line_no").collect()))
+    monkeypatch.setattr(RO, "_ordered_by_joins", None)
+    got = sorted(map(tuple, RO.reading_order(lines, ["page_id"]).select(*lines.columns, "line_no").collect()))
+    assert got == want and len(got) == len(rows)
+
+
+def test_crowded_images_are_ordered_by_joins(spark, monkeypatch):
+    """One image too large for a task and one with a box that has no number go the other way, and none is lost."""
+    monkeypatch.setattr(RO, "CROWDED", 4)
+    rows = [(page, no, 0.5, 10.0 * no, 5.0, 8.0, None if (page, no) == (3, 1) else 4.0, None) for page, n in ((1, 3), (2, 6), (3, 2)) for no in range(n)]
+    lines = spark.createDataFrame(rows, "page_id long, det_no int, score double, x double, y double, w double, h double, block_id string")
+    seen, joins = [], RO._ordered_by_joins
+    monkeypatch.setattr(RO, "_ordered_by_joins", lambda df, keys: seen.extend(r.page_id for r in df.select("page_id").distinct().collect()) or joins(df, keys))
+    got = {(r.page_id, r.det_no): r.line_no for r in RO.reading_order(lines, ["page_id"]).collect()}
+    assert sorted(seen) == [2, 3] and {k: v for k, v in got.items() if k[0] < 3} == {(p, no): no for p, n in ((1, 3), (2, 6)) for no in range(n)}
+    assert {k for k in got if k[0] == 3} == {(3, 0), (3, 1)}
+
+
+def test_ranks_of_many_groups_match_brute_force():
+    rng = random.Random(7)
+    groups = []
+    for i in range(200):
+        n = rng.choice([1, 2, 3, 4, 6, 9, 17, 33])
+        whole = lambda lo, hi: float(rng.randrange(lo, hi))
+        groups.append([(whole(0, 9), whole(0, 9), whole(1, 5), whole(1, 5)) if i % 2 else (rng.uniform(0, 400), rng.uniform(0, 500), rng.uniform(5, 99), rng.uniform(5, 99)) for _ in range(n)])
+    got = ranks(np.array([len(g) for g in groups]), *np.array([b for g in groups for b in g]).T).tolist()
+    for g in groups:
+        assert got[: len(g)] == slow_rank(g)
+        del got[: len(g)]
