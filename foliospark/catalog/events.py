@@ -168,12 +168,12 @@ def _(v: Views):
         "cast(null as string) after_line_id", "cast(null as int) to_index",
     )
     source, out, state = (scratch_table(v.spark, n) for n in ("edit-log", "edit-pages", "edit-state"))
-    base.unionByName(blank).unionByName(edits.select(*columns)).write.parquet(source)
+    base.unionByName(blank).unionByName(edits.select(*columns)).write.option("compression", "zstd").parquet(source)
     stream = SE.stateful_line_edits(v.spark.readStream.schema(EVENT_SCHEMA).parquet(source))
-    with setting(v.spark, *SE.PROVIDER):
+    with setting(v.spark, *SE.PROVIDER), setting(v.spark, *SE.SMALLER_STATE):
         run = (
             stream.writeStream.outputMode("update")
-            .foreachBatch(lambda batch, _id: batch.write.mode("append").parquet(out))
+            .foreachBatch(lambda batch, _id: batch.write.mode("append").option("compression", "zstd").parquet(out))
             .option("checkpointLocation", state)
             .trigger(availableNow=True)
             .start()

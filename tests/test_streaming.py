@@ -245,6 +245,20 @@ def test_stateful_edits_equal_the_replay_over_many_blocks(spark, tmp_path, monke
     assert sorted(map(tuple, SE.current_pages(out).select(*names).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_lines_of_single_versions_do_not_move(spark):
+    """After one micro-batch lines are read as they lie; older and repeated versions are left out by one shuffle."""
+    line = lambda page, version, no, text, kind="line": ("x", page, kind, version, no, f"l{no}", text, False, None, None)
+    once = [line(1, 5, 0, "a"), line(1, 5, 1, "b"), ("x", 2, "line", 6, None, None, None, None, 6, None), ("x", 3, "line", 6, None, None, None, None, None, None)]
+    once.append(("x", 4, "unknown", None, None, None, None, None, None, 9))
+    want = [(1, 0, "a"), (1, 1, "b"), (2, None, None)]
+    again = [line(1, 4, 0, "old"), line(1, 4, 2, "gone"), line(1, 5, 0, "a", "closed"), line(1, 5, 1, "b", "closed")]
+    for rows, shuffles in ((once, 0), (once + again, 1)):
+        found = SE.current_pages(spark.createDataFrame(rows, SE.OUTPUT))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == shuffles and "Join" not in plan
+        assert sorted((r.page_id, r.line_no, r.text) for r in found.collect()) == want
+
+
 def test_quiet_pages_leave_and_are_forgotten(spark, tmp_path):
     """Timers of processing time need a running stream; it ends here once the page has been closed and edited again."""
     out, source = [], f"{tmp_path}/in"
